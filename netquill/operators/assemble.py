@@ -24,35 +24,33 @@ IDENTITY = {
 }
 
 
-def feature_matrix(logs: dict[str, DataFrame], slot_seconds: float = DEFAULT_SLOT_SECONDS) -> DataFrame:
-    """Logs -> one row per connection: identity columns, then the 78 features in contract order.
+_CONTEXT_GROUPS = {"dns": DNS_FEATURES, "quic": QUIC_FEATURES, "ssl": SSL_FEATURES, "weird": WEIRD_FEATURES}
 
-    Missing logs leave their features at the contract defaults.
-    """
-    flows = window_features(logs["conn"], logs.get("dns"), logs.get("weird"), slot_seconds=slot_seconds)
-    known = set(WINDOW_FEATURES)
-    for kind in ("dns", "quic", "ssl"):
-        if logs.get(kind) is not None:
-            context = C.context_features(logs[kind], kind)
-            flows = flows.join(context, "uid", "left")
-            known.update(c for c in context.columns if c != "uid")
-    if logs.get("weird") is not None:
-        flows = flows.join(C.weird_features(logs["weird"]), "uid", "left")
-        known.update(WEIRD_FEATURES)
-    from_flow = C.flow_feature_columns()
-
-    def column(name: str) -> Column:
-        if name in from_flow:
-            value = from_flow[name]
-        elif name in known:
-            value = F.col(name)
-        else:
-            value = F.lit(None).cast("double")
-        neutral = 0.0 if name in DNS_FEATURES + QUIC_FEATURES + WEIRD_FEATURES + SSL_FEATURES else default_of(name)
-        return F.coalesce(value, F.lit(neutral)).alias(name)
 
+def feature_matrix(
+    logs: dict[str, DataFrame],
+    features: list[str] = FEATURE_COLUMNS,
+    slot_seconds: float = DEFAULT_SLOT_SECONDS,
+) -> DataFrame:
+    """Logs -> one row per connection: identity columns, then the features in contract order.
+
+    Asking for fewer features drops the joins and windows only the others need. Missing
+    logs leave their features at the contract defaults.
+    """
+    wanted = [f for f in FEATURE_COLUMNS if f in set(features)]
+    flows = window_features(
+        logs["conn"], logs.get("dns"), logs.get("weird"), [f for f in WINDOW_FEATURES if f in wanted], slot_seconds
+    )
+    columns = C.flow_feature_columns()
+    columns.update({f: F.col(f) for f in WINDOW_FEATURES})
+    for kind, members in _CONTEXT_GROUPS.items():
+        if logs.get(kind) is not None and any(f in wanted for f in members):
+            context = C.weird_features(logs[kind]) if kind == "weird" else C.context_features(logs[kind], kind)
+            flows = flows.join(context.select("uid", *[f for f in members if f in wanted]), "uid", "left")
+            columns.update({f: F.coalesce(F.col(f), F.lit(0.0)) for f in members})
     return flows.select(
-        *[F.col(c).alias(n) for n, c in IDENTITY.items()], *[column(n) for n in FEATURE_COLUMNS]
+        *[F.col(c).alias(n) for n, c in IDENTITY.items()],
+        *[columns.get(f, F.lit(default_of(f))).alias(f) for f in wanted],
     )
 
 
