@@ -31,15 +31,20 @@ def feature_matrix(
     logs: dict[str, DataFrame],
     features: list[str] = FEATURE_COLUMNS,
     slot_seconds: float = DEFAULT_SLOT_SECONDS,
+    targets: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
+    arrival: str | None = None,
 ) -> DataFrame:
     """Logs -> one row per connection: identity columns, then the features in contract order.
 
     Asking for fewer features drops the joins and windows only the others need. Missing
-    logs leave their features at the contract defaults.
+    logs leave their features at the contract defaults. ``targets`` and ``arrival`` are passed
+    on to :func:`window_features`; ``keep`` names further flow columns to carry along.
     """
     wanted = [f for f in FEATURE_COLUMNS if f in set(features)]
     flows = window_features(
-        logs["conn"], logs.get("dns"), logs.get("weird"), [f for f in WINDOW_FEATURES if f in wanted], slot_seconds
+        logs["conn"], logs.get("dns"), logs.get("weird"), [f for f in WINDOW_FEATURES if f in wanted], slot_seconds,
+        targets, arrival,
     )
     columns = C.flow_feature_columns()
     columns.update({f: F.col(f) for f in WINDOW_FEATURES})
@@ -49,7 +54,7 @@ def feature_matrix(
             flows = flows.join(context.select("uid", *[f for f in members if f in wanted]), "uid", "left")
             columns.update({f: F.coalesce(F.col(f), F.lit(0.0)) for f in members})
     return flows.select(
-        *[F.col(c).alias(n) for n, c in IDENTITY.items()],
+        *[F.col(c).alias(n) for n, c in IDENTITY.items()], *keep,
         *[columns.get(f, F.lit(default_of(f))).alias(f) for f in wanted],
     )
 

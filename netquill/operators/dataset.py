@@ -61,8 +61,10 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
 
 
 def unpivoted(table: DataFrame, features: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in features])
-    return table.select(F.inline(pairs))
+    """One ``(feature, value)`` row per cell, exploded from one array."""
+    cells = F.array(*[F.col(n).cast("double") for n in features])
+    names = F.array(*[F.lit(n) for n in features])
+    return table.select(F.posexplode(cells).alias("pos", "value")).select(F.get(names, F.col("pos")).alias("feature"), "value")
 
 
 def feature_profile(table: DataFrame, features: list[str] = FEATURE_COLUMNS) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_SLOT_SECONDS = 60.0
 _ENTER = 1
+TIE = "tie"  # order among rows of one key at one instant; constant unless arrival order counts
 
 
 def _slot(position: str, slot_seconds: float) -> Column:
@@ -33,8 +34,9 @@ def _slot(position: str, slot_seconds: float) -> Column:
 def neighbours(
     instants: DataFrame, keys: Sequence[str], ts: str = "ts", slot_seconds: float = DEFAULT_SLOT_SECONDS
 ) -> DataFrame:
-    """Add ``prev_ts`` / ``next_ts`` per key. ``(keys, ts)`` must be unique and not null."""
+    """Add ``prev_ts`` / ``next_ts`` per key. ``(keys, ts[, tie])`` must be unique and not null."""
     keys = list(keys)
+    ties = [TIE] if TIE in instants.columns else []
     slotted = instants.withColumn("_slot", _slot(ts, slot_seconds)).withColumn("_mark", F.lit(False))
     ends = slotted.groupBy(*keys, "_slot").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     over_slots = Window.partitionBy(*keys).orderBy("_slot")
@@ -48,7 +50,7 @@ def neighbours(
         .filter(F.col(ts).isNotNull())
         .withColumn("_mark", F.lit(True))
     )
-    within = Window.partitionBy(*keys, "_slot").orderBy(ts)
+    within = Window.partitionBy(*keys, "_slot").orderBy(ts, *ties)
     return (
         slotted.unionByName(markers, allowMissingColumns=True)
         .withColumn("prev_ts", F.lag(ts).over(within))
@@ -80,58 +82,62 @@ def moves(
     ``enters`` is what a row adds at ``ts``; ``leaves[h]`` is what goes away once ``ts``
     has dropped out of ``[t-h, t]``. ``rank`` orders movements at the same position: a
     departure happens after the arrivals at ``ts+h`` (both window ends are inclusive),
-    unless ``ts+h`` was rounded up past the true edge.
+    unless ``ts+h`` was rounded up past the true edge. With a ``tie`` column, arrivals at one
+    instant are further ordered by it.
     """
     names = list(enters)
+    tie = F.col(TIE) if TIE in rows.columns else F.lit(0)
     types = {n: "decimal(38,0)" if n.endswith("_sq") else "long" for n in names}
 
-    def row(pos: Column, rank: Column, values: dict[str, Column], sign: int) -> Column:
+    def row(pos: Column, rank: Column, order: Column, values: dict[str, Column], sign: int) -> Column:
         cells = []
         for n in names:
             v = values.get(n)
             cell = F.lit(0) if v is None else (v if sign > 0 else -v)
             cells.append(cell.cast(types[n]).alias(n))
-        return F.struct(pos.cast("double").alias("pos"), rank.cast("int").alias("rank"), *cells)
+        return F.struct(
+            pos.cast("double").alias("pos"), rank.cast("int").alias("rank"), order.cast("long").alias(TIE), *cells
+        )
 
     t = F.col(ts)
-    out = [row(t, F.lit(_ENTER), enters, 1)]
+    out = [row(t, F.lit(_ENTER), tie, enters, 1)]
     for h, gone in leaves.items():
         edge = t + F.lit(float(h))
         early = (edge - F.lit(float(h))) > t
-        out.append(row(edge, F.when(early, 0).otherwise(2), gone, -1))
+        out.append(row(edge, F.when(early, 0).otherwise(2), F.lit(0), gone, -1))
     return rows.select(*keys, F.inline(F.array(*out)))
 
 
 def running_totals(
     movements: DataFrame, keys: Sequence[str], slot_seconds: float = DEFAULT_SLOT_SECONDS
 ) -> DataFrame:
-    """Totals in force at every arrival instant: ``(keys, ts, measures)``, one row per instant."""
+    """Totals in force at every arrival instant: ``(keys, ts, tie, measures)``, one row per instant."""
     keys = list(keys)
-    measures = [c for c in movements.columns if c not in (*keys, "pos", "rank")]
+    measures = [c for c in movements.columns if c not in (*keys, "pos", "rank", TIE)]
     types = dict(movements.dtypes)
 
     def total(m: str) -> Column:
         return F.sum(m).cast(types[m]).alias(m)
 
-    at = movements.groupBy(*keys, "pos", "rank").agg(*[total(m) for m in measures])
+    at = movements.groupBy(*keys, "pos", "rank", TIE).agg(*[total(m) for m in measures])
     slotted = at.withColumn("_slot", _slot("pos", slot_seconds))
     per_slot = slotted.groupBy(*keys, "_slot").agg(*[total(m) for m in measures])
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slot.select(
         *keys, "_slot",
-        F.lit(None).cast("double").alias("pos"), F.lit(0).alias("rank"),
+        F.lit(None).cast("double").alias("pos"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias(TIE),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).cast(types[m]).alias(m) for m in measures],
     )
     upto = (
         Window.partitionBy(*keys, "_slot")
-        .orderBy(F.col("pos").asc_nulls_first(), "rank")
+        .orderBy(F.col("pos").asc_nulls_first(), "rank", TIE)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         slotted.unionByName(carry)
-        .select(*keys, "pos", "rank", *[F.sum(m).over(upto).cast(types[m]).alias(m) for m in measures])
+        .select(*keys, "pos", "rank", TIE, *[F.sum(m).over(upto).cast(types[m]).alias(m) for m in measures])
         .filter(F.col("pos").isNotNull() & (F.col("rank") == _ENTER))
-        .select(*keys, F.col("pos").alias("ts"), *measures)
+        .select(*keys, F.col("pos").alias("ts"), TIE, *measures)
     )
 
 

@@ -75,9 +75,12 @@ def _run_flags(name: str, horizon: float) -> tuple[dict[str, Column], dict[float
     return {name: opens}, {horizon: {name: closes}}
 
 
+def _instant(rows: DataFrame) -> list[str]:
+    return ["ts", TL.TIE] if TL.TIE in rows.columns else ["ts"]
+
+
 def _distinct_instants(rows: DataFrame, keys: list[str], slot_seconds: float) -> DataFrame:
-    return TL.neighbours(rows.groupBy(*keys, "ts").agg(F.lit(True).alias("_seen")).drop("_seen"), keys,
-                         slot_seconds=slot_seconds)
+    return TL.neighbours(rows.select(*keys, *_instant(rows)).distinct(), keys, slot_seconds=slot_seconds)
 
 
 def _merged(parts: list[DataFrame | None]) -> DataFrame:
@@ -118,8 +121,8 @@ def source_totals(flows: DataFrame, dns: DataFrame | None, weird: DataFrame | No
             parts.append(_part(names, key, wanted, *_run_flags("domains", 60.0)))
     if weird is not None:
         parts.append(_part(weird.filter(known), key, wanted, {"weird": one}, {60.0: ["weird"]}))
-    if not any(parts):  # only features of logs that are absent were asked for
-        parts = [TL.moves(flows, key, {m: F.lit(0) for m in wanted}, {})]
+    if parts[0] is None:  # flows must still mark the instants at which totals are read
+        parts[0] = TL.moves(flows, key, {m: F.lit(0) for m in wanted}, {})
     return TL.running_totals(_merged(parts), key, slot_seconds)
 
 
@@ -142,7 +145,7 @@ def destination_totals(flows: DataFrame, wanted: list[str], slot_seconds: float)
 def pair_totals(flows: DataFrame, wanted: list[str], slot_seconds: float) -> DataFrame:
     key = ["src_ip", "dst_ip"]
     big = F.col("orig_bytes").cast("decimal(19,0)")
-    at = flows.groupBy(*key, "ts").agg(
+    at = flows.groupBy(*key, *_instant(flows)).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("orig_bytes").alias("ob"), F.sum(big * big).cast("decimal(38,0)").alias("ob_sq"),
     )
     at = TL.neighbours(at, key, slot_seconds=slot_seconds)
@@ -228,15 +231,28 @@ def window_features(
     weird: DataFrame | None = None,
     features: Iterable[str] = WINDOW_FEATURES,
     slot_seconds: float = TL.DEFAULT_SLOT_SECONDS,
+    targets: DataFrame | None = None,
+    arrival: str | None = None,
 ) -> DataFrame:
-    """``flows`` plus the requested window features.
+    """Flows plus the requested window features.
 
     Only the totals the requested features need are computed; each of the up to three
     keys costs one join back on (key, instant). ``slot_seconds`` sets how finely a busy
     key is cut; results do not depend on it.
+
+    ``targets`` restricts the rows that receive features (default: all of ``flows``).
+    ``arrival`` names a unique arrival number: then a flow sees only those flows of its own
+    instant that arrived before it, as in a replay; DNS and anomaly rows always count as earlier.
     """
     features = list(features)
-    out = flows
+    out = flows if targets is None else targets
+    names = out.columns
+    if arrival is not None:
+        flows = flows.withColumn(TL.TIE, F.col(arrival).cast("long"))
+        out = out.withColumn(TL.TIE, F.col(arrival).cast("long"))
+        first = F.lit(-(2 ** 62)).cast("long")
+        dns = None if dns is None else dns.withColumn(TL.TIE, first)
+        weird = None if weird is None else weird.withColumn(TL.TIE, first)
     groups = [
         (SRC_WINDOW_FEATURES, ["src_ip"], lambda w: source_totals(flows, dns, weird, w, slot_seconds)),
         (DST_WINDOW_FEATURES, ["dst_ip"], lambda w: destination_totals(flows, w, slot_seconds)),
@@ -245,6 +261,7 @@ def window_features(
     for members, key, build in groups:
         asked = [f for f in members if f in features]
         if asked:
-            totals = build(_measures(asked)).select(*key, "ts", *[_project(f) for f in asked])
-            out = out.join(totals, [*key, "ts"], "left")
-    return out.select(*flows.columns, *[f for f in WINDOW_FEATURES if f in features])
+            at = [*key, *_instant(out)]
+            totals = build(_measures(asked)).select(*at, *[_project(f) for f in asked])
+            out = out.join(totals, at, "left")
+    return out.select(*names, *[f for f in WINDOW_FEATURES if f in features])

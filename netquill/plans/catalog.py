@@ -27,6 +27,7 @@ from netquill.operators import windows as W
 from netquill.plans import oracle as O
 from netquill.sources import bindings as B
 from netquill.sources import tables as T
+from netquill.sources.stage import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -505,14 +506,14 @@ _PROFILE_SQL = f"""
 
 @query("feature_profile", _PROFILE_SQL)
 def _(spark, d):
-    return D.feature_profile(matrix(spark, d, K.FEATURE_COLUMNS))
+    return D.feature_profile(staged(matrix(spark, d, K.FEATURE_COLUMNS)))
 
 
 @query("feature_flags", f"""
     SELECT feature, unique_count = 1 AS is_constant, unique_count <> 1 AND unique_count <= 3 AND zero_pct > 95 AS is_near_constant,
            unique_count <> 1 AND zero_pct >= 90 AS is_sparse, max - min > 10000 AS is_extreme_range FROM ({_PROFILE_SQL})""")
 def _(spark, d):
-    return D.feature_flags(D.feature_profile(matrix(spark, d, K.FEATURE_COLUMNS)))
+    return D.feature_flags(D.feature_profile(staged(matrix(spark, d, K.FEATURE_COLUMNS))))
 
 
 # A coarse feature subset, so that equal vectors do occur.
@@ -529,9 +530,9 @@ def _(spark, d):
 
 @query("duplicate_members", f"""
     SELECT min(flow_uid) OVER w AS cluster_id, flow_uid, experiment_id, label, protocol, destination_endpoint
-    FROM ({O.labelled_select(_COARSE)}) QUALIFY count(*) OVER w > 1 WINDOW w AS (PARTITION BY {_COARSE_SQL})""")
+    FROM ({O.labelled_select(_COARSE)}) WINDOW w AS (PARTITION BY {_COARSE_SQL}) QUALIFY count(*) OVER w > 1""")
 def _(spark, d):
-    return D.duplicate_members(labelled(spark, d, _COARSE), _COARSE)
+    return D.duplicate_members(staged(labelled(spark, d, _COARSE)), _COARSE)
 
 
 _AUDITED = ["missed_bytes", "has_ssl_context", "has_dns_context", "flow_duration", "orig_bytes", "resp_bytes"]
@@ -816,10 +817,9 @@ def _(spark, d):
     return E.importance_stability(per_seed.agg(F.avg("max_confidence").alias("importance")))
 
 
-_NARROW = K.FLOW_FEATURES + K.DNS_FEATURES
-
-
-@query("zero_variance_columns", "SELECT unnest(['missed_bytes', 'is_src_private_ip', 'is_dst_private_ip', 'proto_is_icmp', 'history_has_reset', 'dns_qtype_is_NULL_']) AS feature LIMIT 5")
+@query("zero_variance_columns", f"""
+    SELECT feature FROM (UNPIVOT (SELECT {', '.join(f'"{c}"' for c in K.FLOW_FEATURES)} FROM flowf_v) ON COLUMNS(*) INTO NAME feature VALUE value)
+    GROUP BY feature HAVING count(DISTINCT value) <= 1""")
 def _(spark, d):
     return D.zero_variance_columns(matrix(spark, d, K.FLOW_FEATURES), K.FLOW_FEATURES)
 

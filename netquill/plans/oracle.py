@@ -83,11 +83,11 @@ VIEWS = {
                max_p AS max_confidence, label = ['BENIGN', 'DDOS', 'RECON', 'DNS_TUNNEL', 'C2_BEACON', 'SLOW_HTTP'][top] AS is_correct
         FROM pred_v""",
     "verdict_v": """
-        SELECT *, ['BENIGN', 'DDOS', 'RECON', 'DNS_TUNNEL', 'C2_BEACON', 'SLOW_HTTP'][at] AS predicted_label,
-               CAST([0, 1, 2, 4, 5, 7][at] AS INTEGER) AS predicted_class_id, round_even(conf, 4) AS confidence,
+        SELECT *, ['BENIGN', 'DDOS', 'RECON', 'DNS_TUNNEL', 'C2_BEACON', 'SLOW_HTTP'][pick] AS predicted_label,
+               CAST([0, 1, 2, 4, 5, 7][pick] AS INTEGER) AS predicted_class_id, round_even(conf, 4) AS confidence,
                conf < 0.40::DOUBLE AS abstained,
                CASE WHEN conf < 0.40::DOUBLE THEN 'ANALYST_REVIEW' ELSE 'AUTOMATED_DETECTION' END AS decision
-        FROM (SELECT *, CASE WHEN p[3] >= 0.35::DOUBLE AND p[3] >= max_p * 0.9::DOUBLE THEN 3 ELSE top END AS at,
+        FROM (SELECT *, CASE WHEN p[3] >= 0.35::DOUBLE AND p[3] >= max_p * 0.9::DOUBLE THEN 3 ELSE top END AS pick,
                      CASE WHEN p[3] >= 0.35::DOUBLE AND p[3] >= max_p * 0.9::DOUBLE THEN p[3] ELSE max_p END AS conf
               FROM pred_v)""",
     "alert_v": """

@@ -203,11 +203,12 @@ def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored row per flow: label, class-probability array and latency."""
     e = _events(spark, sf_dir)
-    weights = [(F.lit(1) + (F.col("event_id") * p + F.col("k")) % 97).cast("double") for p in PRIMES]
-    total = sum(weights[1:], weights[0])
+    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
+    weights = F.transform(primes, lambda p: (F.lit(1) + (F.col("event_id") * p + F.col("k")) % 97).cast("double"))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     scored = e.select(
         "uid", "event_id",
-        F.array(*[w / total for w in weights]).alias("probs"),
+        F.transform(weights, lambda x: x / total).alias("probs"),
         ((F.col("event_id") * 37 + F.col("k")) % 1000 / F.lit(10.0) + 5.0).alias("processing_time_ms"),
     )
     return scored.join(run_labels(spark, sf_dir), "uid")

@@ -23,17 +23,18 @@ RAW_ROW = T.StructType([
 _META = "#"
 
 
-def with_place(lines: DataFrame) -> DataFrame:
-    """Text rows (batch or one streaming micro-batch) plus their place in the file."""
+def located(lines: DataFrame) -> DataFrame:
+    """Text rows plus the file and block they come from; also valid on a stream."""
     return lines.select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("seq"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Located rows (a batch read or one micro-batch) plus their line order in ``seq``."""
+    return rows.select("value", F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("seq"))
+
+
 def _separator(text: Column) -> Column:
     """``\\x09``-style or literal separator of a ``#separator`` line."""
     token = F.get(F.split(F.trim(text), r"\s+"), F.lit(1))
@@ -101,7 +102,7 @@ def malformed_counts(placed: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return with_place(spark.read.text(path))
+    return with_place(located(spark.read.text(path)))
 
 
 def zeek_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
