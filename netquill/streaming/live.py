@@ -11,7 +11,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,7 +39,7 @@ def log_lines(spark: SparkSession, directory: str, max_files_per_trigger: int |
     return Z.located(reader.load(directory))
 
 
-def kind_of(file: str = "file") -> F.Column:
+def kind_of(file: str = "file") -> Column:
     """``.../conn.log`` and ``.../conn.2024-01-01.log`` are both kind ``conn``."""
     return F.regexp_extract(file, r"([A-Za-z0-9_]+)[^/]*\.log$", 1)
 
