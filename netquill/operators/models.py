@@ -59,7 +59,9 @@ def with_class_weight(rows: DataFrame) -> DataFrame:
 def majority_probabilities(train: DataFrame, rows: DataFrame) -> DataFrame:
     """The dummy baseline: all probability on the most frequent training class."""
     top = train.groupBy("y").agg(F.count(F.lit(1)).alias("c")).agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("y")).scalar()
-    return rows.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(_N - 1)), lambda i: (i == top).cast("double")))
+    return rows.withColumn("_top", top).withColumn(
+        "probs", F.array(*[(F.col("_top") == i).cast("double") for i in range(_N)])
+    ).drop("_top")
 
 
 def _gbt(max_iter: int = 20, max_depth: int = 5, step: float = 0.1, min_instances: int = 20, seed: int = SEED) -> GBTClassifier:

@@ -143,3 +143,21 @@ def silver(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
         if kind in raw:
             out[kind] = typed_aux(raw[kind], kind)
     return out
+
+
+def write_zeek(rows: DataFrame, path: str, key: str = "uid", order: tuple[str, ...] = (), files: int | None = None) -> None:
+    """Write text columns as log files. Rows of one ``key`` stay together, sorted by ``order``.
+
+    Every group of rows is preceded by its own ``#fields`` line, so each file starts with one.
+    """
+    files = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in rows.columns if c not in order]
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in columns])
+    place = F.pmod(F.xxhash64(key), F.lit(files)).cast("long")
+    body = rows.select(line.alias("value"), place.alias("_p"), F.lit(1).alias("_r"), F.col(key).alias("_k"), *order)
+    nulls = [F.lit(None).cast(dict(body.dtypes)[c]).alias(c) for c in ("_k", *order)]
+    header = rows.sparkSession.range(files).select(
+        F.lit("\t".join(["#fields", *columns])).alias("value"), F.col("id").alias("_p"), F.lit(0).alias("_r"), *nulls
+    )
+    placed = body.unionByName(header).repartition(files, "_p").sortWithinPartitions("_p", "_r", "_k", *order)
+    placed.select("value").write.mode("overwrite").text(path)

@@ -31,17 +31,17 @@ Scorer = Callable[[DataFrame], DataFrame]
 Subscriber = Callable[[DataFrame, int], None]
 
 
-def log_lines(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming text rows of all ``*.log`` files below ``directory``."""
-    reader = spark.readStream.format("text").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true")
+def log_lines(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None, names: str = "*.log") -> DataFrame:
+    """Streaming text rows of all files named like ``names`` below ``directory``."""
+    reader = spark.readStream.format("text").option("pathGlobFilter", names).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return Z.located(reader.load(directory))
 
 
 def kind_of(file: str = "file") -> Column:
-    """``.../conn.log`` and ``.../conn.2024-01-01.log`` are both kind ``conn``."""
-    return F.regexp_extract(file, r"([A-Za-z0-9_]+)[^/]*\.log$", 1)
+    """``.../conn.log``, ``.../conn.2024-01-01.log`` and ``.../conn.log/part-0`` are kind ``conn``."""
+    return F.regexp_extract(file, r"/([A-Za-z0-9_]+)[^/]*\.log(?:/[^/]*)?$", 1)
 
 
 def poll_summary(records: DataFrame) -> DataFrame:
@@ -127,9 +127,10 @@ class LiveDetector:
             except Exception:  # noqa: BLE001 - one subscriber must not stop the stream or the others
                 log.exception("alert subscriber failed on batch %s", batch_id)
 
-    def start(self, directory: str, continuous_every: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    def start(self, directory: str, continuous_every: str | None = None, max_files_per_trigger: int | None = None,
+              names: str = "*.log") -> StreamingQuery:
         """Run over ``directory``: everything available and stop, or every ``continuous_every`` (e.g. ``1 second``)."""
-        writer = log_lines(self.spark, directory, max_files_per_trigger).writeStream.foreachBatch(self.process)
+        writer = log_lines(self.spark, directory, max_files_per_trigger, names).writeStream.foreachBatch(self.process)
         writer = writer.option("checkpointLocation", self.path("checkpoint"))
         if continuous_every is None:
             return writer.trigger(availableNow=True).start()
