@@ -1,8 +1,9 @@
 """Exact interpolated percentiles without collecting a group.
 
 A mergeable sketch brackets every wanted rank, one combined pass counts what lies below
-the bracket and how often each value inside it occurs, and only those few distinct values
-are ranked. The bracket is wider than the sketch's guaranteed error, so the answer is exact.
+the bracket and how often each value inside it occurs. The bracket is then cut into equal steps whose counts are
+small; only the distinct values of the step that holds the rank are ordered. The bracket is
+wider than the sketch's guaranteed error, so the answer is exact.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 _KEEP_ALL_BELOW = 10 * SKETCH_ACCURACY  # small groups are ranked whole
+_STEPS = 1024
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -36,16 +38,31 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     ])
     open_low = F.when(F.col("n") > _KEEP_ALL_BELOW, F.col("t.low")).otherwise(F.lit(float("-inf")))
     open_high = F.when(F.col("n") > _KEEP_ALL_BELOW, F.col("t.high")).otherwise(F.lit(float("inf")))
+    inside = F.col("_v") >= open_low
+    share = (F.col("_v") - F.col("t.low")) / (F.col("t.high") - F.col("t.low"))
+    step = (
+        F.when(~inside, -1)
+        .when((F.col("n") > _KEEP_ALL_BELOW) & (F.col("t.high") > F.col("t.low")), F.least(F.lit(_STEPS), F.floor(share * _STEPS)))
+        .otherwise(0)
+    )
     placed = (
         rows.join(cuts, by)
         .withColumn("t", F.explode(targets))
         .filter(F.col("_v") <= open_high)
-        .select(*by, "n", "t.name", "t.p", F.when(F.col("_v") >= open_low, F.col("_v")).alias("_v"))
+        .select(*by, "n", "t.name", "t.p", step.cast("int").alias("step"), F.when(inside, F.col("_v")).alias("_v"))
+    )
+    counted = placed.groupBy(*by, "n", "name", "p", "step", "_v").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.partitionBy(*by, "name").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = counted.groupBy(*by, "name", "step").agg(F.sum("c").alias("in_step"))
+    steps = steps.withColumn("before", F.coalesce(F.sum("in_step").over(earlier), F.lit(0)))
+    rank = F.col("p") * (F.col("n") - 1)
+    wanted = (F.col("before") <= F.ceil(rank)) & (F.col("before") + F.col("in_step") > F.floor(rank))
+    within = Window.partitionBy(*by, "name", "step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        counted.join(steps, [*by, "name", "step"]).filter(wanted & (F.col("step") >= 0))
+        .withColumn("reached", F.col("before") + F.sum("c").over(within)).withColumn("rank", rank)
     )
-    counted = placed.groupBy(*by, "n", "name", "p", "_v").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("reached", F.sum("c").over(upto)).withColumn("rank", F.col("p") * (F.col("n") - 1))
-    at = lambda k: F.min(F.when(F.col("_v").isNotNull() & (F.col("reached") > k), F.col("_v")))
+    at = lambda k: F.min(F.when(F.col("reached") > k, F.col("_v")))
     found = ranked.groupBy(*by, "n", "name", "rank").agg(
         at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b")
     )

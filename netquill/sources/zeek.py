@@ -110,11 +110,11 @@ def zeek_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return records(_lines(spark, path))
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
+def existing(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths matching a glob on any Hadoop file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    return [str(f.getPath()) for f in found] if found is not None else []
 
 
 def zeek_dir_scan(spark: SparkSession, directory: str, kinds: list[str] = LOG_KINDS) -> dict[str, DataFrame]:
@@ -123,7 +123,7 @@ def zeek_dir_scan(spark: SparkSession, directory: str, kinds: list[str] = LOG_KI
     out = {}
     for kind in kinds:
         pattern = f"{directory.rstrip('/')}/{kind}.log"
-        out[kind] = zeek_scan(spark, pattern) if _exists(spark, pattern) else empty
+        out[kind] = zeek_scan(spark, pattern) if existing(spark, pattern) else empty
     return out
 
 

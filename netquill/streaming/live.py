@@ -1,9 +1,9 @@
 """Live detection: a directory of closed log files -> features -> alerts.
 
 Files must be complete when they appear (rotated or moved in), because the file source sees
-files, not growth. Each micro-batch first lands its rows in a history table partitioned by
-batch and hour, then reads back only the hours its windows can reach. A replayed batch
-overwrites its own partitions, so restarts neither lose nor double rows.
+files, not growth. Each micro-batch is parsed once, lands its typed rows in a history table
+partitioned by hour and batch, and reads back only the hours its windows can reach. A
+replayed batch overwrites its own partitions, so restarts neither lose nor double rows.
 """
 
 from __future__ import annotations
@@ -69,58 +69,68 @@ class LiveDetector:
     def _replace(self, df: DataFrame, table: str, *partitions: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table))
 
-    def _history(self, kind: str, batch_id: int, since: float) -> DataFrame | None:
-        path = self.path(f"history/{kind}")
-        if not Z._exists(self.spark, f"{path}/batch_id=*"):
+    def _read(self, table: str, *globs: str) -> DataFrame | None:
+        """The partitions of a table that match one of the globs; others are not even listed."""
+        paths = [p for g in globs for p in Z.existing(self.spark, f"{self.path(table)}/{g}")]
+        return self.spark.read.option("basePath", self.path(table)).parquet(*paths) if paths else None
+
+    def _own(self, kind: str, batch_id: int) -> DataFrame | None:
+        return self._read(f"history/{kind}", f"bucket=*/batch_id={batch_id}")
+
+    def _history(self, kind: str, batch_id: int, since: float, until: float) -> DataFrame | None:
+        hours = range(int(since // BUCKET_SECONDS), int(until // BUCKET_SECONDS) + 1)
+        rows = self._read(f"history/{kind}", *[f"bucket={h}" for h in hours])
+        if rows is None:
             return None
-        rows = self.spark.read.parquet(path)
-        rows = rows.filter((F.col("batch_id") <= batch_id) & (F.col("bucket") >= int(since // BUCKET_SECONDS)) & (F.col("ts") >= since))
+        rows = rows.filter((F.col("batch_id") <= batch_id) & (F.col("ts") >= since))
         return rows.withColumn("seq", F.struct("batch_id", "seq")) if "seq" in rows.columns else rows
 
-    def _land(self, batch: DataFrame, batch_id: int) -> None:
-        """Parse the batch once per kind and store the typed rows."""
-        placed = Z.with_place(batch)
-        counts = Z.records(placed).select(kind_of("seq.file").alias("kind"))
-        self._replace(poll_summary(counts).withColumn("batch_id", F.lit(batch_id)), "summary", "batch_id")
-        self._replace(Z.malformed(placed).withColumn("batch_id", F.lit(batch_id)), "quarantine", "batch_id")
+    def _land(self, batch: DataFrame, batch_id: int) -> float | None:
+        """Parse the batch, store its rows by kind; returns the newest flow time before it."""
+        number = F.lit(batch_id)
+        rows = Z.parsed(Z.with_place(batch)).withColumn("kind", kind_of()).filter(F.col("kind").isin(LOG_KINDS))
+        self._replace(rows.withColumn("batch_id", number), "bronze", "batch_id", "kind")
+        bronze = self._read("bronze", f"batch_id={batch_id}")
+        if bronze is None:
+            bronze = rows.limit(0)
+        bad = bronze.filter(F.col("reason").isNotNull())
+        self._replace(bad.select("file", F.col("seq.line").alias("line"), F.col("value").alias("text"), "reason", "kind")
+                      .withColumn("batch_id", number), "quarantine", "batch_id")
+        good = bronze.filter(F.col("reason").isNull()).select("kind", "seq", F.map_from_arrays("fields", "cells").alias("record"))
         for kind in FEATURE_KINDS:
-            rows = Z.records(placed.filter(kind_of("seq.file") == kind))
-            typed = Z.silver({"conn": rows})["conn"] if kind == "conn" else Z.typed_aux(rows, kind)
-            stored = typed.withColumn("batch_id", F.lit(batch_id)).withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS))
-            self._replace(stored, f"history/{kind}", "batch_id", "bucket")
-
-    def _newest_before(self, batch_id: int) -> float | None:
-        """Largest flow time of earlier batches: the watermark's base."""
-        path = self.path("history/conn")
-        if not Z._exists(self.spark, f"{path}/batch_id=*"):
-            return None
-        rows = self.spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-        top = rows.agg(F.max("bucket")).first()[0]
-        return None if top is None else rows.filter(F.col("bucket") == top).agg(F.max("ts")).first()[0]
+            records = good.filter(F.col("kind") == kind).drop("kind")
+            typed = Z.silver({"conn": records})["conn"] if kind == "conn" else Z.typed_aux(records, kind)
+            stored = typed.withColumn("batch_id", number).withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS))
+            self._replace(stored, f"history/{kind}", "bucket", "batch_id")
+        last = self._read("summary", f"batch_id={batch_id - 1}")
+        before = None if last is None else last.agg(F.max("newest")).first()[0]
+        own = self._own("conn", batch_id)
+        newest = None if own is None else own.agg(F.max("ts")).first()[0]
+        known = [x for x in (before, newest) if x is not None]
+        summary = poll_summary(good).withColumn("newest", F.lit(max(known) if known else None).cast("double"))
+        self._replace(summary.withColumn("batch_id", number), "summary", "batch_id")
+        return before
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch, as called by ``foreachBatch``."""
-        self._land(batch, batch_id)
-        own = self._history("conn", batch_id, float("-1e15"))
-        own = None if own is None else own.filter(F.col("batch_id") == batch_id)
-        if own is None or own.isEmpty():
+        newest = self._land(batch, batch_id)
+        own = self._own("conn", batch_id)
+        if own is None:
             return
-        newest = self._newest_before(batch_id)
-        deadline = float("-1e15") if newest is None else newest - self.allowed_lateness
-        late = own.filter(F.col("ts") < deadline).withColumn("bucket", F.lit(batch_id)).drop("bucket")
-        self._replace(late, "late", "batch_id")
+        deadline = float("-inf") if newest is None else newest - self.allowed_lateness
+        self._replace(own.filter(F.col("ts") < deadline).drop("bucket"), "late", "batch_id")
         fresh = own.filter(F.col("ts") >= deadline)
-        earliest = fresh.agg(F.min("ts")).first()[0]
+        earliest, latest = fresh.agg(F.min("ts"), F.max("ts")).first()
         if earliest is None:
             return
-        logs = {k: self._history(k, batch_id, earliest - self.reach) for k in FEATURE_KINDS}
+        logs = {k: self._history(k, batch_id, earliest - self.reach, latest + self.reach) for k in FEATURE_KINDS}
         logs = {k: v for k, v in logs.items() if v is not None}
         matrix = A.feature_matrix(logs, slot_seconds=self.slot_seconds, targets=fresh)
         self._replace(matrix.withColumn("batch_id", F.lit(batch_id)), "features", "batch_id")
-        stored = self.spark.read.parquet(self.path("features")).filter(F.col("batch_id") == batch_id).drop("batch_id")
+        stored = self._read("features", f"batch_id={batch_id}").drop("batch_id")
         alerts = encode_alerts(A.alert_rows(as_flows(self.scorer(stored))))
         self._replace(alerts.drop("alert_date").withColumn("batch_id", F.lit(batch_id)), "alerts", "batch_id")
-        written = self.spark.read.parquet(self.path("alerts")).filter(F.col("batch_id") == batch_id)
+        written = self._read("alerts", f"batch_id={batch_id}")
         for subscriber in self.subscribers:
             try:
                 subscriber(written, batch_id)
