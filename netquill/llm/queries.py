@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from netquill.llm.exact_dedup import exact_duplicates
 from netquill.llm.langid import identify
+from netquill.llm.license_scan import scan as scan_licenses
+from netquill.llm.license_scan import sql as license_sql
 from netquill.llm.topk_search import top_k
 from netquill.llm.toxicity import fit as fit_toxicity
 from netquill.llm.toxicity import score as score_toxicity
@@ -71,3 +73,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op7_license_scan", license_sql())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
