@@ -143,15 +143,15 @@ class Lattice:
         self.before[nodes] = self.total[first] - units[first]
         self.sum[nodes] = self.total[ends[1:] - 1] - self.before[nodes]
 
-    def sample(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward sampling from the end node of each occurrence: (occurrence, arc) pairs in text order, and step counts."""
+    def sample(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling from the end node of each occurrence: (occurrence, arc) pairs in text order."""
         active, stop, steps = np.arange(len(node)), self.base[1], 0
         who, arcs = [], []
         while len(active):
             with np.errstate(over="ignore"):
                 draw = mix64(seed[active] + np.uint64(steps) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)
             here = node[active]
-            target = self.before[here] + ((draw.astype(object) * 0 if False else draw.astype(np.int64)) * (self.sum[here] >> 1) >> 31)
+            target = self.before[here] + ((draw >> np.uint64(2)).astype(np.int64) * self.sum[here] >> 30)
             arc = np.searchsorted(self.total, target, side="right")
             who.append(active)
             arcs.append(arc)
@@ -161,7 +161,7 @@ class Lattice:
         who_all, arc_all = np.concatenate(who), np.concatenate(arcs)
         step = np.repeat(np.arange(len(who)), [len(w) for w in who])
         order = np.lexsort((-step, who_all))
-        return who_all[order], arc_all[order], step
+        return who_all[order], arc_all[order]
 
 
 def encode_chunk(p: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def encode_chunk(p: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.nda
     number = np.arange(len(start)) - np.searchsorted(text, np.arange(texts))[text]
     with np.errstate(over="ignore"):
         seed = mix64(seeds[text] ^ mix64(number.astype(np.uint64) + np.uint64(1)))
-    who, arc, _ = lattice.sample(lattice.base[end - start] + rank[kind], seed)
+    who, arc = lattice.sample(lattice.base[end - start] + rank[kind], seed)
     per_text = np.bincount(text[who], minlength=texts)
     return lattice.ids[arc], per_text, np.bincount(text[who], weights=lattice.weight[arc], minlength=texts)
 

@@ -11,6 +11,8 @@ from netquill.llm.exact_dedup import exact_duplicates
 from netquill.llm.langid import identify
 from netquill.llm.license_scan import scan as scan_licenses
 from netquill.llm.license_scan import sql as license_sql
+from netquill.llm.packing import pack
+from netquill.llm.piece_sampling import round_trip
 from netquill.llm.topk_search import top_k
 from netquill.llm.toxicity import fit as fit_toxicity
 from netquill.llm.toxicity import score as score_toxicity
@@ -33,6 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; it lies in the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
@@ -79,3 +88,13 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op8_piece_sampling")
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op3_curve_packing")
+def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
