@@ -11,6 +11,7 @@ from netquill.llm.exact_dedup import exact_duplicates
 from netquill.llm.langid import identify
 from netquill.llm.license_scan import scan as scan_licenses
 from netquill.llm.license_scan import sql as license_sql
+from netquill.llm.near_dedup import near_duplicates
 from netquill.llm.packing import pack
 from netquill.llm.piece_sampling import round_trip
 from netquill.llm.topk_search import top_k
@@ -98,3 +99,8 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_curve_packing")
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
