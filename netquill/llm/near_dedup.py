@@ -3,7 +3,8 @@
 1. One pass over the texts makes the set of word shingles of each text, its size, a 128-bit name and its sketch. Texts with the same set
    form a class; from here on a class counts once, however many copies it has.
 2. Bands of registers put classes into buckets. Of the buckets with several classes, every class is first compared with one other: the
-   bucket leader with which it shares most bands. That links most groups.
+   bucket leader with which it shares most bands; the leader of a bucket is its class that meets most others in all bands. That links
+   most groups.
 3. What is left are pairs in a bucket that are not yet connected. They are estimated in blocks, from the sketches, and only pairs whose
    likelihood estimate comes near the threshold leave the block. Pairs that are already connected cannot change a component.
 4. Every candidate is confirmed on the full sets. Components are labelled with their smallest id.
@@ -26,7 +27,7 @@ from netquill.llm.components import components
 
 BAND_ROWS = 8
 #: Members of a bucket that one block compares at a time; larger buckets are cut into pairs of blocks.
-BLOCK = 512
+BLOCK = 256
 _CHUNK_BYTES = 1 << 20
 
 
@@ -88,8 +89,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "ea", "eb").mapInArrow(counted, "a long, b long")
 
 
-def _estimated(blocks: DataFrame, least: float, ratio: float) -> DataFrame:
-    """Pairs within a block, of different components, whose sizes and estimate allow the threshold. Blocks arrive in order."""
+def _estimated(blocks: DataFrame, least: float, ratio: float, band_rows: int) -> DataFrame:
+    """Pairs within a block, of different components, whose sizes and estimate allow the threshold; each pair once. Blocks arrive
+    in order."""
 
     def pairs_of(group: dict) -> tuple[np.ndarray, np.ndarray]:
         side = group["side"]
@@ -120,6 +122,8 @@ def _estimated(blocks: DataFrame, least: float, ratio: float) -> DataFrame:
                     i, j = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
                     for at in range(0, len(i), 20_000):
                         x, y = i[at : at + 20_000], j[at : at + 20_000]
+                        here = setsketch.first_common_band(sketch[x], sketch[y], band_rows) == part["bucket"][x] % setsketch.BANDS_MOST
+                        x, y = x[here], y[here]  # a pair counts in one of its buckets only
                         s = setsketch.similarity(sketch[x], sketch[y], part["n"][x].astype(float), part["n"][y].astype(float))
                         x, y = x[s >= least], y[s >= least]
                         p, q = part["cid"][x], part["cid"][y]
@@ -163,12 +167,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                 yield pa.record_batch([pa.array(hashes.ravel()), pa.array(np.repeat(part.column("cid").to_numpy(), hashes.shape[1]))], ["bucket", "cid"])
 
     bands = classes.select("cid", "sketch").mapInArrow(banded, "bucket long, cid long")
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("leader")).filter(F.col("size") > 1)
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(bands.join(buckets, "bucket"), "near-members")
+    # a bucket is led by the class that meets most others: in a star of copies, the text they are copies of
+    met = members.groupBy("cid").agg(F.sum("size").alias("met"))
+    leaders = members.join(met, "cid").groupBy("bucket").agg(F.max(F.struct("met", "cid")).alias("lead")).select("bucket", F.col("lead.cid").alias("leader"))
     inside = members.select("cid").distinct().join(classes.select("cid", "first.doc_id", "first.text_key"), "cid")
     sets = written(_sets(docs, inside, key, text), "near-sets")
 
-    led = members.filter(F.col("cid") != F.col("leader")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("bands"))
+    led = members.join(leaders, "bucket").filter(F.col("cid") != F.col("leader")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("bands"))
     led = led.groupBy("cid").agg(F.max(F.struct("bands", "leader")).alias("best")).select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
     links = written(_confirmed(led, sets, percent), "near-links")
     roots = written(components(links), "near-roots")
@@ -186,7 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     blocks = open_rows.repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj", "cid")
     least = percent / 100 - 4 * float(np.sqrt(percent / 100 * (1 - percent / 100) / setsketch.REGISTERS))
-    candidates = written(_estimated(blocks, least, percent / 100).distinct(), "near-candidates")
+    candidates = written(_estimated(blocks, least, percent / 100, band_rows).distinct(), "near-candidates")
     more = written(_confirmed(candidates, sets, percent), "near-more")
     roots = written(components(links.unionByName(more)), "near-components")
 

@@ -22,6 +22,7 @@ REGISTERS = 320
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65534  # q: registers are 0 to q + 1, two bytes
+BANDS_MOST = 64
 
 _PLACE = random_words(31, 64) | np.uint64(1)
 
@@ -101,12 +102,21 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
 
 
 def band_hashes(registers: np.ndarray, rows: int) -> np.ndarray:
-    """One hash for each run of ``rows`` registers (sets x bands); the band number is part of it."""
+    """One hash for each run of ``rows`` registers (sets x bands); its last six bits are the band's number."""
     sets, m = registers.shape
+    if m // rows > BANDS_MOST:
+        raise ValueError(f"at most {BANDS_MOST} bands")
     parts = registers.reshape(sets, m // rows, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
         mixed = (parts * _PLACE[:rows]).sum(axis=2)
-        return mix64(mixed + mix64(np.arange(1, m // rows + 1, dtype=np.uint64))[None]).view(np.int64)
+        band = np.arange(m // rows, dtype=np.uint64)
+        hashes = mix64(mixed + mix64(band + np.uint64(1))[None])
+        return (hashes & ~np.uint64(BANDS_MOST - 1) | band[None]).view(np.int64)
+
+
+def first_common_band(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """Number of the first band in which both sketches of a pair agree; 0 if there is none."""
+    return (a == b).reshape(len(a), -1, rows).all(axis=2).argmax(axis=1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
