@@ -137,21 +137,21 @@ class PowerTable:
                 setattr(self, name, np.multiply.accumulate(powers))
 
 
-_powers = PowerTable(BASE)
+FIRST, SECOND = PowerTable(BASE), PowerTable(0x9FB21C651E98DF25)
 
 
-def prefix_hashes(data: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
-    """h[i] = sum over j < i of value(byte j) * BASE**j modulo 2**64."""
-    _powers.at_least(len(data) + 1)
+def prefix_hashes(data: np.ndarray, table: PowerTable = FIRST) -> np.ndarray:
+    """h[i] = sum over j < i of value(byte j) * base**j modulo 2**64."""
+    table.at_least(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _powers.up[: len(data)], out=out[1:])
+    np.cumsum(_BYTE_VALUES[data] * table.up[: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, table: PowerTable = FIRST) -> np.ndarray:
     """64-bit hash of each byte span [start, end): depends on its bytes and its length only."""
     with np.errstate(over="ignore"):
-        return mix64((prefix[end] - prefix[start]) * _powers.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return mix64((prefix[end] - prefix[start]) * table.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from netquill.llm.license_scan import sql as license_sql
 from netquill.llm.near_dedup import near_duplicates
 from netquill.llm.packing import pack
 from netquill.llm.piece_sampling import round_trip
+from netquill.llm.suffix_dedup import removal_report
 from netquill.llm.topk_search import top_k
 from netquill.llm.toxicity import fit as fit_toxicity
 from netquill.llm.toxicity import score as score_toxicity
@@ -104,3 +105,8 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(documents(spark, sf_dir))
