@@ -7,8 +7,8 @@ its own array, is merge-scanned against the levels there are (equal names mean a
 of equal size are merged into one of twice the size, so every suffix is merged a logarithmic number of times.
 
 A name that occurs twice is only a candidate. What decides is the whole string that the windows of an anchor cover: where it occurs
-twice, all its windows are repeated. Only the windows of the other candidates, at the edges of repeated passages, are compared
-one by one, by 128 bits of their bytes. Everything is counted by keys with partial sums; no group is ever gathered in a task.
+twice, all its windows are repeated. The windows of the other candidates, at the edges of repeated passages, are compared in blocks,
+and one by one only in the blocks that an edge runs through, always by 128 bits of their bytes. Everything is counted by keys with partial sums; no group is ever gathered in a task.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from netquill.llm.common import FIRST, SECOND, prefix_hashes, remove, scratch_pa
 LENGTH = 200
 GRAM = 64
 BATCHES = 4
+#: Windows that are compared together before single ones are.
+BLOCK = 16
 _CHUNK_BYTES = 1 << 20
 _PLACE_BITS = 22  # of a chunk with its overlap
 
@@ -45,10 +47,10 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text number, first and last window start (within the run), gram name and name of the covered string of each anchor."""
+    """Of each anchor: text number, first and last window start and own place (within the run), gram name, name of the covered string."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return (none,) * 6
     prefix = prefix_hashes(data)
     at = np.arange(len(data) - gram + 1)
     names = span_hashes(prefix, at, at + gram)
@@ -64,11 +66,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     inside = np.arange(len(place)) + length <= offsets[text + 1]
     window = np.flatnonzero(inside)
     if not len(window):
-        return none, none, none, none, none
+        return (none,) * 6
     new = np.append(True, (place[window][1:] != place[window][:-1]) | (text[window][1:] != text[window][:-1]) | (np.diff(window) != 1))
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)]
-    return text[first], first, last, names[place[first]].view(np.int64), span_hashes(prefix, first, last + length).view(np.int64)
+    return text[first], first, last, place[first], names[place[first]].view(np.int64), span_hashes(prefix, first, last + length).view(np.int64)
 
 
 class SuffixFamily:
@@ -120,13 +122,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for b in parts:
             for first, data, offsets in text_chunks(b.column("text"), _CHUNK_BYTES):
                 for run, at, number, base in _pieces(data, offsets, length):
-                    t, low, high, name, cover = anchors(run, at, length, gram)
+                    t, low, high, place, name, cover = anchors(run, at, length, gram)
                     take = pa.array(t + first + number)
                     shift = base - at[t] if len(t) else 0
-                    yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(low + shift), pa.array(high + shift), pa.array(name), pa.array(cover)], [*row, "low", "high", "name", "cover"])
+                    yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(low + shift), pa.array(high + shift), pa.array(place + shift), pa.array(name), pa.array(cover)], [*row, "low", "high", "place", "name", "cover"])
 
     path = scratch_path(spark, "suffix-anchors")
-    entries = source.mapInArrow(found, f"doc_id {kind}, text_key long, low long, high long, name long, cover long")
+    entries = source.mapInArrow(found, f"doc_id {kind}, text_key long, low long, high long, place long, name long, cover long")
     entries = entries.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)))
     entries.write.parquet(path)
     entries = spark.read.schema(entries.schema).parquet(path)
@@ -141,39 +143,72 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     for _, old in family.levels.values():
         remove(spark, old)
 
-    covers = open_ones.groupBy("name", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), *row, "low", "high")).alias("one"))
+    covers = open_ones.groupBy("name", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), *row, "low", "high", "place")).alias("one"))
     covers = written(covers, "suffix-covers")
     whole = open_ones.join(covers.filter(F.col("n") > 1).select("name", "cover"), ["name", "cover"], "left_semi")
     whole = whole.select(*row, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
 
     alone = F.col("n") == 1
     edges = covers.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max(alone).alias("any")).filter((F.col("kinds") > 1) & F.col("any"))
-    edges = covers.join(edges.select("name"), "name", "left_semi").select("one.doc_id", "one.text_key", "one.low", "one.high", alone.alias("alone"))
-    edges = edges.groupBy(*row).agg(F.collect_list(F.struct("low", "high", "alone")).alias("parts"))
-    texts = source.join(edges.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    edges = covers.join(edges.select("name"), "name", "left_semi").select("one.*", alone.alias("alone"))
+    edges = edges.groupBy(*row).agg(F.collect_list(F.struct("low", "high", "place", "alone")).alias("parts"))
+    edges = edges.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    texts = source.join(edges, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    texts = written(texts.select(*row, "text", "parts"), "suffix-edge-texts")
+
+    def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i, data, (low, high, place, own) in _texts_with(b, "low", "high", "place", "alone"):
+                for run, _, _, base in _pieces(data, np.array([0, len(data)]), length):
+                    here = (low >= base) & (high + length <= base + len(run)) & ((low < base + _CHUNK_BYTES) | (len(run) == len(data)))
+                    k0, k1 = ((x[here] - place[here]) // BLOCK for x in (low, high))
+                    n = k1 - k0 + 1
+                    which = np.repeat(np.flatnonzero(here), n)
+                    k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n - k0, n)
+                    p = place[which] + k * BLOCK
+                    a, z = np.maximum(p, low[which]), np.minimum(p + BLOCK - 1, high[which])
+                    first, second = prefix_hashes(run, FIRST), prefix_hashes(run, SECOND)
+                    core = span_hashes(first, p + BLOCK - 1 - base, p + length - base).view(np.int64)
+                    w1, w2 = span_hashes(first, a - base, z + length - base).view(np.int64), span_hashes(second, a - base, z + length - base, SECOND).view(np.int64)
+                    take = pa.array(np.full(len(a), i))
+                    yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(a), pa.array(z), pa.array(own[which].astype(bool)), pa.array(core), pa.array(w1), pa.array(w2)], [*row, "a", "z", "alone", "core", "w1", "w2"])
+
+    # blocks of neighbouring windows: all of one are repeated if their whole string is, none if not even the part common to all is
+    grouped = written(texts.mapInArrow(blocks, f"doc_id {kind}, text_key long, a long, z long, alone boolean, core long, w1 long, w2 long"), "suffix-blocks")
+    twice = grouped.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("w1", "w2", F.lit(True).alias("whole"))
+    grouped = written(grouped.join(twice, ["w1", "w2"], "left").withColumn("open", F.col("alone") & F.col("whole").isNull()).drop("w1", "w2"), "suffix-judged")
+    whole = whole.unionByName(grouped.filter(F.col("alone") & F.col("whole")).select(*row, F.col("a").alias("start"), (F.col("z") + length).alias("end")))
+    cores = grouped.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("core")
+    single = grouped.join(cores, "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("a", "z", "open")).alias("ranges"))
+    single = single.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    single = texts.drop("parts").join(single, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for i in range(b.num_rows):
-                data = np.frombuffer(b.column("text")[i].as_buffer(), np.uint8)
-                struct = b.column("parts")[i].values
-                low, high, own = (struct.field(n).to_numpy(zero_copy_only=False) for n in ("low", "high", "alone"))
+            for i, data, (low, high, own) in _texts_with(b, "a", "z", "open"):
                 for run, _, _, base in _pieces(data, np.array([0, len(data)]), length):
-                    a, z = np.maximum(low, base), np.minimum(high, base + len(run) - length)
-                    size = np.maximum(z - a + 1, 0)
-                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - a, size)
+                    here = (low >= base) & (high + length <= base + len(run)) & ((low < base + _CHUNK_BYTES) | (len(run) == len(data)))
+                    a, n = low[here], (high - low + 1)[here]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)
                     local = at - base
                     w1, w2 = (span_hashes(prefix_hashes(run, t), local, local + length, t).view(np.int64) for t in (FIRST, SECOND))
                     take = pa.array(np.full(len(at), i))
-                    yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(at), pa.array(np.repeat(own, size).astype(bool)), pa.array(w1), pa.array(w2)], [*row, "at", "alone", "w1", "w2"])
+                    yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(at), pa.array(np.repeat(own[here], n).astype(bool)), pa.array(w1), pa.array(w2)], [*row, "at", "open", "w1", "w2"])
 
-    seen = texts.select(*row, "text", "parts").mapInArrow(windows, f"doc_id {kind}, text_key long, at long, alone boolean, w1 long, w2 long").distinct()
+    seen = single.select(*row, "text", F.col("ranges").alias("parts")).mapInArrow(windows, f"doc_id {kind}, text_key long, at long, open boolean, w1 long, w2 long")
     seen = written(seen, "suffix-windows")
-    twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("w1", "w2")
-    hits = seen.filter("alone").join(twice, ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("w1", "w2")
+    hits = seen.filter("open").join(twice, ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return whole.unionByName(hits).groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _texts_with(b: pa.RecordBatch, *fields: str):
+    """Row number, bytes and the arrays of the fields of ``parts`` of each row of a batch."""
+    for i in range(b.num_rows):
+        struct = b.column("parts")[i].values
+        yield i, np.frombuffer(b.column("text")[i].as_buffer(), np.uint8), [struct.field(n).to_numpy(zero_copy_only=False) for n in fields]
+
+
 def _mask(n: int, spans) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     if spans is not None:
