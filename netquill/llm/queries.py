@@ -11,6 +11,8 @@ from netquill.llm.exact_dedup import exact_duplicates
 from netquill.llm.langid import identify
 from netquill.llm.license_scan import scan as scan_licenses
 from netquill.llm.license_scan import sql as license_sql
+from netquill.llm.lm_score import held_fold
+from netquill.llm.lm_score import score as score_texts
 from netquill.llm.near_dedup import near_duplicates
 from netquill.llm.packing import pack
 from netquill.llm.piece_sampling import round_trip
@@ -110,3 +112,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(documents(spark, sf_dir))
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), held_fold())
