@@ -92,18 +92,27 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_b
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Group rows whose texts are equal without the white space of [\\x20\\x09-\\x0D].
 
-    Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and the
-    identity (n_blocks, name). Of a group, the row with the most code points stays, then the smallest id; a null id is the
+    Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), the
+    identity (n_blocks, name), the row key (k1, k2) and representative, which is true for the rows of one text of each group. Of a group, the row with the most code points stays, then the smallest id; a null id is the
     largest. A null text is empty, and all empty texts are one group. Rows that repeat an id within a group count in
     group_size and are kept or dropped together. Other columns of ``docs`` are not read, so their names cannot clash.
     An empty table gives an empty result. ``name`` differs between runs; whether two names are equal does not.
     """
     named = written(identities(docs, key, text, block_bytes), "exact-named")
     groups = named.groupBy("n_blocks", "name").agg(
-        F.min(F.struct(-F.col("n_points"), F.col("key").isNull(), F.col("key"))).alias("best"), F.count(F.lit(1)).alias("group_size")
+        F.min(F.struct(-F.col("n_points"), F.col("key").isNull(), F.col("key"), F.col("k1"), F.col("k2"))).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    groups = written(groups.select("n_blocks", "name", "group_size", F.col("best.key").alias("keep_id")), "exact-groups")
+    groups = written(groups.select("n_blocks", "name", "group_size", F.col("best.key").alias("keep_id"), F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2")), "exact-groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         F.col("key").alias("doc_id"), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256", "n_blocks", "name",
+        "text_sha256", "n_blocks", "name", "k1", "k2", ((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))).alias("representative"),
     )
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each group of :func:`exact_duplicates`, all columns as they are; of rows equal in id and text, one."""
+    stay = exact_duplicates(docs, key, text, **options).filter("representative").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = row_key(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    boxed = docs.select(F.struct("*").alias("__row"), k1.alias("__k1"), k2.alias("__k2"))
+    rows = boxed.join(written(stay, "exact-stay"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return rows.select(*(F.col("__row")[c].alias(c) for c in docs.columns))

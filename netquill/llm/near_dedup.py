@@ -208,3 +208,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         (alone | own_best).alias("kept"), "text_key", (alone | (own_best & (F.col("text_key") == F.col("best.text_key")))).alias("representative"),
     )
+
+
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that represent their component in :func:`near_duplicates`, all columns as they are."""
+    stay = near_duplicates(docs, key, text, **options).filter("representative").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
+    boxed = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text_key"))
+    rows = boxed.join(written(stay, "near-stay"), (F.col("__text_key") == F.col("__t")) & F.col("__key").eqNullSafe(F.col("__d")), "left_semi")
+    return rows.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
