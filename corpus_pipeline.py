@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import written
+from netquill.llm.common import importable, written
 from netquill.llm.exact_dedup import without_copies
 from netquill.llm.near_dedup import without_near_copies
 from netquill.llm.packing import pack
@@ -23,27 +23,32 @@ NEAR_PERCENT = 80
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, learned from the labels of these documents, doesn't call toxic."""
+    importable(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
+    importable(spark)
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each component of near-duplicates."""
+    importable(spark)
     return without_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 200 bytes that occur more than once; n_chars follows the text."""
+    importable(spark)
     cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens, along the curve."""
+    importable(spark)
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,14 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root[0]}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did. On a cluster it is installed or sent along."""
+    root, environment = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table; only called on paths made by :func:`scratch_path`."""
     jvm = spark.sparkContext._jvm

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquill.llm.common import importable
 from netquill.llm.exact_dedup import exact_duplicates
 from netquill.llm.langid import identify
 from netquill.llm.license_scan import scan as scan_licenses
@@ -27,7 +28,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(build):
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return build

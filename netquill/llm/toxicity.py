@@ -59,7 +59,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 10) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 10) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton steps; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
