@@ -159,6 +159,7 @@ def prefix_hashes(data: np.ndarray, table: PowerTable = FIRST) -> np.ndarray:
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, table: PowerTable = FIRST) -> np.ndarray:
     """64-bit hash of each byte span [start, end): depends on its bytes and its length only."""
+    table.at_least(len(prefix))
     with np.errstate(over="ignore"):
         return mix64((prefix[end] - prefix[start]) * table.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     names = repeated[0]
     for more in repeated[1:]:
         names = names.unionByName(more)
-    open_ones = written(entries.drop("batch").join(names.distinct(), "name", "left_semi"), "suffix-open")
+    open_ones = written(entries.drop("batch").join(written(names.distinct(), "suffix-names"), "name", "left_semi"), "suffix-open")
     remove(spark, path)
     for _, old in family.levels.values():
         remove(spark, old)
@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     alone = F.col("n") == 1
     edges = covers.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max(alone).alias("any")).filter((F.col("kinds") > 1) & F.col("any"))
-    edges = covers.join(edges.select("name"), "name", "left_semi").select("one.*", alone.alias("alone"))
+    edges = covers.join(written(edges.select("name"), "suffix-edge-names"), "name", "left_semi").select("one.*", alone.alias("alone"))
     edges = edges.groupBy(*row).agg(F.collect_list(F.struct("low", "high", "place", "alone")).alias("parts"))
     edges = edges.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     texts = source.join(edges, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
@@ -176,10 +176,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     # blocks of neighbouring windows: all of one are repeated if their whole string is, none if not even the part common to all is
     grouped = written(texts.mapInArrow(blocks, f"doc_id {kind}, text_key long, a long, z long, alone boolean, core long, w1 long, w2 long"), "suffix-blocks")
     twice = grouped.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("w1", "w2", F.lit(True).alias("whole"))
-    grouped = written(grouped.join(twice, ["w1", "w2"], "left").withColumn("open", F.col("alone") & F.col("whole").isNull()).drop("w1", "w2"), "suffix-judged")
+    grouped = written(grouped.join(written(twice, "suffix-whole"), ["w1", "w2"], "left").withColumn("open", F.col("alone") & F.col("whole").isNull()).drop("w1", "w2"), "suffix-judged")
     whole = whole.unionByName(grouped.filter(F.col("alone") & F.col("whole")).select(*row, F.col("a").alias("start"), (F.col("z") + length).alias("end")))
     cores = grouped.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("core")
-    single = grouped.join(cores, "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("a", "z", "open")).alias("ranges"))
+    single = grouped.join(written(cores, "suffix-cores"), "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("a", "z", "open")).alias("ranges"))
     single = single.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     single = texts.drop("parts").join(single, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     seen = single.select(*row, "text", F.col("ranges").alias("parts")).mapInArrow(windows, f"doc_id {kind}, text_key long, at long, open boolean, w1 long, w2 long")
     seen = written(seen, "suffix-windows")
     twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("w1", "w2")
-    hits = seen.filter("open").join(twice, ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    hits = seen.filter("open").join(written(twice, "suffix-twice"), ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return whole.unionByName(hits).groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
