@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquill.contract import (
-    FEATURE_COLUMNS, TEST_RUNS, THREAT_CLASSES, TRAIN_RUNS,
+    FEATURE_COLUMNS, THREAT_CLASSES,
 )
 from netquill.functions.scalars import endpoint_str, round_half_even
 from netquill.operators.assemble import feature_array
@@ -142,8 +142,8 @@ def _cut(n: Column) -> Column:
 
 def holdout_split(
     rows: DataFrame,
-    train_runs: list[str] = TRAIN_RUNS,
-    test_runs: dict[str, str] = TEST_RUNS,
+    train_runs: list[str],
+    test_runs: dict[str, str],
     row_id: str = "flow_uid",
     slot_seconds: float = DEFAULT_SLOT_SECONDS,
 ) -> DataFrame:
@@ -171,15 +171,10 @@ def split_manifest(split: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: the training run held out whole for validation.
-VALIDATION_RUNS = ["exp_benign_mixed_006"]
-_WHOLE_TRAIN = [r for r in TRAIN_RUNS if r not in VALIDATION_RUNS and r.startswith("exp_benign")]
-
-
 def validation_split(
     split: DataFrame,
-    whole_train: list[str] = _WHOLE_TRAIN,
-    whole_validation: list[str] = VALIDATION_RUNS,
+    whole_train: list[str],
+    whole_validation: list[str],
     row_id: str = "flow_uid",
     slot_seconds: float = DEFAULT_SLOT_SECONDS,
 ) -> DataFrame:

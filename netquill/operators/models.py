@@ -293,15 +293,11 @@ def permutation_importance(model: Model, rows: DataFrame, columns: list[str], re
 
 
 def ablation_columns(zero_variance: list[str]) -> dict[str, list[str]]:
-    """Column lists by name pattern, applied to the columns that vary on the training part."""
-    varying = [c for c in K.FEATURE_COLUMNS if c not in set(zero_variance)]
-    return {
-        "full_schema": K.FEATURE_COLUMNS,
-        "drop_zero_variance": varying,
-        "drop_private_ip": [c for c in varying if "private_ip" not in c],
-        "drop_port_classes": [c for c in varying if not (c.startswith("is_") and "port" in c)],
-        "drop_rates_and_counts": [c for c in varying if "rate" not in c and "count" not in c],
-    }
+    """All features, those that vary on the training part, and these without one group of the contract at a time."""
+    lists = {"full_schema": K.FEATURE_COLUMNS, "drop_zero_variance": [c for c in K.FEATURE_COLUMNS if c not in zero_variance]}
+    for group, members in K.FEATURE_GROUPS.items():
+        lists[f"drop_{group}"] = [c for c in lists["drop_zero_variance"] if c not in members]
+    return lists
 
 
 def ablation(train: DataFrame, test: DataFrame, learner) -> DataFrame:
@@ -350,7 +346,7 @@ def load_bundle(path: str) -> tuple[PipelineModel, dict[str, dict]]:
             documents[os.path.splitext(name)[0]] = json.loads(_text(spark, f"{path}/{name}"))
         except Exception as e:
             raise FileNotFoundError(f"model bundle {path} lacks {name}") from e
-    if documents["feature_contract"]["feature_columns"] != K.FEATURE_COLUMNS:
+    if documents["feature_contract"]["columns"] != K.FEATURE_COLUMNS:
         raise ValueError("the bundle was trained on another feature contract")
     return PipelineModel.load(f"{path}/model"), documents
 

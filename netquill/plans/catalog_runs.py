@@ -250,4 +250,4 @@ def _(spark, d):
     changed = M.round_trip_differences(model, path, test)
     _, documents = M.load_bundle(path)
     return changed.agg(F.count(F.lit(1)).alias("differing_rows")).withColumn(
-        "contract_features", F.lit(documents["feature_contract"]["num_features"]))
+        "contract_features", F.lit(len(documents["feature_contract"]["columns"])))

@@ -76,7 +76,8 @@ def parsed(placed: DataFrame) -> DataFrame:
         "sep",
         F.coalesce(_separator(_in_force(F.coalesce("separator_lines", no_lines), place)), F.lit("\t")),
     ).withColumn("declared", declared)
-    fields = F.transform(F.slice(_split(F.col("declared"), F.col("sep")), 2, 10_000), lambda f: F.trim(f))
+    names = _split(F.col("declared"), F.col("sep"))
+    fields = F.transform(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), lambda f: F.trim(f))
     rows = rows.withColumn("fields", fields).withColumn("cells", _split(F.col("value"), F.col("sep")))
     reason = F.when(F.col("fields").isNull() | (F.size("fields") == 0), "no_header").when(
         F.size("fields") != F.size("cells"), "field_count"
