@@ -10,8 +10,12 @@ from netquill.functions import scalars as S
 from netquill.functions.netaddr import is_private_ip
 
 
+#: Texts that stand for a missing uid.
+NO_UID = ("", "-", "(empty)")
+
+
 def _keyed(aux: DataFrame) -> DataFrame:
-    return aux.filter(~F.col("uid").isin("", "-", "(empty)"))
+    return aux.filter(~F.col("uid").isin(*NO_UID))
 
 
 def last_per_uid(aux: DataFrame, columns: list[str], name: str, order_by: tuple[str, ...] = ("seq",)) -> DataFrame:

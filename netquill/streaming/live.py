@@ -1,9 +1,11 @@
 """Live detection: a directory of closed log files -> features -> alerts.
 
 Files must be complete when they appear (rotated or moved in), because the file source sees
-files, not growth. Each micro-batch is parsed once, lands its typed rows in a history table
-partitioned by hour and batch, and reads back only the hours its windows can reach. A
-replayed batch overwrites its own partitions, so restarts neither lose nor double rows.
+files, not growth. Each micro-batch is parsed once and lands its typed rows in a history table
+partitioned by hour and batch. Time windows read back the hours they can reach; context rows of a
+connection are found by its uid, however old they are. Every flow is scored at its own time, late
+ones too, and a row that cannot be scored becomes an error alert. A replayed batch overwrites its
+own partitions, so restarts neither lose nor double rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from netquill.contract import LOG_KINDS
 from netquill.operators import assemble as A
 from netquill.operators.alerts import session_counters
+from netquill.operators.correlate import NO_UID
+from netquill.operators.policy import ACTIVE_CLASSES
 from netquill.sources import zeek as Z
 from netquill.sources.tables import encode_alerts
 
@@ -51,16 +55,19 @@ def poll_summary(records: DataFrame) -> DataFrame:
 
 
 class LiveDetector:
-    """Turns micro-batches into alerts; state lives in tables under ``work_dir``."""
+    """Turns micro-batches into alerts; state lives in tables under ``work_dir``.
+
+    A flow more than ``late_after`` seconds older than the median flow of the batch before it is marked ``late`` in the
+    feature table and scored like any other. The history grows until :meth:`expire` is called.
+    """
 
     def __init__(self, spark: SparkSession, work_dir: str, scorer: Scorer, subscribers: Iterable[Subscriber] = (),
-                 allowed_lateness: float = 3600.0, context_seconds: float = 3600.0, slot_seconds: float = 60.0) -> None:
+                 late_after: float = 3600.0, slot_seconds: float = 60.0) -> None:
         self.spark = spark
         self.root = work_dir.rstrip("/")
         self.scorer = scorer
         self.subscribers = list(subscribers)
-        self.allowed_lateness = allowed_lateness
-        self.reach = max(HORIZON_SECONDS, context_seconds)
+        self.late_after = late_after
         self.slot_seconds = slot_seconds
 
     def path(self, table: str) -> str:
@@ -74,19 +81,41 @@ class LiveDetector:
         paths = [p for g in globs for p in Z.existing(self.spark, f"{self.path(table)}/{g}")]
         return self.spark.read.option("basePath", self.path(table)).parquet(*paths) if paths else None
 
-    def _own(self, kind: str, batch_id: int) -> DataFrame | None:
-        return self._read(f"history/{kind}", f"bucket=*/batch_id={batch_id}")
+    def _own(self, kind: str, batch_id: int, hours: Iterable[int]) -> DataFrame | None:
+        return self._read(f"history/{kind}", *[f"bucket={h}/batch_id={batch_id}" for h in hours])
 
-    def _history(self, kind: str, batch_id: int, since: float, until: float) -> DataFrame | None:
-        hours = range(int(since // BUCKET_SECONDS), int(until // BUCKET_SECONDS) + 1)
+    def _history(self, kind: str, batch_id: int, hours: Iterable[int]) -> DataFrame | None:
         rows = self._read(f"history/{kind}", *[f"bucket={h}" for h in hours])
-        if rows is None:
-            return None
-        rows = rows.filter((F.col("batch_id") <= batch_id) & (F.col("ts") >= since))
-        return rows.withColumn("seq", F.struct("batch_id", "seq")) if "seq" in rows.columns else rows
-
-    def _land(self, batch: DataFrame, batch_id: int) -> float | None:
-        """Parse the batch, store its rows by kind; returns the newest flow time before it."""
+        return None if rows is None else _ordered(rows.filter(F.col("batch_id") <= batch_id))
+
+    def _with_context(self, kind: str, batch_id: int, hours: Iterable[int], own: DataFrame) -> DataFrame | None:
+        """The rows of ``kind`` in ``hours`` and those of the batch's connections in any other hour.
+
+        Windows are decided by time, so the older rows don't enter them."""
+        near = self._history(kind, batch_id, hours)
+        if not Z.existing(self.spark, self.path(f"history/{kind}/bucket=*")):
+            return near
+        every = self.spark.read.parquet(self.path(f"history/{kind}"))
+        uids = own.select("uid").filter(~F.col("uid").isin(*NO_UID)).distinct()
+        far = every.filter((F.col("batch_id") <= batch_id) & ~F.col("bucket").isin(list(hours))).join(uids, "uid", "left_semi")
+        return _ordered(far) if near is None else near.unionByName(_ordered(far))
+
+    def expire(self, before: float) -> int:
+        """Delete the history of all hours that end before the time ``before``; returns how many partitions went.
+
+        Later windows and uid lookups don't see those rows, so keep at least ``HORIZON_SECONDS`` and as much as the
+        longest connection whose context matters."""
+        gone = 0
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for kind in FEATURE_KINDS:
+            for path in Z.existing(self.spark, f"{self.path(f'history/{kind}')}/bucket=*"):
+                if (int(path.rsplit("=", 1)[1]) + 1) * BUCKET_SECONDS <= before:
+                    target = jvm.org.apache.hadoop.fs.Path(path)
+                    gone += bool(target.getFileSystem(conf).delete(target, True))
+        return gone
+
+    def _land(self, batch: DataFrame, batch_id: int) -> tuple[list[int], float | None]:
+        """Parse the batch, store its rows by kind; returns the hours of its flows and the median flow time before it."""
         number = F.lit(batch_id)
         rows = Z.parsed(Z.with_place(batch)).withColumn("kind", kind_of()).filter(F.col("kind").isin(LOG_KINDS))
         self._replace(rows.withColumn("batch_id", number), "bronze", "batch_id", "kind")
@@ -102,33 +131,28 @@ class LiveDetector:
             typed = Z.silver({"conn": records})["conn"] if kind == "conn" else Z.typed_aux(records, kind)
             stored = typed.withColumn("batch_id", number).withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS))
             self._replace(stored, f"history/{kind}", "bucket", "batch_id")
+            if kind == "conn":
+                hours, median = typed.agg(F.collect_set(F.floor(F.col("ts") / BUCKET_SECONDS)), F.percentile_approx("ts", 0.5)).first()
         last = self._read("summary", f"batch_id={batch_id - 1}")
-        before = None if last is None else last.agg(F.max("newest")).first()[0]
-        own = self._own("conn", batch_id)
-        newest = None if own is None else own.agg(F.max("ts")).first()[0]
-        known = [x for x in (before, newest) if x is not None]
-        summary = poll_summary(good).withColumn("newest", F.lit(max(known) if known else None).cast("double"))
+        before = None if last is None else last.agg(F.max("median_ts")).first()[0]
+        summary = poll_summary(good).withColumn("median_ts", F.lit(before if median is None else median).cast("double"))
         self._replace(summary.withColumn("batch_id", number), "summary", "batch_id")
-        return before
+        return hours, before
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch, as called by ``foreachBatch``."""
-        newest = self._land(batch, batch_id)
-        own = self._own("conn", batch_id)
+        hours, before = self._land(batch, batch_id)
+        own = self._own("conn", batch_id, hours) if hours else None
         if own is None:
             return
-        deadline = float("-inf") if newest is None else newest - self.allowed_lateness
-        self._replace(own.filter(F.col("ts") < deadline).drop("bucket"), "late", "batch_id")
-        fresh = own.filter(F.col("ts") >= deadline)
-        earliest, latest = fresh.agg(F.min("ts"), F.max("ts")).first()
-        if earliest is None:
-            return
-        logs = {k: self._history(k, batch_id, earliest - self.reach, latest + self.reach) for k in FEATURE_KINDS}
-        logs = {k: v for k, v in logs.items() if v is not None}
-        matrix = A.feature_matrix(logs, slot_seconds=self.slot_seconds, targets=fresh)
-        self._replace(matrix.withColumn("batch_id", F.lit(batch_id)), "features", "batch_id")
-        stored = self._read("features", f"batch_id={batch_id}").drop("batch_id")
-        alerts = encode_alerts(A.alert_rows(as_flows(self.scorer(stored))))
+        reached = sorted({h - back for h in hours for back in (0, 1)})  # an hour holds more than the horizon
+        logs = {"conn": self._history("conn", batch_id, reached)}
+        logs |= {k: self._with_context(k, batch_id, reached, own) for k in FEATURE_KINDS if k != "conn"}
+        matrix = A.feature_matrix({k: v for k, v in logs.items() if v is not None}, slot_seconds=self.slot_seconds, targets=own)
+        late = F.lit(False) if before is None else F.col("timestamp") < F.lit(before - self.late_after)
+        self._replace(matrix.withColumn("late", late).withColumn("batch_id", F.lit(batch_id)), "features", "batch_id")
+        stored = self._read("features", f"batch_id={batch_id}").drop("batch_id", "late")
+        alerts = encode_alerts(A.alert_rows(scored_or_rejected(stored, self.scorer)))
         self._replace(alerts.drop("alert_date").withColumn("batch_id", F.lit(batch_id)), "alerts", "batch_id")
         written = self._read("alerts", f"batch_id={batch_id}")
         for subscriber in self.subscribers:
@@ -147,6 +171,25 @@ class LiveDetector:
         return writer.trigger(processingTime=continuous_every).start()
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of later batches come after those of earlier ones."""
+    return rows.withColumn("seq", F.struct("batch_id", "seq")) if "seq" in rows.columns else rows
+
+
+def scored_or_rejected(features: DataFrame, scorer: Scorer) -> DataFrame:
+    """Flows with ``probs``, or with an ``error`` where the features break the contract or the scorer gives no usable
+    probabilities; no row is lost and no rejected row reaches the scorer."""
+    valid, rejected = A.contract_split(features.withColumn("_array", A.feature_array()), "_array")
+    scored = as_flows(scorer(valid.drop("_array")))
+    unusable = F.col("probs").isNull() | (F.size("probs") != len(ACTIVE_CLASSES)) | F.exists("probs", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    known = F.col("error") if "error" in scored.columns else F.lit(None).cast("string")
+    scored = scored.withColumn("error", F.coalesce(known, F.when(unusable, F.lit("scorer: no finite probabilities"))))
+    scored = scored.withColumn("probs", F.when(F.col("error").isNull(), F.col("probs")))
+    failed = as_flows(rejected.drop("_array").withColumn("error", F.concat(F.lit("contract: "), F.col("reason"))))
+    failed = failed.withColumn("probs", F.lit(None).cast("array<double>")).withColumn("processing_time_ms", F.lit(0.0))
+    return scored.unionByName(failed)
+
+
 def as_flows(scored: DataFrame) -> DataFrame:
     """Scored feature rows -> the flow column names that alert rows are built from."""
     back = {c: n for n, c in A.IDENTITY.items()}

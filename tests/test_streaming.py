@@ -2,12 +2,14 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from helpers import CONN_HEADER, DNS_HEADER, conn_row, write_log
 from netquill.contract import FEATURE_COLUMNS
-from netquill.operators.assemble import feature_matrix
+from netquill.operators.assemble import alert_rows, feature_matrix
 from netquill.plans.staged_logs import rule_scorer
 from netquill.sources import zeek as Z
-from netquill.streaming.live import LiveDetector, running_telemetry
+from netquill.streaming.live import LiveDetector, running_telemetry, scored_or_rejected
 
 
 def conn(ts, uid, **kw):
@@ -52,14 +54,39 @@ def test_stream_equals_batch_across_restart(spark, tmp_path):
     assert spark.table("t1").first()["flows"] == 6
 
 
-def test_late_and_malformed_rows_go_aside(spark, tmp_path):
+def test_late_future_and_undated_flows_are_scored(spark, tmp_path):
     inbox = str(tmp_path / "in")
-    write_log(f"{inbox}/conn.1.log", CONN_HEADER, [conn(100_000, "N")])
+    write_log(f"{inbox}/dns.0.log", DNS_HEADER, [dns(0, "M", "far.example.com")])
+    write_log(f"{inbox}/conn.1.log", CONN_HEADER, [conn(100_000, "N"), conn(100_001, "N2"), conn(9e8, "FUTURE")])
     live = LiveDetector(spark, str(tmp_path / "work"), rule_scorer)
     live.start(inbox).awaitTermination()
-    write_log(f"{inbox}/conn.2.log", CONN_HEADER, [conn(0, "OLD"), conn(100_010, "M"), ["only", "two"]])
+    write_log(f"{inbox}/conn.2.log", CONN_HEADER, [conn(0, "OLD"), conn(100_010, "M"), conn(-1.6e9, "ZERO"), ["only", "two"]])
     live.start(inbox).awaitTermination()
-    assert {r["flow_uid"] for r in spark.read.parquet(live.path("features")).collect()} == {"N", "M"}
-    assert [r["uid"] for r in spark.read.parquet(live.path("late")).collect()] == ["OLD"]
+    stored = {r["flow_uid"]: r for r in spark.read.parquet(live.path("features")).collect()}
+    assert {u: r["late"] for u, r in stored.items()} == {"N": False, "N2": False, "FUTURE": False, "OLD": True, "M": False, "ZERO": True}
+    assert stored["M"]["dns_query_len"] == len("far.example.com")  # found by uid, a day away
+    assert stored["M"]["win_src_flow_count_60s"] == 3 and stored["OLD"]["win_src_flow_count_60s"] == 1
+    assert {r["flow_uid"] for r in spark.read.parquet(live.path("alerts")).collect()} == set(stored)
     assert [r["reason"] for r in spark.read.parquet(live.path("quarantine")).collect()] == ["field_count"]
     assert os.path.isdir(live.path("checkpoint"))
+    assert live.expire(1.6e9 + 90_000) == 3  # OLD and its lookup, ZERO
+    assert spark.read.parquet(live.path("history/conn")).count() == 4
+
+
+def test_rows_that_cannot_be_scored_become_error_alerts(spark, tmp_path):
+    path = str(tmp_path / "conn.log")
+    write_log(path, CONN_HEADER, [conn(0, "OK"), conn(1, "NAN"), conn(2, "INF"), conn(3, "NULL"), conn(4, "PROBS")])
+    uid = F.col("flow_uid")
+    bad = F.when(uid == "NAN", float("nan")).when(uid == "INF", float("inf")).when(uid != "NULL", F.col("flow_duration"))
+    matrix = feature_matrix(Z.silver(Z.zeek_dir_scan(spark, str(tmp_path)))).withColumn("flow_duration", bad)
+
+    def scorer(rows):
+        assert rows.filter(uid.isin("NAN", "INF", "NULL")).count() == 0
+        return rule_scorer(rows).withColumn("probs", F.when(uid == "PROBS", F.array(F.lit(float("nan")))).otherwise(F.col("probs")))
+
+    got = {r["flow_uid"]: (r["decision"], r["metadata"].get("error")) for r in alert_rows(scored_or_rejected(matrix, scorer)).collect()}
+    assert got.pop("OK")[0] != "INFERENCE_ERROR"
+    assert got == {
+        "NAN": ("INFERENCE_ERROR", "contract: nan"), "INF": ("INFERENCE_ERROR", "contract: infinite"),
+        "NULL": ("INFERENCE_ERROR", "contract: non_numeric"), "PROBS": ("INFERENCE_ERROR", "scorer: no finite probabilities"),
+    }
