@@ -100,11 +100,12 @@ def _(spark, d):
 # --- live detection ----------------------------------------------------------------------------
 
 
-def _live(spark: SparkSession, d: str, subscribers=()) -> LiveDetector:
-    """Run the stream over the written logs until everything available is processed."""
-    folder = L.write_logs(spark, d)
-    live = LiveDetector(spark, L.scratch(spark, "live"), L.rule_scorer, subscribers)
-    live.start(folder, names="part-*.txt").awaitTermination()
+def _live(spark: SparkSession, d: str, subscribers=(), scorer=L.rule_scorer, conn_time=None, batches: int = 1) -> LiveDetector:
+    """Run the stream over the written logs, in about ``batches`` micro-batches, until everything available is processed."""
+    folder = L.write_logs(spark, d, conn_time=conn_time)
+    live = LiveDetector(spark, L.scratch(spark, "live"), scorer, subscribers)
+    files = None if batches == 1 else -(-len(Z.existing(spark, f"{folder}/*/part-*")) // batches)
+    live.start(folder, max_files_per_trigger=files, names="part-*.txt").awaitTermination()
     return live
 
 
@@ -150,6 +151,30 @@ def _(spark, d):
     return spark.read.parquet(copied).select("flow_uid", "predicted_label", "confidence", "abstained")
 
 
+# Flows without a date and flows dated far ahead, in three micro-batches: all of them get an alert at their own time.
+@query("stream_late_flows", f"""SELECT uid AS flow_uid, CASE WHEN event_id % 50 = 0 THEN CAST(0 AS DOUBLE) WHEN event_id % 50 = 1 THEN ts + CAST(10000000 AS DOUBLE) ELSE ts END AS "timestamp",
+    {_RULE_LABEL} AS predicted_label, round_even(conf, 4) AS confidence FROM {_RULE_VERDICT} JOIN conn_v USING (uid)""")
+def _(spark, d):
+    turn = L.event_number("uid") % 50
+    shifted = F.when(turn == 0, "0.0").when(turn == 1, (F.col("ts").cast("double") + 1e7).cast("string")).otherwise(F.col("ts"))
+    live = _live(spark, d, conn_time=shifted, batches=3)
+    return spark.read.parquet(live.path("alerts")).select("flow_uid", "timestamp", "predicted_label", "confidence")
+
+
+# A scorer that fails for every tenth flow: these become error alerts, the others are scored.
+@query("stream_error_alerts", f"""SELECT uid AS flow_uid, event_id % 10 = 0 AS failed, CASE WHEN event_id % 10 = 0 THEN 'UNKNOWN' ELSE {_RULE_LABEL} END AS predicted_label,
+    CASE WHEN event_id % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE round_even(conf, 4) END AS confidence,
+    event_id % 10 = 0 OR conf < 0.4::DOUBLE AS abstained FROM {_RULE_VERDICT} JOIN conn_v USING (uid)""")
+def _(spark, d):
+    def scorer(features: DataFrame) -> DataFrame:
+        broken = F.transform("probs", lambda p: F.lit(float("nan")))
+        return L.rule_scorer(features).withColumn("probs", F.when(L.event_number("flow_uid") % 10 == 0, broken).otherwise(F.col("probs")))
+
+    live = _live(spark, d, scorer=scorer)
+    failed = (F.col("decision") == "INFERENCE_ERROR").alias("failed")
+    return spark.read.parquet(live.path("alerts")).select("flow_uid", failed, "predicted_label", "confidence", "abstained")
+
+
 @query("running_telemetry", f"""SELECT count(*) AS flows, count(*) FILTER (conf >= 0.4::DOUBLE AND pick <> 1) AS threats,
     count(*) FILTER (conf < 0.4::DOUBLE) AS reviews FROM {_RULE_VERDICT}""")
 def _(spark, d):

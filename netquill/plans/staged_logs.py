@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquill.operators.policy import ACTIVE_CLASSES
@@ -32,22 +32,27 @@ def log_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def write_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("conn", "dns", "weird", "ssl", "quic")) -> str:
-    """Write the chosen logs as ``<folder>/<kind>.log/part-*`` and return the folder."""
+def write_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("conn", "dns", "weird", "ssl", "quic"), conn_time: Column | None = None) -> str:
+    """Write the chosen logs as ``<folder>/<kind>.log/part-*`` and return the folder; ``conn_time`` replaces the flows' ``ts``."""
     folder = scratch(spark, "logs")
     for kind, rows in log_tables(spark, d).items():
         if kind in kinds:
+            if kind == "conn" and conn_time is not None:
+                rows = rows.withColumn("ts", conn_time)
             # The last row of a uid wins, so its rows are written in order.
             Z.write_zeek(rows, f"{folder}/{kind}.log", order=() if kind == "conn" else ("seq",))
     return folder
 
 
+def event_number(uid: str) -> Column:
+    return F.substring(uid, 2, 20).cast("long")
+
+
 def write_spoiled_conn(spark: SparkSession, d: str) -> str:
     """Connection log in which every tenth row has one cell too many."""
     folder = scratch(spark, "logs")
     rows = B.raw_conn(spark, d)
-    number = F.substring("uid", 2, 20).cast("long")
-    spoiled = rows.withColumn("local_orig", F.when(number % 10 == 0, "T\textra").otherwise(F.col("local_orig")))
+    spoiled = rows.withColumn("local_orig", F.when(event_number("uid") % 10 == 0, "T\textra").otherwise(F.col("local_orig")))
     Z.write_zeek(spoiled, f"{folder}/conn.log")
     return folder
 
