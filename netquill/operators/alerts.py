@@ -14,7 +14,6 @@ from netquill.functions.scalars import round_half_even
 from netquill.operators.quantiles import exact_percentiles
 
 STORE_CAPACITY = 2000
-VIEW_CAPACITY = 500
 MAX_PAGE = 500
 EXPORT_COLUMNS = [
     "alert_id", "timestamp_iso", "flow_uid", "source_ip", "source_port", "destination_ip", "destination_port",

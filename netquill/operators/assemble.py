@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +80,6 @@ def feature_array() -> Column:
     return F.array(*[F.col(n).cast("double") for n in FEATURE_COLUMNS])
 
 
-def with_vector(matrix: DataFrame, columns: list[str] | None = None, name: str = "features") -> DataFrame:
-    """Add the ordered features as an ``ml`` vector."""
-    names = columns or FEATURE_COLUMNS
-    return matrix.withColumn(name, array_to_vector(F.array(*[F.col(n).cast("double") for n in names])))
-
-
 class ContractViolation(ValueError):
     """The column set does not match the feature contract."""
 

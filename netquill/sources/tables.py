@@ -65,11 +65,6 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     encode_alerts(alerts).write.mode("append").partitionBy("alert_date").parquet(path)
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The alert log; a filter on ``timestamp_iso`` alone does not prune, use ``since``."""
-    return decode_alerts(spark.read.parquet(path))
-
-
 def read_alerts_since(spark: SparkSession, path: str, date: str) -> DataFrame:
     """Alerts stored on or after an ISO date; older partitions are not opened."""
     return decode_alerts(spark.read.parquet(path).filter(F.col("alert_date") >= date))
