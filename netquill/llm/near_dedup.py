@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     least = percent / 100 - 4 * float(np.sqrt(percent / 100 * (1 - percent / 100) / setsketch.REGISTERS))
     candidates = written(_estimated(blocks, least, percent / 100, band_rows).distinct(), "near-candidates")
     more = written(_confirmed(candidates, sets, percent), "near-more")
-    roots = written(components(links.unionByName(more)), "near-components")
+    stars = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = written(components(stars.unionByName(more)), "near-components")
 
     grouped = roots.join(classes.select(F.col("cid").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("best"))
     named = roots.join(grouped, "root").select(F.col("node").alias("cid"), "best")
