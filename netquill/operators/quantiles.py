@@ -1,9 +1,8 @@
 """Exact interpolated percentiles without collecting a group.
 
-A mergeable sketch brackets every wanted rank, one combined pass counts what lies below
-the bracket and how often each value inside it occurs. The bracket is then cut into equal steps whose counts are
-small; only the distinct values of the step that holds the rank are ordered. The bracket is
-wider than the sketch's guaranteed error, so the answer is exact.
+Rows are first added up to counts per value, with map-side combine, so copies of a value cost nothing further. The counts are dealt over
+ranges of (key, value): the size of every range says in which one a wanted rank lies, and only that range is ordered. Ranges are
+cut by the distribution of the distinct values, so a heavy tail gets as many of them as it needs; one path serves all sizes.
 """
 
 from __future__ import annotations
@@ -13,59 +12,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-_KEEP_ALL_BELOW = 10 * SKETCH_ACCURACY  # small groups are ranked whole
-_STEPS = 1024
+from netquill.sources.stage import staged
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Per key: ``n`` and one linearly interpolated percentile column per entry of ``probs``."""
+    """Per key: ``n`` and one linearly interpolated percentile column per entry of ``probs``.
+
+    Null values are not counted. NaN counts as the largest value, so only percentiles that reach it are NaN. Rows with a null
+    key have no group.
+    """
     by = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / SKETCH_ACCURACY
-    names = list(probs)
-    edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = F.percentile_approx("_v", [float(e) for e in edges], SKETCH_ACCURACY)
-    cuts = rows.groupBy(*by).agg(F.count("_v").alias("n"), sketch.alias("_cuts"))
-
-    targets = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.lit(float(p)).alias("p"),
-            F.get("_cuts", F.lit(2 * i)).alias("low"), F.get("_cuts", F.lit(2 * i + 1)).alias("high"),
-        )
-        for i, (name, p) in enumerate(probs.items())
-    ])
-    open_low = F.when(F.col("n") > _KEEP_ALL_BELOW, F.col("t.low")).otherwise(F.lit(float("-inf")))
-    open_high = F.when(F.col("n") > _KEEP_ALL_BELOW, F.col("t.high")).otherwise(F.lit(float("inf")))
-    inside = F.col("_v") >= open_low
-    share = (F.col("_v") - F.col("t.low")) / (F.col("t.high") - F.col("t.low"))
-    step = (
-        F.when(~inside, -1)
-        .when((F.col("n") > _KEEP_ALL_BELOW) & (F.col("t.high") > F.col("t.low")), F.least(F.lit(_STEPS), F.floor(share * _STEPS)))
-        .otherwise(0)
-    )
-    placed = (
-        rows.join(cuts, by)
-        .withColumn("t", F.explode(targets))
-        .filter(F.col("_v") <= open_high)
-        .select(*by, "n", "t.name", "t.p", step.cast("int").alias("step"), F.when(inside, F.col("_v")).alias("_v"))
-    )
-    counted = placed.groupBy(*by, "n", "name", "p", "step", "_v").agg(F.count(F.lit(1)).alias("c"))
-    earlier = Window.partitionBy(*by, "name").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = counted.groupBy(*by, "name", "step").agg(F.sum("c").alias("in_step"))
-    steps = steps.withColumn("before", F.coalesce(F.sum("in_step").over(earlier), F.lit(0)))
-    rank = F.col("p") * (F.col("n") - 1)
-    wanted = (F.col("before") <= F.ceil(rank)) & (F.col("before") + F.col("in_step") > F.floor(rank))
-    within = Window.partitionBy(*by, "name", "step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counted.join(steps, [*by, "name", "step"]).filter(wanted & (F.col("step") >= 0))
-        .withColumn("reached", F.col("before") + F.sum("c").over(within)).withColumn("rank", rank)
-    )
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).dropna(subset=by).filter(F.col("_v").isNotNull())
+    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("c"))
+    # written, because the number of a range must not change between the passes
+    parts = staged(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*by, "_part").agg(F.sum("c").alias("in_part"))
+    totals = totals.withColumn("n", F.sum("in_part").over(whole)).withColumn("before", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))
+    targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
+    wanted = totals.withColumn("t", F.explode(targets)).withColumn("name", F.col("t.name")).withColumn("rank", F.col("t.p") * (F.col("n") - 1))
+    wanted = wanted.filter((F.col("before") <= F.ceil("rank")) & (F.col("before") + F.col("in_part") > F.floor("rank")))
+    within = Window.partitionBy(*by, "name", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.join(wanted.drop("t", "in_part"), [*by, "_part"]).withColumn("reached", F.col("before") + F.sum("c").over(within))
     at = lambda k: F.min(F.when(F.col("reached") > k, F.col("_v")))
-    found = ranked.groupBy(*by, "n", "name", "rank").agg(
-        at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b")
-    )
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    out = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == x, value_at)).alias(x) for x in names])
+    found = ranked.groupBy(*by, "n", "name", "rank").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
+    value_at = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
+    out = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == x, value_at)).alias(x) for x in probs])
     return out if keys else out.drop("_all")
