@@ -92,7 +92,7 @@ def alerts_page(
     return matching.orderBy(*_newest_first()).offset(offset).limit(limit).withColumn("total", total)
 
 
-def alert_by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
+def alert_by_id(alerts: DataFrame, alert_id: str | Column) -> DataFrame:
     return alerts.filter(F.col("alert_id") == alert_id)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +120,10 @@ def alert_id(uid: Column, ts: Column) -> Column:
     return F.sha2(F.concat(uid, F.lit("|"), F.floor(ts * 1e6).cast("string")), 256)
 
 
-def alert_rows(scored: DataFrame, abstain: float = P.ABSTAIN_THRESHOLD, recon: float = P.RECON_THRESHOLD) -> DataFrame:
-    """Scored flows -> 19-field alert rows.
+def alert_rows(
+    scored: DataFrame, abstain: float = P.ABSTAIN_THRESHOLD, recon: float = P.RECON_THRESHOLD, carry: Sequence[str] = (),
+) -> DataFrame:
+    """Scored flows -> 19-field alert rows, followed by the columns of ``scored`` named in ``carry``.
 
     ``scored`` has the flat flow columns plus ``probs`` (array in active-class order),
     ``processing_time_ms`` and, for rows that could not be scored, a non-null ``error``.
@@ -154,4 +158,5 @@ def alert_rows(scored: DataFrame, abstain: float = P.ABSTAIN_THRESHOLD, recon: f
         F.lit(CONTRACT_VERSION).alias("schema_version"),
         S.round_half_even(F.col("processing_time_ms"), 3).alias("processing_time_ms"),
         F.when(failed, F.create_map(F.lit("error"), F.col("error"))).otherwise(facts).alias("metadata"),
+        *carry,
     )

@@ -7,6 +7,7 @@ plain SQL where one exists.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,7 @@ def labelled(spark: SparkSession, d: str, features: list[str]) -> DataFrame:
 def alerts(spark: SparkSession, d: str) -> DataFrame:
     """Alert rows of the bound flows plus their run."""
     scored = B.flows(spark, d).join(B.predictions(spark, d), "uid")
-    rows = A.alert_rows(scored)
-    runs = scored.select(F.col("uid").alias("flow_uid"), "experiment_id")
-    return rows.join(runs, "flow_uid").select(*K.ALERT_COLUMNS, "experiment_id")
+    return A.alert_rows(scored, carry=["experiment_id"]).select(*K.ALERT_COLUMNS, "experiment_id")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -101,10 +100,10 @@ _DECISIONS_SQL = """
 _TEXTS = ["-", "(empty)", "", " 12 ", "12.9", "-7.5", "1e3", "1d", "abc", ".5", "5.", "1_0"]
 
 
-def texts(spark: SparkSession, d: str) -> DataFrame:
+def texts(spark: SparkSession, d: str, number: Column | str = "value") -> DataFrame:
     e = B.table(spark, d, "events")
     pick = F.get(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("event_id") % 13).cast("int"))
-    return e.select("event_id", F.coalesce(pick, F.col("value").cast("string")).alias("raw"))
+    return e.select("event_id", F.coalesce(pick, (F.col(number) if isinstance(number, str) else number).cast("string")).alias("raw"))
 
 
 _PARSED_SQL = """
@@ -125,10 +124,10 @@ def _(spark, d):
 
 @query("clean_str", """
     SELECT event_id, CASE event_id % 13 WHEN 3 THEN '12' WHEN 4 THEN '12.9' WHEN 5 THEN '-7.5' WHEN 6 THEN '1e3' WHEN 7 THEN '1d'
-           WHEN 8 THEN 'abc' WHEN 9 THEN '.5' WHEN 10 THEN '5.' WHEN 11 THEN '1_0' ELSE '' END AS cleaned
-    FROM events WHERE event_id % 13 < 12""")
+           WHEN 8 THEN 'abc' WHEN 9 THEN '.5' WHEN 10 THEN '5.' WHEN 11 THEN '1_0' WHEN 12 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE '' END AS cleaned
+    FROM events""")
 def _(spark, d):
-    return texts(spark, d).filter(F.col("event_id") % 13 < 12).select("event_id", S.clean_str(F.col("raw")).alias("cleaned"))
+    return texts(spark, d, F.floor("value")).select("event_id", S.clean_str(F.col("raw")).alias("cleaned"))
 
 
 @query("split_answers", """
@@ -281,6 +280,27 @@ def _(spark, d):
     return matrix(spark, d, K.FEATURE_COLUMNS)
 
 
+def _spoiled(spark: SparkSession, d: str) -> DataFrame:
+    """uid and features of every flow, four of ten spoiled in one of the ways the contract names."""
+    e = A.assemble_defaults(A.flow_features(B.flows(spark, d)))
+    kind = F.substring("uid", 2, 20).cast("long") % 10
+
+    def cell(x: Column, i: Column) -> Column:
+        last = i == K.NUM_FEATURES - 1
+        return F.when(last & (kind == 0), float("nan")).when(last & (kind == 1), float("inf")).when(last & (kind == 2), None).otherwise(x)
+
+    spoiled = F.slice(F.transform(A.feature_array(), cell), 1, F.when(kind == 3, K.NUM_FEATURES - 1).otherwise(K.NUM_FEATURES))
+    return e.select("uid", spoiled.alias("features"))
+
+
+@query("contract_reject", """
+    SELECT uid, CASE event_id % 10 WHEN 0 THEN 'nan' WHEN 1 THEN 'infinite' WHEN 2 THEN 'non_numeric' WHEN 3 THEN 'wrong_dimension' ELSE 'valid' END AS reason
+    FROM conn_v""")
+def _(spark, d):
+    valid, rejected = A.contract_split(_spoiled(spark, d))
+    return rejected.select("uid", "reason").unionByName(valid.select("uid", F.lit("valid").alias("reason")))
+
+
 @query("contract_validate", """
     SELECT CASE event_id % 10 WHEN 0 THEN 'nan' WHEN 1 THEN 'infinite' WHEN 2 THEN 'wrong_dimension' ELSE 'valid' END AS verdict, count(*) AS n
     FROM events GROUP BY 1""")
@@ -334,10 +354,17 @@ def _(spark, d):
     return plain(AL.alert_search(alerts(spark, d), "10.3"))
 
 
-@query("triage_mode", f"""SELECT {_ALERT_SQL} FROM alert_v WHERE predicted_label <> 'BENIGN' AND NOT abstained AND decision <> 'ANALYST_REVIEW'
-    AND protocol = 'udp'""")
+_REVIEW_SQL = "(abstained OR decision = 'ANALYST_REVIEW')"
+_THREAT_SQL = f"(predicted_label <> 'BENIGN' AND NOT {_REVIEW_SQL} AND decision <> 'FALSE_POSITIVE')"
+_MODES = {"ALL": "true", "THREATS_ONLY": _THREAT_SQL, "REVIEW_ONLY": _REVIEW_SQL, "BENIGN_ONLY": f"NOT ({_THREAT_SQL} OR {_REVIEW_SQL})"}
+
+
+@query("triage_mode", " UNION ALL ".join(f"SELECT '{m}' AS mode, {_ALERT_SQL} FROM alert_v WHERE {rule}" for m, rule in _MODES.items())
+       + f" UNION ALL SELECT 'THREATS_ONLY udp' AS mode, {_ALERT_SQL} FROM alert_v WHERE {_THREAT_SQL} AND protocol = 'udp'")
 def _(spark, d):
-    return plain(AL.triage_mode(alerts(spark, d), "THREATS_ONLY", protocol="UDP"))
+    a = alerts(spark, d)
+    views = {m: AL.triage_mode(a, m) for m in _MODES} | {"THREATS_ONLY udp": AL.triage_mode(a, "THREATS_ONLY", protocol="UDP")}
+    return reduce(DataFrame.unionByName, [plain(v).withColumn("mode", F.lit(m)) for m, v in views.items()])
 
 
 _INSPECTED = [c for c in E.INSPECT if c in K.FEATURE_COLUMNS]
@@ -440,10 +467,26 @@ for _f in K.WINDOW_FEATURES:
 _window_query("window_features", K.WINDOW_FEATURES)
 
 
-@query("alert_point_lookup", f"SELECT {_ALERT_SQL} FROM alert_v WHERE alert_id = (SELECT min(alert_id) FROM alert_v)")
+@query("alert_point_lookup", f"SELECT {_ALERT_SQL} FROM alert_v WHERE flow_uid = (SELECT min(uid) FROM conn_v)")
 def _(spark, d):
-    a = alerts(spark, d)
-    return plain(a.filter(F.col("alert_id") == a.agg(F.min("alert_id")).scalar()))
+    flow = B.flows(spark, d).agg(F.min(F.struct("uid", "ts")).alias("f"))
+    return plain(AL.alert_by_id(alerts(spark, d), flow.select(A.alert_id(F.col("f.uid"), F.col("f.ts"))).scalar()))
+
+
+_TIED = "(SELECT uid, src_ip, src_ip || '>' || dst_ip AS pair, floor(ts / 30) * 30 AS ts, orig_bytes, event_id FROM conn_v)"
+
+
+@query("win_arrival_mode", f"""
+    SELECT uid AS flow_uid, CAST(count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)
+             - count(*) OVER (PARTITION BY src_ip, ts) + row_number() OVER (PARTITION BY src_ip, ts ORDER BY event_id) AS DOUBLE) AS win_src_flow_count_60s,
+           CAST(sum(orig_bytes) OVER (PARTITION BY pair ORDER BY ts RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) - sum(orig_bytes) OVER (PARTITION BY pair, ts)
+             + sum(orig_bytes) OVER (PARTITION BY pair, ts ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS win_pair_total_orig_bytes_300s
+    FROM {_TIED}""")
+def _(spark, d):
+    f = B.flows(spark, d).withColumn("ts", F.floor(F.col("ts") / 30) * 30.0).withColumn("n", F.substring("uid", 2, 20).cast("long"))
+    asked = ["win_src_flow_count_60s", "win_pair_total_orig_bytes_300s"]
+    w = W.window_features(f, features=asked, arrival="n")
+    return w.select(F.col("uid").alias("flow_uid"), *[F.col(c).cast("double").alias(c) for c in asked])
 
 
 @query("metadata_join", """
@@ -927,7 +970,7 @@ def _(spark, d):
     return D.validation_split(_split(spark, d), ["exp_0", "exp_1"], B.BOUND_VALIDATION_RUNS)
 
 
-_CAUSAL = ["win_src_flow_count_60s", "win_dst_unique_sources_60s", "win_pair_delta_t_std", "win_src_total_orig_bytes_300s"]
+_CAUSAL = K.WINDOW_FEATURES
 
 
 @query("causality_check", """SELECT count(*) AS rows_checked, CAST(0 AS BIGINT) AS rows_changed FROM conn_v
@@ -936,8 +979,10 @@ def _(spark, d):
     f = B.flows(spark, d)
     middle = f.agg((F.min("ts") + F.max("ts")) / 2).scalar()
     past = f.filter(F.col("ts") <= middle)
-    full = W.window_features(f, features=_CAUSAL).filter(F.col("ts") <= middle).select("uid", *_CAUSAL)
-    cut = W.window_features(past, features=_CAUSAL).select("uid", *[F.col(c).alias(f"cut_{c}") for c in _CAUSAL])
+    others = [B.dns(spark, d), B.weird(spark, d)]
+    full = W.window_features(f, *others, features=_CAUSAL).filter(F.col("ts") <= middle).select("uid", *_CAUSAL)
+    earlier = [x.filter(F.col("ts") <= middle) for x in others]
+    cut = W.window_features(past, *earlier, features=_CAUSAL).select("uid", *[F.col(c).alias(f"cut_{c}") for c in _CAUSAL])
     same = F.lit(True)
     for c in _CAUSAL:
         same = same & F.col(c).eqNullSafe(F.col(f"cut_{c}"))
@@ -958,11 +1003,10 @@ def _(spark, d):
     return FL.hosts(B.flows(spark, d), B.dns(spark, d), "src_ip")
 
 
-@query("concat_experiments", "SELECT experiment_id, count(*) AS n FROM runs_v WHERE experiment_id IN ('exp_1', 'exp_5', 'exp_9') GROUP BY 1")
+@query("concat_experiments", "SELECT uid, experiment_id, label FROM runs_v")
 def _(spark, d):
-    runs = B.run_labels(spark, d)
-    parts = [runs.filter(F.col("experiment_id") == x) for x in ("exp_1", "exp_5", "exp_9")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n"))
+    runs = B.run_labels(spark, d).select("uid", "experiment_id", "label")
+    return reduce(DataFrame.unionByName, [runs.filter(F.col("experiment_id") == f"exp_{i}") for i in range(12)])
 
 
 @query("contract_differences", """SELECT DISTINCT lower(event_type) AS name FROM events EXCEPT SELECT unnest(['click', 'view'])""")

@@ -187,28 +187,29 @@ def logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uid -> experiment and ground-truth class of every flow."""
-    e = _events(spark, sf_dir)
+def _run_columns() -> list[Column]:
+    """Experiment and ground-truth class, from the columns of an event."""
     position = F.array_position(F.array(*[F.lit(x) for x in EVENT_ORDER]), F.col("event_type")) - 1
     idx = ((position + F.col("k") % 2) % len(ACTIVE_CLASSES)).cast("int")
     label = F.get(F.array(*[F.lit(c) for c in ACTIVE_CLASSES]), idx)
     label_id = F.get(F.array(*[F.lit(THREAT_CLASSES.index(c)) for c in ACTIVE_CLASSES]), idx)
-    return e.select(
-        "uid", F.concat(F.lit("exp_"), F.col("user_id") % 12).alias("experiment_id"),
-        label.alias("label"), label_id.alias("label_id"),
-    )
+    return [F.concat(F.lit("exp_"), F.col("user_id") % 12).alias("experiment_id"), label.alias("label"), label_id.alias("label_id")]
+
+
+def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid -> experiment and ground-truth class of every flow."""
+    return _events(spark, sf_dir).select("uid", *_run_columns())
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scored row per flow: label, class-probability array and latency."""
+    """One scored row per flow: probability array, latency, experiment and class."""
     e = _events(spark, sf_dir)
     primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     weights = F.transform(primes, lambda p: (F.lit(1) + (F.col("event_id") * p + F.col("k")) % 97).cast("double"))
     total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    scored = e.select(
+    return e.select(
         "uid", "event_id",
         F.transform(weights, lambda x: x / total).alias("probs"),
         ((F.col("event_id") * 37 + F.col("k")) % 1000 / F.lit(10.0) + 5.0).alias("processing_time_ms"),
+        *_run_columns(),
     )
-    return scored.join(run_labels(spark, sf_dir), "uid")
