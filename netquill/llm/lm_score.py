@@ -1,14 +1,13 @@
-"""Language-model scoring over an Elias-Fano n-gram trie, learned from the training share of the documents.
+"""Language-model scoring over an Elias-Fano n-gram trie in shards, learned from the training share of the documents.
 
 1. The texts are cut into chunks of a bounded number of bytes. A chunk is one row: its distinct words (as 64-bit hashes), how often each
    occurs in training texts, and its texts as numbers of these words.
-2. Word counts are summed over all chunks. Words with at least ``word_share`` of all tokens have a place of their own in the trie, at most
-   1 / word_share of them; the others share the class of rare words there, and within the class a word is as likely as its count says,
-   so every word of the training texts counts towards a score.
-3. Bigrams and trigrams over these words are counted over all training texts; those with at least ``gram_share`` of all tokens (and two
-   occurrences) are kept, at most 1 / gram_share of each order: that bounds the trie, which is broadcast. Discounting gives what is
-   cut off to the back-off mass.
-4. Each chunk gets the counts of its own rare words by a join, and scores its texts.
+2. Word counts are summed over all chunks; every word of the training texts has its own.
+3. All bigrams and trigrams of the training texts are counted, none is cut off. A gram is a context (one word, or two) and the word after it. Each chunk
+   sends its distinct grams, packed, to the shards of their contexts, and each shard becomes one trie, a row of a table in the shared folder. The
+   number of shards follows the number of tokens. Contexts of frequent words only are spread over several shards by the word that follows.
+4. Each chunk asks the shards for its distinct grams, gets the counts of its words by a join, and scores its texts. Nothing that grows with
+   the input is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -21,16 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import LOWER_ASCII, crc_mod, prefix_hashes, span_hashes, text_chunks, word_spans, written
-from netquill.llm.ngram_trie import Trie, discounted
+from netquill.llm.common import LOWER_ASCII, crc_mod, mix64, prefix_hashes, span_hashes, text_chunks, word_spans, written
+from netquill.llm.ngram_trie import Trie
 
+#: Contexts whose words all have this share of the tokens are spread over ``_PARTS`` shards; that changes no count.
 WORD_SHARE = 2.0**-11
-GRAM_SHARE = 2.0**-21
+#: Tokens for each shard, and the least number of shards.
+SHARD_TOKENS, MIN_SHARDS = 1 << 18, 64
+DISCOUNT = 0.75
 CHUNK_BYTES = 8 << 20
 _RUN_BYTES = 1 << 20
-#: The end of a text, as a word hash; 0 and 1 are its and the rare words' numbers in the trie.
+_PARTS = 16
+#: The end of a text, as a word hash.
 END_HASH = np.uint64(0x5555AAAA12345678)
-END, RARE = 0, 1
+_ODD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _words(column, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,45 +80,67 @@ def _array(b: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
     return np.frombuffer(buffer, kind) if buffer.size else np.zeros(0, kind)
 
 
-class Vocabulary:
-    """Hashes of the words of the trie, sorted, their numbers and counts; and the totals that rare words need."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, end_count: int):
-        order = np.argsort(words)
-        self.hashes, self.counts = words[order], counts[order]
-        self.tokens, self.distinct = tokens, distinct
-        self.all_counts = np.concatenate([[end_count, tokens - end_count - counts.sum()], self.counts])
-        self.rare_mass = self.all_counts[RARE] + 0.5 * (distinct - len(words) - 1 * (end_count > 0) + 1)
-        self.base_mass = tokens + 0.5 * (distinct + 1)
-
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.where(words == END_HASH, END, RARE)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(words == END_HASH, END, np.where(self.hashes[at] == words, at + 2, RARE))
-
-    def probabilities(self) -> np.ndarray:
-        p = (self.all_counts + 0.5) / self.base_mass
-        p[RARE] = self.rare_mass / self.base_mass
-        return p
-
-
-def _contexts(numbers: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(numbers: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two numbers before each token; before a text there are ends."""
     first = np.cumsum(size) - size
-    w2 = np.append(END, numbers[:-1])
-    w1 = np.append([END, END], numbers[:-2])[: len(numbers)]
-    w2[first], w1[first] = END, END
+    w2 = np.append(end, numbers[:-1])
+    w1 = np.append([end, end], numbers[:-2])[: len(numbers)]
+    w2[first], w1[first] = end, end
     second = first[size > 1] + 1
-    w1[second] = END
+    w1[second] = end
     return w1, w2
 
 
-def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+class Grams:
+    """The distinct bigrams and trigrams of some tokens of a chunk, and where they are dealt with.
+
+    ``place2`` and ``place3`` have each token's entry in ``context`` (63-bit names), ``word`` and ``shard``; ``spread`` has for each entry the
+    first of the ``_PARTS`` entries behind the grams that ask about its context in every shard that it is spread over, or -1.
+    """
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, size: np.ndarray, taken: np.ndarray | None, frequent: np.ndarray, shards: int, ask: bool):
+        m, w3 = len(words), place.astype(np.int64)
+        w1, w2 = _contexts(w3, size, int(np.searchsorted(words, END_HASH)))
+        if taken is not None:
+            w1, w2, w3 = w1[taken], w2[taken], w3[taken]
+        grams2, self.place2, n2 = np.unique(w2 * m + w3, return_inverse=True, return_counts=True)
+        pairs, pair = np.unique(w1 * m + w2, return_inverse=True)
+        grams3, place3, n3 = np.unique(pair * m + w3, return_inverse=True, return_counts=True)
+        self.place3 = place3 + len(grams2)
+        often = (words == END_HASH) | np.isin(words, frequent)
+        one, two = mix64(words ^ _PAIR), mix64(mix64(words[pairs // m]) * _PAIR + words[pairs % m])
+        both = often[pairs // m] & often[pairs % m]
+        context = np.concatenate([one[grams2 // m], two[grams3 // m]])
+        word = np.concatenate([words[grams2 % m], words[grams3 % m]])
+        wide = np.concatenate([often[grams2 // m], both[grams3 // m]])
+        self.n = np.concatenate([n2, n3])
+        self.spread = np.full(len(word), -1, np.int64)
+        if ask:  # the words 0 to 15 stand for the parts
+            names, at = np.unique(context[wide], return_inverse=True)
+            self.spread[wide] = len(word) + at * _PARTS
+            context = np.concatenate([context, np.repeat(names, _PARTS)])
+            word = np.concatenate([word, np.tile(np.arange(_PARTS, dtype=np.uint64), len(names))])
+            wide = np.append(wide, np.ones(len(names) * _PARTS, bool))
+        part = np.where(wide, (word & np.uint64(_PARTS - 1)) + np.uint64(1), np.uint64(0))
+        name = mix64(context + part * _ODD)  # parts have names of their own, as several may meet in a shard
+        self.context, self.word = name >> np.uint64(1), word
+        self.shard = (name % np.uint64(shards)).astype(np.int64)
+
+    def dealt(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard that has entries and their places, in a fixed order."""
+        order = np.argsort(self.shard, kind="stable")
+        ends = np.cumsum(np.bincount(self.shard, minlength=shards))
+        for k, (a, z) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            if z > a:
+                yield k, order[a:z]
+
+
+def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, shard_tokens: int = SHARD_TOKENS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows where ``held`` is true teach nothing.
 
     A null or empty text is the end alone. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, ``score`` the
-    model's log10 probability of the text. If there is nothing to learn from, all counts are 0 and both scores are those of that
+    log10 probability of the text by trigrams, interpolated with bigrams and words by absolute discounting; a context that was not seen
+    leaves it to the shorter one, and a word's own probability is that of ``base_score``. If there is nothing to learn from, all counts are 0 and both scores are those of that
     formula. Repeated rows count and are scored one by one; a null id stays null. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -132,66 +157,89 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 
     entries = chunks.select("chunk", "words", "counts").mapInArrow(listed, "chunk long, place int, word long, n long")
     counts = written(entries.filter(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    end = F.sum(F.when(F.col("word") == int(END_HASH.view(np.int64)), F.col("c")).otherwise(0))
-    tokens, distinct, end_count = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1)), end).first())
+    tokens, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     frequent = counts.filter((F.col("c") >= max(tokens * word_share, 1)) & (F.col("word") != int(END_HASH.view(np.int64)))).toPandas()  # at most 1 / word_share rows
-    vocabulary = Vocabulary(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64), tokens, distinct, end_count)
-    v = len(vocabulary.all_counts)
+    often = frequent["word"].to_numpy(np.int64).view(np.uint64)
+    shards, base_mass = max(MIN_SHARDS, -(-tokens // shard_tokens)), tokens + 0.5 * (distinct + 1)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(b: pa.RecordBatch, i: int, ask: bool) -> Grams:
+        size, taken = _array(b, "size", i, np.int64), None
+        if not ask:
+            taken = np.repeat(_array(b, "held", i, np.uint8) == 0, size)
+        return Grams(_array(b, "words", i, np.uint64), _array(b, "place", i, np.int32), size, taken, often, shards, ask)
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                numbers = vocabulary.numbers(_array(b, "words", i, np.uint64))[_array(b, "place", i, np.int32)].astype(np.int64)
-                size = _array(b, "size", i, np.int64)
-                w1, w2 = _contexts(numbers, size)
-                learn = np.repeat(_array(b, "held", i, np.uint8) == 0, size)
-                w1, w2, w3 = w1[learn], w2[learn], numbers[learn]
-                for order, keys in ((1, w2), (2, w2 * v + w3), (3, (w1 * v + w2) * v + w3)):
-                    found, n = np.unique(keys, return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(found), order, np.int32)), pa.array(found), pa.array(n)], ["size", "gram", "n"])
-
-    seen = chunks.select("held", "size", "place", "words").mapInArrow(grams, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    # at most v + 2 / gram_share rows
-    kept = seen.filter((F.col("size") == 1) | (F.col("n") >= max(2, tokens * gram_share))).orderBy("size", "gram").toPandas()
-    g = {n: (kept["gram"][kept["size"] == n].to_numpy(), kept["n"][kept["size"] == n].to_numpy()) for n in (1, 2, 3)}
-    total1 = np.zeros(v, np.int64)
-    total1[g[1][0]] = g[1][1]
-    # the words before a trigram's last one are a bigram that may begin at a text's start, where it was not counted as one
-    grams2, counts2 = np.stack([g[2][0] // v, g[2][0] % v], 1), g[2][1]
-    context = g[3][0] // v
-    known = np.isin(context, g[2][0]) & np.isin(g[3][0] % (v * v), g[2][0])
-    grams3, counts3 = np.stack([g[3][0] // (v * v), context % v, g[3][0] % v], 1)[known], g[3][1][known]
-    trie = discounted(counts2, grams2, counts3, grams3, total1, vocabulary.probabilities())
-    packed = spark.sparkContext.broadcast(trie.to_bytes())
+                g = sent(b, i, False)
+                for k, at in g.dealt(shards):
+                    body = b"".join((g.context[at].tobytes(), g.word[at].tobytes(), g.n[at].astype(np.uint32).tobytes()))
+                    yield pa.record_batch([pa.array([k]), pa.array([body], pa.binary())], ["shard", "body"])
 
-    wanted = entries.select("chunk", "place", "word").join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    ready = chunks.drop("counts").join(wanted, "chunk", "left")
+    def built(table: pa.Table) -> pa.Table:
+        bodies = [x.as_buffer() for x in table.column("body")]
+        part = lambda kind, at: np.concatenate([np.frombuffer(x, kind, x.size // 20, x.size // 20 * at) for x in bodies])
+        trie = Trie.of(part(np.uint64, 0), part(np.uint64, 8), part(np.uint32, 16).astype(np.int64))
+        return pa.table({"shard": table.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.binary())})
+
+    columns = ("held", "size", "place", "words")
+    tries = written(chunks.select(*columns).mapInArrow(taught, "shard long, body binary").groupBy("shard").applyInArrow(built, "shard long, trie binary"), "lm-tries")
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Trie.from_buffer(packed.value)
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                words, place, size = _array(b, "words", i, np.uint64), _array(b, "place", i, np.int32), _array(b, "size", i, np.int64)
-                c = np.zeros(len(words), np.int64)
-                known = b.column("known")[i]
-                if known.is_valid:
-                    c[known.values.field("place").to_numpy()] = known.values.field("c").to_numpy()
-                base = np.log10((c + 0.5) / vocabulary.base_mass)
-                own = vocabulary.numbers(words).astype(np.int64)
-                inner = np.where(own == RARE, np.log10((c + 0.5) / vocabulary.rare_mass), 0.0)
-                numbers = own[place]
-                w1, w2 = _contexts(numbers, size)
-                keys, back = np.unique((w1 * v + w2) * v + numbers, return_inverse=True)
-                p = model.log_prob(keys // (v * v), keys // v % v, keys % v)
-                text = np.repeat(np.arange(len(size)), size)
-                total = lambda x: np.bincount(text, weights=x, minlength=len(size))
-                yield pa.record_batch(
-                    [b.column("doc_ids")[i].values, pa.array(_array(b, "held", i, np.uint8).astype(bool)), pa.array(size), pa.array(total(c[place] > 0).astype(np.int64)),
-                     pa.array(np.full(len(size), tokens)), pa.array(total(base[place])), pa.array(total(p[back] + inner[place]))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return ready.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                g = sent(b, i, True)
+                for k, at in g.dealt(shards):
+                    body = g.context[at].tobytes() + g.word[at].tobytes()
+                    yield pa.record_batch([b.column("chunk").slice(i, 1), pa.array([k]), pa.array([body], pa.binary())], ["chunk", "shard", "body"])
+
+    def answered(questions: pa.Table, shard: pa.Table) -> pa.Table:
+        trie = Trie.from_buffer(shard.column("trie")[0].as_buffer()) if shard.num_rows else None
+        bodies = []
+        for x in questions.column("body"):
+            q = np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1)
+            found = np.stack(trie.find(*q)) if trie is not None else np.zeros((3, q.shape[1]), np.int64)
+            wide = found.max(initial=0) >= 1 << 32
+            bodies.append((b"\1" if wide else b"\0") + found.astype(np.int64 if wide else np.uint32).tobytes())
+        return pa.table({"chunk": questions.column("chunk"), "shard": questions.column("shard"), "answer": pa.array(bodies, pa.binary())})
+
+    questions = chunks.select("chunk", *columns).mapInArrow(asked, "chunk long, shard long, body binary")
+    answers = questions.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answered, "chunk long, shard long, answer binary")
+
+    wanted = entries.select("chunk", "place", "word").join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
+    ready = chunks.drop("counts").join(wanted, "chunk", "left")
+
+    def scored(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        b = rows.combine_chunks().to_batches()[0]
+        words, place, size = _array(b, "words", 0, np.uint64), _array(b, "place", 0, np.int32), _array(b, "size", 0, np.int64)
+        c = np.zeros(len(words), np.int64)
+        known = b.column("known")[0]
+        if known.is_valid:
+            c[known.values.field("place").to_numpy()] = known.values.field("c").to_numpy()
+        g = sent(b, 0, True)
+        seen = np.zeros((3, len(g.word)), np.int64)
+        body = dict(zip(replies.column("shard").to_pylist(), replies.column("answer"), strict=True))
+        for k, at in g.dealt(shards):
+            raw = body[k].as_buffer()
+            seen[:, at] = np.frombuffer(raw, np.int64 if raw[:1].to_pybytes() == b"\1" else np.uint32, offset=1).reshape(3, -1)
+        n, total, kinds = seen
+        wide = np.flatnonzero(g.spread >= 0)
+        parts = g.spread[wide, None] + np.arange(_PARTS)
+        total[wide], kinds[wide] = total[parts].sum(1), kinds[parts].sum(1)
+        own, left = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        p1 = (c + 0.5) / base_mass
+        p2 = own[g.place2] + left[g.place2] * p1[place]
+        p3 = own[g.place3] + left[g.place3] * p2
+        text = np.repeat(np.arange(len(size)), size)
+        add = lambda x: np.bincount(text, weights=x, minlength=len(size))
+        return pa.table(
+            [b.column("doc_ids")[0].values, pa.array(_array(b, "held", 0, np.uint8).astype(bool)), pa.array(size), pa.array(add(c[place] > 0).astype(np.int64)),
+             pa.array(np.full(len(size), tokens)), pa.array(add(np.log10(p1)[place])), pa.array(add(np.log10(p3)))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return ready.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_fold(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:

@@ -1,12 +1,11 @@
-"""An n-gram trie in Elias-Fano form.
+"""A shard of an n-gram trie in Elias-Fano form.
 
-Level n holds, context by context, the sorted successors of every (n-1)-gram. A successor in the third level is not its word number but its
-rank among the successors of the word before it, which the second level lists: the numbers stay small. The numbers of all contexts make
-one monotone sequence (each context continues where the one before ended) and so do the pointers to the next level; both are kept
-as Elias-Fano sequences: the low bits packed, the high bits in unary. Probabilities and back-off weights are rounded to steps of
-1/256 of a decimal logarithm, two bytes each.
+The first level holds the names of the contexts, the second, context by context, the sorted words that follow, as numbers among the shard's own words.
+The numbers of all contexts make one monotone sequence (each context continues where the one before ended); so do the names, the pointers to
+the second level and the running totals of the counts. All four are kept as Elias-Fano sequences: the low bits packed, the high bits in
+unary. Counts are whole and exact.
 
-All arrays lie in one flat buffer, so a trie can be mapped from a file as well as read from a broadcast value; nothing is unpacked.
+All arrays lie in one flat buffer, the value of one row of a table.
 """
 
 from __future__ import annotations
@@ -15,12 +14,6 @@ import json
 
 import numpy as np
 
-STEP = 256.0
-
-
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-log10 * STEP), 0, 65535).astype(np.uint16)
-
 
 class EliasFano:
     """A monotone sequence of whole numbers: low bits packed in 64-bit words, high bits in unary, counts of ones before each word."""
@@ -68,25 +61,30 @@ class EliasFano:
 
 
 class Trie:
-    """Words 0 to v - 1 with bigrams and trigrams over them. ``log_prob`` is the log10 probability of a word after two others."""
+    """Counts of the words after contexts; names of contexts have 63 bits, of words 64."""
+
+    _LEVELS = ("contexts", "pointers", "nexts", "totals")
 
     def __init__(self, arrays: dict[str, np.ndarray], meta: dict):
         self.arrays, self.meta = arrays, meta
-        get = lambda name: EliasFano(*meta[name], *(arrays[f"{name}.{k}"] for k in ("low", "high", "before")))
-        self.pointers2, self.next2, self.pointers3, self.next3 = map(get, ("pointers2", "next2", "pointers3", "next3"))
+        whole = lambda name: (ef := EliasFano(*meta[name], *(arrays[f"{name}.{k}"] for k in ("low", "high", "before"))))[np.arange(ef.n)]
+        self.contexts, self.pointers, self.nexts, self.totals = map(whole, self._LEVELS)  # of one shard, for all its questions
+        size = np.diff(self.pointers)
+        self.base = np.append(0, self.nexts[self.pointers[1:] - 1] + 1)[: len(size)]
 
     @classmethod
-    def build(cls, p1: np.ndarray, bow1: np.ndarray, grams2: np.ndarray, p2: np.ndarray, bow2: np.ndarray, grams3: np.ndarray, p3: np.ndarray) -> Trie:
-        """log10 values; ``grams2`` (n x 2) and ``grams3`` (n x 3) sorted, without repeats, and the beginning and end of every trigram a bigram."""
-        v = len(p1)
-        start2 = np.searchsorted(grams2[:, 0], np.arange(v + 1))
-        keys2 = grams2[:, 0] * v + grams2[:, 1]
-        context = np.searchsorted(keys2, grams3[:, 0] * v + grams3[:, 1])
-        start3 = np.searchsorted(context, np.arange(len(grams2) + 1))
-        rank = np.searchsorted(keys2, grams3[:, 1] * v + grams3[:, 2]) - start2[grams3[:, 1]]
-        arrays = {"p1": quantised(p1), "bow1": quantised(bow1), "p2": quantised(p2), "bow2": quantised(bow2), "p3": quantised(p3)}
-        meta: dict = {"v": v}
-        for name, values in (("pointers2", start2), ("next2", cls._monotone(grams2[:, 1], start2)), ("pointers3", start3), ("next3", cls._monotone(rank, start3))):
+    def of(cls, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> Trie:
+        """From grams in any order; those that repeat are added up."""
+        words, number = np.unique(word, return_inverse=True)
+        order = np.lexsort((number, context))
+        context, number, n = context[order], number[order], n[order]
+        new = np.append(True, (context[1:] != context[:-1]) | (number[1:] != number[:-1]))
+        n = np.add.reduceat(n, np.flatnonzero(new))
+        context, number = context[new], number[new]
+        starts = np.append(np.flatnonzero(np.append(True, context[1:] != context[:-1])), len(context))
+        arrays, meta = {"words": words}, {}
+        levels = (context[starts[:-1]], starts, cls._monotone(number, starts), np.append(0, np.cumsum(n)))
+        for name, values in zip(cls._LEVELS, levels, strict=True):
             ef = EliasFano.of(values)
             meta[name] = [ef.n, ef.bits]
             arrays |= {f"{name}.low": ef.low, f"{name}.high": ef.high, f"{name}.before": ef.before}
@@ -121,60 +119,14 @@ class Trie:
         arrays = {k: np.frombuffer(buffer, np.dtype(t), n, 8 + size + at) for k, (at, n, t) in head["arrays"].items()}
         return cls(arrays, head["meta"])
 
-    @classmethod
-    def open(cls, path: str) -> Trie:
-        return cls.from_buffer(np.memmap(path, np.uint8, "r"))
-
-    def _find(self, nexts: EliasFano, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted successor in its context [low, high), -1 for none: binary search relative to the context's own base."""
-        out = np.full(len(wanted), -1, np.int64)
-        some = np.flatnonzero(high > low)
-        base = np.zeros(len(some), np.int64)
-        inner = low[some] > 0
-        base[inner] = nexts[low[some][inner] - 1] + 1
-        a, z, target = low[some].copy(), high[some].copy(), wanted[some] + base
-        while (a < z).any():
-            go = np.flatnonzero(a < z)
-            mid = (a[go] + z[go]) >> 1
-            less = nexts[mid] < target[go]
-            a[go], z[go] = np.where(less, mid + 1, a[go]), np.where(less, z[go], mid)
-        inside = np.flatnonzero(a < high[some])
-        hit = inside[nexts[a[inside]] == target[inside]]
-        out[some[hit]] = a[hit]
-        return out
-
-    def log_prob(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
-        """log10 p(w3 | w1 w2), backing off from trigrams to bigrams to words."""
-        A = self.arrays
-        after2 = self._find(self.next2, self.pointers2[w2], self.pointers2[w2 + 1], w3)  # the bigram w2 w3
-        context = self._find(self.next2, self.pointers2[w1], self.pointers2[w1 + 1], w2)  # the bigram w1 w2
-        tri = np.full(len(w3), -1, np.int64)
-        both = np.flatnonzero((after2 >= 0) & (context >= 0))
-        c = context[both]
-        tri[both] = self._find(self.next3, self.pointers3[c], self.pointers3[c + 1], after2[both] - self.pointers2[w2[both]])
-        units = np.where(after2 >= 0, A["p2"][after2].astype(np.int64), A["bow1"][w2].astype(np.int64) + A["p1"][w3]) if len(A["p2"]) else A["bow1"][w2].astype(np.int64) + A["p1"][w3]
-        if len(A["bow2"]):
-            units = units + np.where(context >= 0, A["bow2"][context], 0)
-        if len(A["p3"]):
-            units = np.where(tri >= 0, A["p3"][tri], units)
-        return -units / STEP
-
-
-def discounted(counts2: np.ndarray, grams2: np.ndarray, counts3: np.ndarray, grams3: np.ndarray, total1: np.ndarray, p1: np.ndarray, discount: float = 0.75) -> Trie:
-    """Interpolated absolute discounting. ``total1``: occurrences of each word as a context; ``p1``: word probabilities.
-
-    What is not kept as an n-gram is part of the back-off mass, so the probabilities after a context add up to one before rounding.
-    """
-    v = len(p1)
-    kept = np.maximum(counts2 - discount, 0)
-    total = np.maximum(total1, 1)
-    bow1 = np.clip(1 - np.bincount(grams2[:, 0], weights=kept, minlength=v) / total, 1e-9, 1)
-    p2 = kept / total[grams2[:, 0]] + bow1[grams2[:, 0]] * p1[grams2[:, 1]]
-    keys2 = grams2[:, 0] * v + grams2[:, 1]
-    context = np.searchsorted(keys2, grams3[:, 0] * v + grams3[:, 1])
-    lower = np.searchsorted(keys2, grams3[:, 1] * v + grams3[:, 2])
-    kept3 = np.maximum(counts3 - discount, 0)
-    total2 = np.maximum(counts2, 1)
-    bow2 = np.clip(1 - np.bincount(context, weights=kept3, minlength=len(counts2)) / total2, 1e-9, 1)
-    p3 = kept3 / total2[context] + bow2[context] * p2[lower]
-    return Trie.build(np.log10(p1), np.log10(bow1), grams2, np.log10(p2), np.log10(bow2), grams3, np.log10(p3))
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each gram: its count, the count of all words after its context, and how many different words these are."""
+        place = np.minimum(np.searchsorted(self.contexts, context.astype(np.int64)), len(self.contexts) - 1)
+        seen = self.contexts[place] == context.astype(np.int64)
+        low, high = self.pointers[place], self.pointers[place + 1]
+        words = self.arrays["words"]
+        number = np.minimum(np.searchsorted(words, word), len(words) - 1)
+        target = self.base[place] + number
+        at = np.minimum(np.searchsorted(self.nexts, target), len(self.nexts) - 1)
+        hit = seen & (words[number] == word) & (self.nexts[at] == target) & (at < high) & (at >= low)
+        return np.where(hit, self.totals[at + 1] - self.totals[at], 0), np.where(seen, self.totals[high] - self.totals[low], 0), np.where(seen, high - low, 0)

@@ -178,6 +178,31 @@ def test_lm_scores(docs, empty):
     assert lm_score.score(empty, lm_score.held_fold()).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"word_share": 1.0, "shard_tokens": 1000}, {"word_share": 1e-4, "chunk_bytes": 5000}])
+def test_lm_scores_equal_a_plain_model(docs, sizes):
+    """Every word and every n-gram of the training texts counts, wherever it is dealt with."""
+    named = docs.filter("doc_id is not null and doc_id > 0")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(named, lm_score.held_fold(), **sizes).collect()}
+    tokens = {r["doc_id"]: [None, None, *WORD.findall((r["text"] or "").translate(LOWER)), None] for r in named.collect()}
+    counts, total, kinds = (collections.Counter() for _ in range(3))
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for j in range(2, len(ws)):
+                counts.update([tuple(ws[k : j + 1]) for k in (j - 2, j - 1, j)])
+    for g, n in counts.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+
+    def p(gram):
+        if not gram[:-1]:
+            return (counts[gram] + 0.5) / (total[()] + 0.5 * (kinds[()] + 1))
+        t = total[gram[:-1]]
+        return (max(counts[gram] - 0.75, 0) + 0.75 * kinds[gram[:-1]] * p(gram[1:])) / t if t else p(gram[1:])
+
+    for i, ws in tokens.items():
+        assert got[i] == pytest.approx(sum(np.log10(p(tuple(ws[j - 2 : j + 1]))) for j in range(2, len(ws))), rel=1e-9)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top in (1, 50, 10**9):
