@@ -1,7 +1,7 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised and looked up among the known licence sentences, and the identifiers
-found, in their order in the text, are matched with the licence rules: a rule is a list of identifiers that must occur in that order,
+A text gets marks where a sentence may begin or end and is normalised. A known licence sentence is found wherever it runs from a mark to a mark;
+marks and line ends inside it don't matter. The identifiers found, in their order in the text, are matched with the licence rules: a rule is a list of identifiers that must occur in that order,
 others may stand between them. Within a family the first matching rule counts. Nothing is shuffled: a row is decided alone.
 """
 
@@ -61,36 +61,41 @@ RULES = [
     ("cc0", "CC0-1.0", ["CC0"]),
     ("unlicense", "Unlicense", ["UNLICENSE"]),
 ]
-#: A sentence ends after one of these before white space, or where a new line begins with a capital letter or follows a blank line.
+#: Sentences and rules that ``sql`` doesn't restate; the rules stand before the others of their family.
+MORE_SENTENCES = {
+    "BSD-ENDORSE": [f"neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+                    for holder in ("the copyright holder", "copyright holder", "the organization", "the university", "the author", "the project")],
+}
+MORE_RULES = [("bsd", "BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE"])]
+#: A sentence may end after one of these before white space, or where a new line begins with a capital letter or follows a blank line.
 _END = "([.!?;:])[ \\t\\r\\n]+"
 _NEW_LINE = "\\n[ \\t\\r]*(\\n|[A-Z])"
 _CUT = "\x01"
-_LONGEST = max(len(s) for v in SENTENCES.values() for s in v)
+_KNOWN = {s: k for k, v in [*SENTENCES.items(), *MORE_SENTENCES.items()] for s in v}
+#: A known sentence between two marks, the longest one first.
+_FIND = f"{_CUT} ?(?:{'|'.join(s.replace(' ', f'[ {_CUT}]+') for s in sorted(_KNOWN, key=len, reverse=True))})(?= ?{_CUT})"
 
 
-def sentences(text: Column) -> Column:
+def normalise(text: Column) -> Column:
+    """Marks around and between sentences; lower case, everything but marks, ASCII letters and digits as one blank, British spelling as American."""
     marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _END, f"$1{_CUT}"), _NEW_LINE, f"{_CUT}$1")
-    return F.split(marked, _CUT)
-
-
-def normalise(sentence: Column) -> Column:
-    """Lower case, everything but ASCII letters and digits as one blank, British spelling as American."""
-    words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    words = F.regexp_replace(F.lower(F.concat(F.lit(_CUT), marked, F.lit(_CUT))), f"[^a-z0-9{_CUT}]+", " ")
     return F.regexp_replace(words, "licence", "license")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order."""
-    known = F.create_map(*[x for k, v in SENTENCES.items() for s in v for x in (F.lit(s), F.lit(k))])
-    ascii_ones = F.filter(sentences(text), lambda s: F.lower(s).rlike("licen[sc]e|permission|warrant|redistribut|public domain|cc ?by|cc0|rights reserved"))
-    return F.array_compact(F.transform(ascii_ones, lambda s: F.try_element_at(known, normalise(s))))
+    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
+    found = F.regexp_extract_all(normalise(text), F.lit(_FIND), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, f"[ {_CUT}]+", " "))))
 
 
 def match_rules(ids: Column) -> Column:
     """Licences of an identifier sequence, in the order of the families."""
     joined = F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
     families: dict[str, Column] = {}
-    for family, licence, wanted in RULES:
+    before = lambda r: [x for x in MORE_RULES if x[0] == r[0]]
+    for family, licence, wanted in [x for r in RULES for x in (*before(r), r)]:
         hit = joined.like("%" + "%".join(f",{i}," for i in wanted) + "%")
         families[family] = F.when(hit, F.lit(licence)) if family not in families else families[family].when(hit, F.lit(licence))
     return F.array_compact(F.array(*families.values()))
@@ -108,7 +113,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def sql() -> str:
-    """The query in DuckDB's SQL, from the same tables of sentences and rules."""
+    """The query in DuckDB's SQL, from the tables ``SENTENCES`` and ``RULES``.
+
+    It looks up whole pieces between two marks, so it doesn't find a sentence that has a mark inside.
+    """
     known = ", ".join(f"('{s}', '{k}')" for k, v in SENTENCES.items() for s in v)
     families: dict[str, list[str]] = {}
     for family, licence, wanted in RULES:

@@ -258,6 +258,67 @@ def test_license_rules(docs, empty, spark):
     assert scan(docs).count() == docs.count() and scan(empty).count() == 0
 
 
+_BSD = """Copyright (c) 2020, X
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_NOTICES = {
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.""",
+    "Apache-2.0": """   Licensed under the
+   Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.""",
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the
+Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.""",
+    "CC-BY-4.0": "Text.\nThis work is licensed under\nCC-BY 4.0.\nMore",
+    "Unlicense": "This is free and unencumbered software\nreleased into the public domain.",
+}
+
+
+def test_licenses_of_wrapped_notices(spark):
+    rows = [(k, t if wrapped else " ".join(t.split())) for k, t in _NOTICES.items() for wrapped in (True, False) if wrapped or "BSD" not in k]
+    got = scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in got if r["licenses"] != [r["doc_id"]]] == [] and len(got) == len(rows)
+
+
+def test_every_license_sentence_is_found_however_wrapped(spark):
+    from netquill.llm.license_scan import MORE_SENTENCES, SENTENCES
+
+    known = [(k, s) for k, v in {**SENTENCES, **MORE_SENTENCES}.items() for s in v]
+    rows = [(k, f"Before.\n{f(s)}.\nAfter") for k, s in known for f in (str.title, lambda s: s.title().replace(" ", "\n"), lambda s: s.replace(" ", "; "))]
+    got = scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r["doc_id"] for r in got if r["sentence_ids"] != [r["doc_id"]]] == [] and len(got) == len(rows)
+
+
 def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) == {"op4_exact_dedup", "op7_license_scan", "op10_exact_topk"}
