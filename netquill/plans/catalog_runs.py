@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,8 +189,8 @@ def _(spark, d):
 
 # --- models ----------------------------------------------------------------------------------------
 
-# The bound labels depend on the port, protocol and state of a flow, so these columns carry the signal.
-_MODEL_COLUMNS = K.FLOW_FEATURES + ["win_src_flow_count_60s", "win_dst_unique_sources_60s", "win_pair_flow_count_300s"]
+# The whole contract, from all logs; learners, rounds, settings and repeats are the defaults of the operators.
+_MODEL_COLUMNS = K.FEATURE_COLUMNS
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -200,9 +202,6 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return split, staged(train), staged(test)
 
 
-_TREES, _ROUNDS = 20, 3
-
-
 @query("class_weights", f"""SELECT label, round_even(sum(n) OVER () / (count(*) OVER () * CAST(n AS DOUBLE)), 9) AS w
     FROM (SELECT label, count(*) AS n FROM runs_v GROUP BY label)""")
 def _(spark, d):
@@ -220,20 +219,20 @@ def _(spark, d):
 @query("baseline_models")
 def _(spark, d):
     _, train, test = _parts(spark, d)
-    return M.baselines(train, test, _TREES, _ROUNDS)
+    return M.baselines(train, test)
 
 
 @query("score_batch")
 def _(spark, d):
     _, train, test = _parts(spark, d)
-    model = M.estimators(_TREES)["random_forest"].fit(train)
+    model = M.estimators()["random_forest"].fit(train)
     return M.score(model, test).select("flow_uid", P.verdict(F.col("probs")).alias("v")).select("flow_uid", "v.predicted_label", "v.confidence", "v.decision")
 
 
 @query("probability_calibration")
 def _(spark, d):
     _, train, test = _parts(spark, d)
-    return M.calibration_comparison(train, test, max_iter=_ROUNDS, max_depth=3)
+    return M.calibration_comparison(train, test)
 
 
 @query("hyperparameter_sensitivity")
@@ -242,35 +241,37 @@ def _(spark, d):
     inner = staged(D.validation_split(split, ["exp_0", "exp_1"], B.BOUND_VALIDATION_RUNS))
     sub = M.prepared(inner.filter(F.col("inner_part") == "sub_train"), _MODEL_COLUMNS)
     val = M.prepared(inner.filter(F.col("inner_part") == "validation"), _MODEL_COLUMNS)
-    chosen = {k: M.SENSITIVITY[k] for k in ("baseline", "smaller_leaves")}
-    return M.sensitivity(staged(sub), staged(val), train, test, chosen, max_iter=2)
+    return M.sensitivity(staged(sub), staged(val), train, test)
+
+
+_ABLATED = ["random_forest", "gradient_boosting", "logistic_regression"]
 
 
 @query("feature_ablation")
 def _(spark, d):
     split, _, _ = _parts(spark, d)
-    full = A.assemble_defaults(split)
-    return M.ablation(full.filter(F.col("part") == "train"), full.filter(F.col("part") == "test"),
-                      lambda: M.estimators(10)["decision_tree"])
+    train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test")
+    results = [M.ablation(train, test, lambda n=name: M.estimators()[n]).withColumn("model", F.lit(name)) for name in _ABLATED]
+    return reduce(DataFrame.unionByName, results)
 
 
 @query("permutation_importance")
 def _(spark, d):
     _, train, test = _parts(spark, d)
-    model = M.estimators(_TREES)["decision_tree"].fit(train)
-    return M.permutation_importance(model, test, _MODEL_COLUMNS, repeats=2)
+    model = M.estimators()["decision_tree"].fit(train)
+    return M.permutation_importance(model, test, _MODEL_COLUMNS)
 
 
 @query("impurity_importance")
 def _(spark, d):
     _, train, _ = _parts(spark, d)
-    return E.top_features(M.impurity_importance(M.estimators(_TREES)["random_forest"].fit(train), _MODEL_COLUMNS))
+    return E.top_features(M.impurity_importance(M.estimators()["random_forest"].fit(train), _MODEL_COLUMNS))
 
 
 @query("model_bundle", "SELECT CAST(0 AS BIGINT) AS differing_rows, CAST(78 AS INTEGER) AS contract_features")
 def _(spark, d):
     _, train, test = _parts(spark, d)
-    model = M.estimators(_TREES)["random_forest"].fit(train)
+    model = M.estimators()["random_forest"].fit(train)
     path = L.scratch(spark, "bundle")
     changed = M.round_trip_differences(model, path, test)
     _, documents = M.load_bundle(path)
