@@ -56,8 +56,7 @@ _LABELLED = ["flow_duration", "total_bytes", "history_len"]
 @query("features_jsonl", f"""SELECT flow_uid, experiment_id, label, label_id, "timestamp", source_endpoint, destination_endpoint, protocol, connection_state,
     flow_duration, total_bytes, history_len FROM ({O.labelled_select(_LABELLED)})""")
 def _(spark, d):
-    flows = B.flows(spark, d)
-    full = A.assemble_defaults(A.feature_matrix({"conn": flows}, K.FLOW_FEATURES))
+    full = A.assemble_defaults(A.feature_matrix(B.logs(spark, d)))
     path = L.scratch(spark, "features")
     T.write_features_jsonl(D.labelled_rows(full, B.run_labels(spark, d)), path)
     back = D.wide(T.read_features_jsonl(spark, path))
@@ -69,10 +68,9 @@ def _(spark, d):
     'runs/' || label || '/' || experiment_id AS source_dir, CAST(90 AS INTEGER) AS n_columns, CAST(total_bytes AS DOUBLE) AS total_bytes
     FROM conn_v JOIN runs_v USING (uid)""")
 def _(spark, d):
-    flows = B.flows(spark, d)
-    full = A.assemble_defaults(A.feature_matrix({"conn": flows}, K.FLOW_FEATURES))
+    full = A.assemble_defaults(A.feature_matrix(B.logs(spark, d)))
     path = L.scratch(spark, "master")
-    T.write_master(D.with_row_id(D.labelled_rows(full, B.run_labels(spark, d))), path, ("parquet",), "runs")
+    T.write_master(staged(D.with_row_id(D.labelled_rows(full, B.run_labels(spark, d)))), path, source_dir="runs")
     back = spark.read.parquet(f"{path}/parquet")
     return back.select("master_row_id", "flow_uid", "label", "source_dir", F.lit(len(back.columns)).alias("n_columns"), "total_bytes")
 
