@@ -7,8 +7,10 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def combined(states: DataFrame, combine: Callable[[list[bytes]], bytes], name: str, group: int = 16) -> bytes | None:
+    """One state from a table (part, state) with a state for each partition, ``group`` at a time in a tree: no task holds more than that,
+    and only the last state reaches the driver. None for an empty table."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        merged = combine([x.as_py() for x in rows.column("state")])
+        return pa.table({"part": rows.column("next")[:1], "state": pa.array([merged], pa.binary())})
+
+    states = written(states, name)
+    left = states.count()
+    while left > 1:
+        states = states.withColumn("next", F.floor(F.col("part") / group)).groupBy("next").applyInArrow(merge, "part long, state binary")
+        states = written(states, name)
+        left = states.count()
+    last = states.select("state").first()
+    return None if last is None else bytes(last[0])
+
+
 # --- bytes of an Arrow string column -------------------------------------------------------------------------------
 
 
