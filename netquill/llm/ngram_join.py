@@ -8,7 +8,8 @@
    links most groups, stars of copies in particular.
 4. What a shingle still holds of several components is cut by size and into blocks. In each pair of blocks, trees whose nodes hold the
    OR of the bitmaps, the range of sizes and of components below them are traversed together; a pair of nodes is left as soon as their
-   sizes, the bits that they share or a common component rule every link between them out.
+   sizes, the bits that they share or a common component rule every link between them out. The few members of a rare shingle are
+   paired without a tree: one level, whose leaves are tested alike, once for each pair instead of once for each shingle.
 5. Pairs of leaves that remain are counted on the full sets, and components labelled with their smallest id.
 
 Nothing in it is approximate but the names: shingles have 64 bits, sets 128.
@@ -282,12 +283,20 @@ def _not_ruled_out(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(checked, "a long, b long")
 
 
+def _few_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components and of sizes that can match, from shingles with FEW members at most."""
+    held = placed.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("cid", "component", "n"))).alias("held"))
+    each = held.select(F.explode(F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", 1, i), lambda y: F.struct(y.alias("x"), x.alias("y")))))).alias("p"))
+    sizes = (100 * F.least("p.x.n", "p.y.n") >= percent * F.greatest("p.x.n", "p.y.n"))
+    return each.filter((F.col("p.x.component") != F.col("p.y.component")) & sizes).select(F.col("p.x.cid").alias("a"), F.col("p.y.cid").alias("b")).distinct()
+
+
 def _blocks(placed: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
     """(token, ci, cj, side, cid, component, n, bits): the members of each pair of blocks whose sizes can match, in order.
 
     A block holds members of one size class of one token; two sizes that match are in the same class or in neighbouring ones."""
     scale = max(float(-np.log(percent / 100)), 1e-6) * 1.000001
-    sized = placed.join(classes.select("cid", "n", "bits"), "cid").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / scale).cast("int"))
+    sized = placed.join(classes.select("cid", "bits"), "cid").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / scale).cast("int"))
     cells = sized.groupBy("token", "z").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     higher = cells.select("token", (F.col("z") - 1).alias("z"), F.col("parts").alias("above"))
     lower = cells.select("token", (F.col("z") + 1).alias("z"), F.col("parts").alias("below"))
@@ -324,9 +333,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 lists = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("prefix")]
-                yield pa.record_batch([pa.array(np.concatenate(lists)), pa.array(np.repeat(part.column("cid").to_numpy(), [len(x) for x in lists]))], ["token", "cid"])
+                times = [len(x) for x in lists]
+                yield pa.record_batch([pa.array(np.concatenate(lists)), *[pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("cid", "n")]], ["token", "cid", "n"])
 
-    tokens = classes.select("cid", "prefix").mapInArrow(listed, "token long, cid long")
+    tokens = classes.select("cid", "n", "prefix").mapInArrow(listed, "token long, cid long, n long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(tokens.join(shared, "token"), "join-members")
 
@@ -337,9 +347,12 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = written(_not_ruled_out(led, classes, percent), "join-stars")
     roots = written(components(_counted(stars, docs, classes, key, text, words, percent)), "join-roots")
 
-    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("component"))
+    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("token")
-    pairs = written(_candidates(_blocks(placed.join(mixed, "token"), classes, percent, block), percent), "join-pairs")
+    placed = written(placed.join(mixed, "token"), "join-placed")
+    few = _not_ruled_out(_few_pairs(placed.filter(F.col("size") <= FEW), classes, percent), classes, percent)
+    many = _candidates(_blocks(placed.filter(F.col("size") > FEW).drop("size"), classes, percent, block), percent)
+    pairs = written(few.union(many).distinct(), "join-pairs")
     more = _counted(pairs, docs, classes, key, text, words, percent)
     known = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = written(components(known.unionByName(more)), "join-components")
