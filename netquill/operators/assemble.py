@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from netquill.operators import correlate as C
 from netquill.operators import policy as P
 from netquill.operators.timeline import DEFAULT_SLOT_SECONDS
 from netquill.operators.windows import window_features
+from netquill.sources.stage import staged
 
 # Identity columns in front of the features.
 IDENTITY = {
@@ -35,17 +36,18 @@ def feature_matrix(
     targets: DataFrame | None = None,
     keep: tuple[str, ...] = (),
     arrival: str | None = None,
+    stage: Callable[..., DataFrame] = staged,
 ) -> DataFrame:
     """Logs -> one row per connection: identity columns, then the features in contract order.
 
     Asking for fewer features drops the joins and windows only the others need. Missing
-    logs leave their features at the contract defaults. ``targets`` and ``arrival`` are passed
+    logs leave their features at the contract defaults. ``targets``, ``arrival`` and ``stage`` are passed
     on to :func:`window_features`; ``keep`` names further flow columns to carry along.
     """
     wanted = [f for f in FEATURE_COLUMNS if f in set(features)]
     flows = window_features(
         logs["conn"], logs.get("dns"), logs.get("weird"), [f for f in WINDOW_FEATURES if f in wanted], slot_seconds,
-        targets, arrival,
+        targets, arrival, stage,
     )
     columns = C.flow_feature_columns()
     columns.update({f: F.col(f) for f in WINDOW_FEATURES})

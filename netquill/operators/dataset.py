@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from netquill.functions.scalars import endpoint_str, round_half_even
 from netquill.operators.assemble import feature_array
 from netquill.operators.quantiles import exact_percentiles
 from netquill.operators.timeline import DEFAULT_SLOT_SECONDS, numbered
+from netquill.sources.stage import staged
 
 TRAIN_SHARE = 0.70
 
@@ -60,26 +65,43 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
     return counts.select(column, "n", round_half_even(F.col("n") * 100.0 / total, 2).alias("pct"))
 
 
-def unpivoted(table: DataFrame, features: list[str]) -> DataFrame:
-    """One ``(feature, value)`` row per cell, exploded from one array."""
-    cells = F.array(*[F.col(n).cast("double") for n in features])
+def value_counts(table: DataFrame, features: list[str]) -> DataFrame:
+    """Rows per feature and value, for all columns in one scan.
+
+    Every Arrow batch is counted column by column before anything is shuffled, so a flag column sends two rows a batch, not one a
+    row. Nulls are not counted; negative zero is zero.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [np.unique(b.column(i).drop_null().to_numpy(zero_copy_only=False) + 0.0, return_counts=True) for i in range(b.num_columns)]
+            sizes = [len(v) for v, _ in pairs]
+            yield pa.record_batch(
+                [pa.array(np.repeat(np.arange(len(pairs), dtype=np.int32), sizes)), pa.array(np.concatenate([v for v, _ in pairs])),
+                 pa.array(np.concatenate([n for _, n in pairs]).astype(np.int64))], ["place", "value", "n"],
+            )
+
+    cells = table.select(*[F.col(n).cast("double") for n in features])
     names = F.array(*[F.lit(n) for n in features])
-    return table.select(F.posexplode(cells).alias("pos", "value")).select(F.get(names, F.col("pos")).alias("feature"), "value")
+    combined = cells.mapInArrow(counted, "place int, value double, n long").groupBy("place", "value").agg(F.sum("n").alias("n"))
+    return combined.select(F.get(names, F.col("place")).alias("feature"), "value", "n")
 
 
 def feature_profile(table: DataFrame, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
-    """Per feature: min, max, mean, median, population std, distinct count, share of zeros."""
-    long = unpivoted(table, features)
-    basics = long.groupBy("feature").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"), F.count_distinct("value").alias("unique_count"),
-        F.avg((F.col("value") == 0).cast("double")).alias("zero_share"),
+    """Per feature: min, max, mean, median, population std, distinct count, share of zeros; all from the counts per value."""
+    counts = staged(value_counts(table, features))
+    v, n = F.col("value"), F.col("n")
+    basics = counts.groupBy("feature").agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(n).alias("rows"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.count(F.lit(1)).alias("unique_count"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"),
+    )
+    spread = counts.join(basics.select("feature", "mean", "rows"), "feature").groupBy("feature").agg(
+        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.max("rows")).alias("std")
     )
-    middle = exact_percentiles(long, ["feature"], "value", {"median": 0.5}).drop("n")
+    middle = exact_percentiles(counts, ["feature"], "value", {"median": 0.5}, weight="n").drop("n")
     r4 = lambda c: round_half_even(F.col(c), 4).alias(c)
-    return basics.join(middle, "feature").select(
+    return basics.join(spread, "feature").join(middle, "feature").select(
         "feature", r4("min"), r4("max"), r4("mean"), r4("median"), r4("std"), "unique_count",
-        round_half_even(F.col("zero_share") * 100.0, 2).alias("zero_pct"),
+        round_half_even(F.col("zeros") / F.col("rows") * 100.0, 2).alias("zero_pct"),
     )
 
 
@@ -96,8 +118,9 @@ def feature_flags(profile: DataFrame) -> DataFrame:
 
 
 def zero_variance_columns(table: DataFrame, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
-    """Features with at most one distinct value, from one min/max pass."""
-    spans = unpivoted(table, features).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """Features with at most one distinct value, from one min/max pass over all columns at once."""
+    ends = table.agg(*[F.struct(F.lit(n).alias("feature"), F.min(F.col(n).cast("double")).alias("lo"), F.max(F.col(n).cast("double")).alias("hi")).alias(n) for n in features])
+    spans = ends.select(F.inline(F.array(*[F.col(n) for n in features])))  # one row in, a row for each column out
     return spans.filter(F.col("lo").eqNullSafe(F.col("hi"))).select("feature")
 
 

@@ -10,7 +10,10 @@ import functools
 import json
 import math
 import os
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -145,9 +148,10 @@ def baselines(train: DataFrame, test: DataFrame, trees: int = 100, gbt_iter: int
 # --- calibration ---------------------------------------------------------------------
 
 
-def folded(rows: DataFrame, folds: int = 3) -> DataFrame:
-    """Deterministic fold per row from its id; no driver-side split."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64("flow_uid"), F.lit(folds)).cast("int"))
+def folded(rows: DataFrame, folds: int = 3, slot_seconds: float = 60.0) -> DataFrame:
+    """Folds stratified by class: the rows of a class are numbered by time and dealt in turn, so every fold has its share of each."""
+    placed = numbered(rows, ["y"], "timestamp", ["flow_uid"], slot_seconds, "_place")
+    return placed.withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int")).drop("_place", "group_size")
 
 
 def calibrated_probabilities(train: DataFrame, rows: DataFrame, method: str = "sigmoid", folds: int = 3, **params) -> DataFrame:
@@ -255,32 +259,55 @@ def impurity_importance(model: PipelineModel, columns: list[str]) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, values)], "feature string, importance double")
 
 
-def _stride(n: int, seed: int) -> int:
-    """A multiplier coprime to ``n``: ``i -> (a*i + b) mod n`` is then a permutation of the rows."""
-    a = (2654435761 * (seed + 1)) % min(n, 1_000_003) or 1  # kept small so that i * a fits a long
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
+def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a keyed permutation of 0 to n - 1 sends ``i``: a Feistel network on the next even number of bits, walked on until it is inside.
+
+    Sums wrap modulo 2**64 and only their low half is used, so every ``n`` below 2**62 works alike.
+    """
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    low = np.uint64((1 << int(half)) - 1)
+    keys = [np.uint64((seed * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03 + 1) % 2**64) for r in range(6)]
+    out = i.astype(np.uint64)
+    todo = np.arange(len(out))
+    with np.errstate(over="ignore"):
+        while len(todo):
+            left, right = out[todo] >> half, out[todo] & low
+            for key in keys:
+                mixed = (right + key) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                left, right = right, left ^ ((mixed >> np.uint64(32)) & low)
+            out[todo] = left << half | right
+            todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _partner_number(n: int, key: int):
+    def sent(i: pd.Series) -> pd.Series:
+        return pd.Series(permuted(i.to_numpy(), n, key))
+
+    return F.pandas_udf(sent, "long")
 
 
 def permutation_importance(model: Model, rows: DataFrame, columns: list[str], repeats: int = 5, seed: int = SEED,
                            slot_seconds: float = 60.0) -> DataFrame:
-    """Accuracy lost when one feature is permuted over all rows, mean and std over repeats.
+    """Accuracy lost when one feature is permuted over all rows, mean and std over repeats; no rows give no importances.
 
-    Each repeat pairs every row with one partner row through a modular permutation of the
+    Each repeat pairs every row with one partner row through a keyed permutation of the
     row numbers (one equi-join for all features); a row then fans out into one copy per
     feature with that slot taken from the partner, and one ``transform`` scores them all.
     """
+    spark = rows.sparkSession
     indexed = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], "timestamp", ["flow_uid"], slot_seconds, "i")
     base = staged(indexed.select((F.col("i") - 1).alias("i"), "label", vector_to_array("x").alias("v")))
     n = base.count()
+    if n == 0:
+        return spark.createDataFrame([], "feature string, importance double, importance_std double")
     hit = (P.argmax_label(F.col("probs")) == F.col("label")).cast("double")
     whole = score(model, base.select("label", array_to_vector("v").alias("x"))).agg(F.avg(hit)).first()[0]
     runs = []
     for r in range(repeats):
-        a, b = _stride(n, seed + r), (seed * 7919 + r * 104729) % n
         partner = base.select(F.col("i").alias("j"), F.col("v").alias("pv"))
-        paired = base.withColumn("j", F.pmod(F.col("i") * a + b, F.lit(n))).join(partner, "j")
+        paired = base.withColumn("j", _partner_number(n, seed * 1_000_003 + r)("i")).join(partner, "j")
         swapped = paired.select("label", "v", "pv", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("f"))
         mixed = F.transform("v", lambda x, k: F.when(k == F.col("f"), F.get("pv", F.col("f"))).otherwise(x))
         scored = score(model, swapped.select("label", "f", array_to_vector(mixed).alias("x")))
@@ -351,6 +378,17 @@ def load_bundle(path: str) -> tuple[PipelineModel, dict[str, dict]]:
     return PipelineModel.load(f"{path}/model"), documents
 
 
+def bundle_scorer(path: str) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for the live path from a stored bundle: feature rows get ``probs`` and ``processing_time_ms``."""
+    model, _ = load_bundle(path)
+
+    def scorer(features: DataFrame) -> DataFrame:
+        x = array_to_vector(F.array(*[F.col(c).cast("double") for c in K.FEATURE_COLUMNS]))
+        return score(model, features.withColumn("x", x)).drop("x").withColumn("processing_time_ms", F.lit(0.0))
+
+    return scorer
+
+
 def round_trip_differences(model: PipelineModel, path: str, rows: DataFrame) -> DataFrame:
     """Rows scored differently by a saved and reloaded model (must be empty)."""
     save_bundle(model, path)

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from netquill.sources.stage import staged
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Per key: ``n`` and one linearly interpolated percentile column per entry of ``probs``.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Per key: ``n`` and one linearly interpolated percentile column per entry of ``probs``; ``weight`` is a column that says for how
+    many rows a row stands.
 
     Null values are not counted. NaN counts as the largest value, so only percentiles that reach it are NaN. Rows with a null
     key have no group.
     """
     by = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).dropna(subset=by).filter(F.col("_v").isNotNull())
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("c"))
+    many = F.lit(1) if weight is None else F.col(weight)
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v"), many.cast("long").alias("_w")).dropna(subset=by).filter(F.col("_v").isNotNull())
+    counted = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("c"))
     # written, because the number of a range must not change between the passes
     parts = staged(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
 

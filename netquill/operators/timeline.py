@@ -70,42 +70,38 @@ def followed_within(horizon: float, ts: str = "ts") -> Column:
     return F.coalesce(F.col(ts) >= F.col("next_ts") - F.lit(float(horizon)), F.lit(False))
 
 
-def moves(
-    rows: DataFrame,
-    keys: Sequence[str],
+def steps(
+    key: dict[str, Column],
+    types: dict[str, str],
     enters: dict[str, Column],
     leaves: dict[float, dict[str, Column]],
+    tie: Column,
     ts: str = "ts",
-) -> DataFrame:
-    """Turn rows into signed movements ``(keys, pos, rank, measures)``.
+) -> list[Column]:
+    """The signed movements of one row as structs ``(key, pos, rank, tie, measures)``.
 
     ``enters`` is what a row adds at ``ts``; ``leaves[h]`` is what goes away once ``ts``
-    has dropped out of ``[t-h, t]``. ``rank`` orders movements at the same position: a
-    departure happens after the arrivals at ``ts+h`` (both window ends are inclusive),
-    unless ``ts+h`` was rounded up past the true edge. With a ``tie`` column, arrivals at one
-    instant are further ordered by it.
+    has dropped out of ``[t-h, t]``; measures of ``types`` that are not named move by 0.
+    ``rank`` orders movements at the same position: a departure happens after the arrivals at
+    ``ts+h`` (both window ends are inclusive), unless ``ts+h`` was rounded up past the true edge.
+    Arrivals at one instant are further ordered by ``tie``.
     """
-    names = list(enters)
-    tie = F.col(TIE) if TIE in rows.columns else F.lit(0)
-    types = {n: "decimal(38,0)" if n.endswith("_sq") else "long" for n in names}
-
-    def row(pos: Column, rank: Column, order: Column, values: dict[str, Column], sign: int) -> Column:
+    def step(pos: Column, rank: Column, order: Column, values: dict[str, Column], sign: int) -> Column:
         cells = []
-        for n in names:
+        for n, kind in types.items():
             v = values.get(n)
             cell = F.lit(0) if v is None else (v if sign > 0 else -v)
-            cells.append(cell.cast(types[n]).alias(n))
-        return F.struct(
-            pos.cast("double").alias("pos"), rank.cast("int").alias("rank"), order.cast("long").alias(TIE), *cells
-        )
+            cells.append(cell.cast(kind).alias(n))
+        keys = [c.alias(n) for n, c in key.items()]
+        return F.struct(*keys, pos.cast("double").alias("pos"), rank.cast("int").alias("rank"), order.cast("long").alias(TIE), *cells)
 
     t = F.col(ts)
-    out = [row(t, F.lit(_ENTER), tie, enters, 1)]
+    out = [step(t, F.lit(_ENTER), tie, enters, 1)]
     for h, gone in leaves.items():
         edge = t + F.lit(float(h))
         early = (edge - F.lit(float(h))) > t
-        out.append(row(edge, F.when(early, 0).otherwise(2), F.lit(0), gone, -1))
-    return rows.select(*keys, F.inline(F.array(*out)))
+        out.append(step(edge, F.when(early, 0).otherwise(2), F.lit(0), gone, -1))
+    return out
 
 
 def running_totals(

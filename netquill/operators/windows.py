@@ -8,11 +8,16 @@ stream of movements, so no range join is needed.
 A distinct count over a sliding window is also a running total: a value counts once from
 its first sighting until the window has passed its last one, and a sighting opens
 (closes) such a run exactly when its predecessor (successor) is more than ``h`` away.
+
+All windows share their work: flows are added up once per (source, destination, port, instant);
+one pass finds the previous and the next instant of every (source, destination), (source, port)
+and (source, name); and one running total serves the source, destination and pair keys at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from netquill.contract import DST_WINDOW_FEATURES, PAIR_WINDOW_FEATURES, SRC_WINDOW_FEATURES, WINDOW_FEATURES
 from netquill.functions.scalars import round_half_even
 from netquill.operators import timeline as TL
+from netquill.sources.stage import staged
 
 _GAP_UNIT = float(2 ** 32)  # gaps are summed as exact multiples of 2^-32 s
 
@@ -54,101 +60,96 @@ def _measures(features: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(m for f in features for m in _NEEDS[f]))
 
 
-def _part(rows: DataFrame, keys: list[str], wanted: list[str],
-          enters: dict[str, Column], leaves: dict[float, list[str] | dict[str, Column]]) -> DataFrame | None:
-    """Movements of one kind of row, padded with zeros to the wanted measures."""
-    kept = {m: c for m, c in enters.items() if m in wanted}
-    if not kept:
-        return None
-    gone = {}
-    for h, names in leaves.items():
-        values = names if isinstance(names, dict) else {m: enters[m] for m in names}
-        values = {m: c for m, c in values.items() if m in wanted}
-        if values:
-            gone[h] = values
-    return TL.moves(rows, keys, {m: kept.get(m, F.lit(0)) for m in wanted}, gone)
+def _instant(rows: DataFrame) -> list[str]:
+    return ["ts", TL.TIE] if TL.TIE in rows.columns else ["ts"]
 
 
-def _run_flags(name: str, horizon: float) -> tuple[dict[str, Column], dict[float, dict[str, Column]]]:
-    opens = (~TL.follows_within(horizon)).cast("long")
-    closes = (~TL.followed_within(horizon)).cast("long")
-    return {name: opens}, {horizon: {name: closes}}
+def _tie(rows: DataFrame) -> Column:
+    return F.col(TL.TIE) if TL.TIE in rows.columns else F.lit(0)
 
 
-def _instant(rows: DataFrame) -> list[str]:
-    return ["ts", TL.TIE] if TL.TIE in rows.columns else ["ts"]
+# A running total has the key (group, a, b): a source, a destination, or a pair.
+_SOURCE, _DESTINATION, _PAIR = "source", "destination", "pair"
+_KEY = ["grp", "a", "b"]
+# Kinds of sightings whose neighbours in time are needed: (source, destination), (source, port), (source, name).
+_HOSTS, _PORTS, _NAMES = "hosts", "ports", "names"
 
 
-def _distinct_instants(rows: DataFrame, keys: list[str], slot_seconds: float) -> DataFrame:
-    return TL.neighbours(rows.select(*keys, *_instant(rows)).distinct(), keys, slot_seconds=slot_seconds)
+class _Slots:
+    """Where the measures of each group lie among the columns that all groups share; the squares are decimals."""
 
+    def __init__(self, wanted: dict[str, list[str]]):
+        self.place: dict[tuple[str, str], str] = {}
+        for group, measures in wanted.items():
+            for kind, prefix in ((False, "m"), (True, "q")):
+                for i, m in enumerate([m for m in measures if m.endswith("_sq") == kind]):
+                    self.place[group, m] = f"{prefix}{i}"
+        self.types = {c: "decimal(38,0)" if c[0] == "q" else "long" for c in sorted(set(self.place.values()))}
 
-def _merged(parts: list[DataFrame | None]) -> DataFrame:
-    live = [p for p in parts if p is not None]
-    out = live[0]
-    for p in live[1:]:
-        out = out.unionByName(p)
-    return out
+    def steps(self, group: str, a: Column, b: Column, enters: dict[str, Column], leaves: dict[float, dict[str, Column]], tie: Column) -> list[Column]:
+        """The movements of a row in one group; measures that nobody asked for fall away."""
+        def kept(values: dict[str, Column]) -> dict[str, Column]:
+            return {self.place[group, m]: v for m, v in values.items() if (group, m) in self.place}
 
+        gone = {h: v for h, values in leaves.items() if (v := kept(values))}
+        key = {"grp": F.lit(group), "a": a.cast("string"), "b": b.cast("string")}
+        return TL.steps(key, self.types, kept(enters), gone, tie) if kept(enters) else []
 
-def source_totals(flows: DataFrame, dns: DataFrame | None, weird: DataFrame | None,
-                  wanted: list[str], slot_seconds: float) -> DataFrame:
-    key = ["src_ip"]
+
+def _flow_instants(flows: DataFrame) -> DataFrame:
+    """Flows added up per source, destination, port and instant; copies of a row cost nothing from here on."""
     state = F.upper("conn_state")
-    one = F.lit(1)
-    parts = [
-        _part(
-            flows, key, wanted,
-            {"n60": one, "n10": one, "failed": (state != "SF").cast("long"), "s0": (state == "S0").cast("long"),
-             "ob60": F.col("orig_bytes"), "ob300": F.col("orig_bytes")},
-            {10.0: ["n10"], 60.0: ["n60", "failed", "s0", "ob60"], 300.0: ["ob300"]},
-        )
-    ]
-    if "ips" in wanted:
-        pairs = _distinct_instants(flows, ["src_ip", "dst_ip"], slot_seconds)
-        parts.append(_part(pairs, key, wanted, *_run_flags("ips", 60.0)))
-    if "ports" in wanted:
-        ports = _distinct_instants(flows, ["src_ip", "dst_port"], slot_seconds)
-        parts.append(_part(ports, key, wanted, *_run_flags("ports", 60.0)))
-    known = ~F.col("src_ip").isin("", "-", "(empty)")
-    if dns is not None:
-        d = dns.filter(known)
-        nx = (F.upper("rcode_name") == "NXDOMAIN").cast("long")
-        parts.append(_part(d, key, wanted, {"queries": one, "nx": F.coalesce(nx, F.lit(0))}, {60.0: ["queries", "nx"]}))
-        if "domains" in wanted:
-            named = d.filter(F.col("query").isNotNull() & (F.col("query") != ""))
-            names = _distinct_instants(named, ["src_ip", "query"], slot_seconds)
-            parts.append(_part(names, key, wanted, *_run_flags("domains", 60.0)))
-    if weird is not None:
-        parts.append(_part(weird.filter(known), key, wanted, {"weird": one}, {60.0: ["weird"]}))
-    if parts[0] is None:  # flows must still mark the instants at which totals are read
-        parts[0] = TL.moves(flows, key, {m: F.lit(0) for m in wanted}, {})
-    return TL.running_totals(_merged(parts), key, slot_seconds)
-
-
-def destination_totals(flows: DataFrame, wanted: list[str], slot_seconds: float) -> DataFrame:
-    key = ["dst_ip"]
-    one = F.lit(1)
-    parts = [
-        _part(
-            flows, key, wanted,
-            {"n10": one, "n60": one, "s0": (F.upper("conn_state") == "S0").cast("long"), "bytes": F.col("total_bytes")},
-            {10.0: ["n10", "s0"], 60.0: ["n60", "bytes"]},
-        )
-    ]
-    if "sources" in wanted:
-        pairs = _distinct_instants(flows, ["src_ip", "dst_ip"], slot_seconds)
-        parts.append(_part(pairs, key, wanted, *_run_flags("sources", 60.0)))
-    return TL.running_totals(_merged(parts), key, slot_seconds)
-
-
-def pair_totals(flows: DataFrame, wanted: list[str], slot_seconds: float) -> DataFrame:
-    key = ["src_ip", "dst_ip"]
     big = F.col("orig_bytes").cast("decimal(19,0)")
-    at = flows.groupBy(*key, *_instant(flows)).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("orig_bytes").alias("ob"), F.sum(big * big).cast("decimal(38,0)").alias("ob_sq"),
+    return flows.groupBy("src_ip", "dst_ip", "dst_port", *_instant(flows)).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((state != "SF").cast("long")), F.lit(0)).alias("failed"),
+        F.coalesce(F.sum((state == "S0").cast("long")), F.lit(0)).alias("s0"), F.coalesce(F.sum("orig_bytes"), F.lit(0)).alias("ob"),
+        F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("tb"), F.coalesce(F.sum(big * big), F.lit(0)).cast("decimal(38,0)").alias("ob_sq"),
     )
-    at = TL.neighbours(at, key, slot_seconds=slot_seconds)
+
+
+def _flow_moves(instants: DataFrame, slots: _Slots) -> DataFrame | None:
+    c, none, tie = F.col, F.lit(""), _tie(instants)
+    n, ob = c("rows"), c("ob")
+    source = slots.steps(
+        _SOURCE, c("src_ip"), none, {"n60": n, "n10": n, "failed": c("failed"), "s0": c("s0"), "ob60": ob, "ob300": ob},
+        {10.0: {"n10": n}, 60.0: {"n60": n, "failed": c("failed"), "s0": c("s0"), "ob60": ob}, 300.0: {"ob300": ob}}, tie,
+    )
+    destination = slots.steps(
+        _DESTINATION, c("dst_ip"), none, {"n10": n, "n60": n, "s0": c("s0"), "bytes": c("tb")},
+        {10.0: {"n10": n, "s0": c("s0")}, 60.0: {"n60": n, "bytes": c("tb")}}, tie,
+    )
+    every = source + destination
+    return instants.select(F.inline(F.array(*every))) if every else None
+
+
+def _sightings(instants: DataFrame, dns: DataFrame | None, slots: _Slots) -> DataFrame | None:
+    """Distinct (kind, k1, k2, instant), with the sums that the pair totals need."""
+    wanted, parts = slots.place, []
+    at = _instant(instants)
+    empty = {"rows": F.lit(0).cast("long"), "ob": F.lit(0).cast("long"), "ob_sq": F.lit(0).cast("decimal(38,0)")}
+
+    def part(rows: DataFrame, kind: str, k2: str, sums: dict[str, Column]) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.col("src_ip").alias("k1"), F.col(k2).cast("string").alias("k2"), *at, *[v.alias(n) for n, v in sums.items()])
+
+    if (_SOURCE, "ips") in wanted or (_DESTINATION, "sources") in wanted or any(g == _PAIR for g, _ in wanted):
+        parts.append(part(instants, _HOSTS, "dst_ip", {n: F.col(n) for n in empty}))
+    if (_SOURCE, "ports") in wanted:
+        parts.append(part(instants, _PORTS, "dst_port", empty))
+    if (_SOURCE, "domains") in wanted and dns is not None:
+        parts.append(part(dns.filter(F.col("query").isNotNull() & (F.col("query") != "")), _NAMES, "query", empty))
+    if not parts:
+        return None
+    sums = [F.sum(n).cast(t).alias(n) for n, t in (("rows", "long"), ("ob", "long"), ("ob_sq", "decimal(38,0)"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "k1", "k2", *at).agg(*sums)
+
+
+def _sighting_moves(sightings: DataFrame, slots: _Slots, slot_seconds: float) -> DataFrame:
+    seen = TL.neighbours(sightings, ["kind", "k1", "k2"], slot_seconds=slot_seconds)
+    tie, none, k1, k2 = _tie(sightings), F.lit(""), F.col("k1"), F.col("k2")
+    opens, closes = (~TL.follows_within(60.0)).cast("long"), (~TL.followed_within(60.0)).cast("long")
+
+    def run(group: str, a: Column, name: str) -> list[Column]:
+        return slots.steps(group, a, none, {name: opens}, {60.0: {name: closes}}, tie)
 
     def gap(later: Column, earlier: Column, counts: Column) -> Column:
         units = ((later - earlier) * F.lit(_GAP_UNIT)).cast("long")
@@ -159,8 +160,48 @@ def pair_totals(flows: DataFrame, wanted: list[str], slot_seconds: float) -> Dat
     gap_out = gap(F.col("next_ts"), F.col("ts"), TL.followed_within(300.0))
     square = lambda c: (c.cast("decimal(19,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)")
     enters = {"n": F.col("rows"), "ob": F.col("ob"), "ob_sq": F.col("ob_sq"), "gap": gap_in, "gap_sq": square(gap_in)}
-    leaves = {300.0: {**enters, "gap": gap_out, "gap_sq": square(gap_out)}}
-    return TL.running_totals(_part(at, key, wanted, enters, leaves), key, slot_seconds)
+    pair = slots.steps(_PAIR, k1, k2, enters, {300.0: {**enters, "gap": gap_out, "gap_sq": square(gap_out)}}, tie)
+    by_kind = {
+        _HOSTS: run(_SOURCE, k1, "ips") + run(_DESTINATION, k2, "sources") + pair,
+        _PORTS: run(_SOURCE, k1, "ports"),
+        _NAMES: run(_SOURCE, k1, "domains"),
+    }
+    moves = None
+    for kind, each in by_kind.items():
+        if each:
+            moves = F.when(F.col("kind") == kind, F.array(*each)) if moves is None else moves.when(F.col("kind") == kind, F.array(*each))
+    return seen.select(F.inline(moves))
+
+
+def totals(flows: DataFrame, dns: DataFrame | None, weird: DataFrame | None, wanted: dict[str, list[str]], slot_seconds: float,
+           stage: Callable[..., DataFrame]) -> tuple[DataFrame, _Slots]:
+    """(grp, a, b, ts, tie, measures) at every instant of every key, and where the measures of each group lie."""
+    slots = _Slots(wanted)
+    known = ~F.col("src_ip").isin("", "-", "(empty)")
+    dns = None if dns is None else dns.filter(known)
+    instants = _flow_instants(flows)
+    sightings = _sightings(instants, dns, slots)
+    if sightings is not None:  # several passes read the instants
+        instants = stage(instants)
+        sightings = _sightings(instants, dns, slots)
+    parts = [_flow_moves(instants, slots)]
+    if sightings is not None:
+        parts.append(_sighting_moves(sightings, slots, slot_seconds))
+    one, none = F.lit(1), F.lit("")
+    if dns is not None:
+        nx = F.coalesce((F.upper("rcode_name") == "NXDOMAIN").cast("long"), F.lit(0))
+        asked = {"queries": one, "nx": nx}
+        steps = slots.steps(_SOURCE, F.col("src_ip"), none, asked, {60.0: asked}, _tie(dns))
+        parts.append(dns.select(F.inline(F.array(*steps))) if steps else None)
+    if weird is not None:
+        steps = slots.steps(_SOURCE, F.col("src_ip"), none, {"weird": one}, {60.0: {"weird": one}}, _tie(weird))
+        parts.append(weird.filter(known).select(F.inline(F.array(*steps))) if steps else None)
+    if _SOURCE in wanted and not any((_SOURCE, m) in slots.place for m in ("n60", "n10", "failed", "s0", "ob60", "ob300")):
+        # flows must still mark the instants at which totals are read
+        key = {"grp": F.lit(_SOURCE), "a": F.col("src_ip"), "b": none}
+        parts.append(instants.select(F.inline(F.array(*TL.steps(key, slots.types, {}, {}, _tie(instants))))))
+    merged = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    return TL.running_totals(merged, _KEY, slot_seconds), slots
 
 
 def _population_std(n: Column, total: Column, squares: Column) -> Column:
@@ -233,16 +274,20 @@ def window_features(
     slot_seconds: float = TL.DEFAULT_SLOT_SECONDS,
     targets: DataFrame | None = None,
     arrival: str | None = None,
+    stage: Callable[..., DataFrame] = staged,
 ) -> DataFrame:
     """Flows plus the requested window features.
 
     Only the totals the requested features need are computed; each of the up to three
     keys costs one join back on (key, instant). ``slot_seconds`` sets how finely a busy
-    key is cut; results do not depend on it.
+    key is cut; results do not depend on it. Both sides of those joins are plain shuffles, so
+    an instant with very many flows is split by the adaptive skew join.
 
     ``targets`` restricts the rows that receive features (default: all of ``flows``).
     ``arrival`` names a unique arrival number: then a flow sees only those flows of its own
     instant that arrived before it, as in a replay; DNS and anomaly rows always count as earlier.
+    ``stage`` writes a table that several passes read, partitioned by the columns of its second argument if there is one, and returns it:
+    the added-up flows, and the totals.
     """
     features = list(features)
     out = flows if targets is None else targets
@@ -253,15 +298,23 @@ def window_features(
         first = F.lit(-(2 ** 62)).cast("long")
         dns = None if dns is None else dns.withColumn(TL.TIE, first)
         weird = None if weird is None else weird.withColumn(TL.TIE, first)
-    groups = [
-        (SRC_WINDOW_FEATURES, ["src_ip"], lambda w: source_totals(flows, dns, weird, w, slot_seconds)),
-        (DST_WINDOW_FEATURES, ["dst_ip"], lambda w: destination_totals(flows, w, slot_seconds)),
-        (PAIR_WINDOW_FEATURES, ["src_ip", "dst_ip"], lambda w: pair_totals(flows, w, slot_seconds)),
-    ]
-    for members, key, build in groups:
-        asked = [f for f in members if f in features]
-        if asked:
+    groups = {
+        _SOURCE: (SRC_WINDOW_FEATURES, {"src_ip": "a"}),
+        _DESTINATION: (DST_WINDOW_FEATURES, {"dst_ip": "a"}),
+        _PAIR: (PAIR_WINDOW_FEATURES, {"src_ip": "a", "dst_ip": "b"}),
+    }
+    asked = {g: [f for f in members if f in features] for g, (members, _) in groups.items()}
+    wanted = {g: _measures(names_of) for g, names_of in asked.items() if names_of}
+    if wanted:
+        at_instants, slots = totals(flows, dns, weird, wanted, slot_seconds, stage)
+        if len(wanted) > 1:
+            at_instants = stage(at_instants, ["grp"])
+        for group, measures in wanted.items():
+            key = groups[group][1]
+            mine = at_instants.filter(F.col("grp") == group).select(
+                *[F.col(c).alias(k) for k, c in key.items()], *_instant(out),
+                *[F.col(slots.place[group, m]).alias(m) for m in measures],
+            )
             at = [*key, *_instant(out)]
-            totals = build(_measures(asked)).select(*at, *[_project(f) for f in asked])
-            out = out.join(totals, at, "left")
+            out = out.join(mine.select(*at, *[_project(f) for f in asked[group]]), at, "left")
     return out.select(*names, *[f for f in WINDOW_FEATURES if f in features])

@@ -23,6 +23,7 @@ from netquill.sources import tables as T
 from netquill.sources import zeek as Z
 from netquill.sources.stage import staged
 from netquill.streaming.live import LiveDetector, running_telemetry
+from netquill.streaming.typed import flows_stream, without_repeats
 
 # --- log text ----------------------------------------------------------------------------
 
@@ -38,9 +39,11 @@ def _(spark, d):
 
 @query("zeek_dir_scan", """
     SELECT 'conn' AS kind, count(*) AS n FROM conn_v UNION ALL SELECT 'dns', count(*) FROM dns_v UNION ALL SELECT 'weird', count(*) FROM weird_v
-    UNION ALL SELECT 'ssl', count(*) FROM ssl_v UNION ALL SELECT 'quic', count(*) FROM quic_v""")
+    UNION ALL SELECT 'ssl', count(*) FROM ssl_v UNION ALL SELECT 'quic', count(*) FROM quic_v UNION ALL SELECT 'http', count(*) FROM pages
+    UNION ALL SELECT 'files', count(*) FROM orders UNION ALL SELECT 'x509', count(*) FROM customer
+    UNION ALL SELECT 'ntp', count(*) FROM events WHERE event_id % 3 = 0""")
 def _(spark, d):
-    return Z.record_counts(Z.zeek_dir_scan(spark, L.write_logs(spark, d)))
+    return Z.record_counts(Z.zeek_dir_scan(spark, L.write_logs(spark, d, tuple(K.LOG_KINDS))))
 
 
 @query("malformed_rows", "SELECT 'field_count' AS reason, count(*) AS n FROM events WHERE event_id % 10 = 0")
@@ -185,6 +188,70 @@ def _(spark, d):
     return spark.table(name).select("flows", "threats", "reviews")
 
 
+# A tenth of the uids come twice, in several micro-batches: kept by default, dropped within a watermark on request.
+@query("stream_repeated_uid", """SELECT 'kept' AS mode, uid, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM conn_v
+    UNION ALL SELECT 'dropped', uid, 1 FROM conn_v""")
+def _(spark, d):
+    folder, seen = L.write_repeated_conn(spark, d), []
+    files = -(-len(Z.existing(spark, f"{folder}/*/conn.log/part-*")) // 3)
+    for mode, change in (("kept", lambda flows: flows), ("dropped", lambda flows: without_repeats(flows, "1 hour"))):
+        out = L.scratch(spark, f"repeats-{mode}")
+        rows = change(flows_stream(spark, folder, "part-*.txt", files)).select("uid", "ts")
+        sink = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        stored = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+        seen.append(stored.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(mode).alias("mode"), "uid", "n"))
+    return seen[0].unionByName(seen[1])
+
+
+# The first run ends between the features and the alerts of every batch; the second one goes on from its checkpoint.
+@query("stream_resume", f"""SELECT uid AS flow_uid, CAST(1 AS BIGINT) AS alerts, {_RULE_LABEL} AS predicted_label FROM {_RULE_VERDICT}""")
+def _(spark, d):
+    folder, root = L.write_logs(spark, d), L.scratch(spark, "live")
+    files = -(-len(Z.existing(spark, f"{folder}/*/part-*")) // 3)
+
+    class Crash(Exception):
+        pass
+
+    def crash(features: DataFrame) -> DataFrame:
+        raise Crash("between features and alerts")
+
+    run = lambda scorer, names: LiveDetector(spark, root, scorer).start(folder, max_files_per_trigger=files, names=names)
+    for scorer in (crash, L.rule_scorer):
+        stream = run(scorer, "part-*.txt")
+        while stream.isActive:
+            stream.awaitTermination(1) if scorer is crash and stream.exception() is None else stream.awaitTermination()
+        if scorer is crash and "between features and alerts" not in str(stream.exception()):
+            raise RuntimeError("the first run was to fail")
+    stored = spark.read.parquet(f"{root}/alerts")
+    return stored.groupBy("flow_uid").agg(F.count(F.lit(1)).alias("alerts"), F.first("predicted_label").alias("predicted_label"))
+
+
+@query("stream_every_second", f"""SELECT uid AS flow_uid, {_RULE_LABEL} AS predicted_label, round_even(conf, 4) AS confidence FROM {_RULE_VERDICT}""")
+def _(spark, d):
+    live = LiveDetector(spark, L.scratch(spark, "live"), L.rule_scorer)
+    stream = live.start(L.write_logs(spark, d), continuous_every="1 second", names="part-*.txt")
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(live.path("alerts")).select("flow_uid", "predicted_label", "confidence")
+
+
+# A trained model in the live path: what it says of every flow is what it says in batch.
+@query("stream_model_alerts", "SELECT uid AS flow_uid, CAST(1 AS BIGINT) AS alerts, true AS as_in_batch FROM conn_v")
+def _(spark, d):
+    split = staged(D.holdout_split(labelled(spark, d, K.FEATURE_COLUMNS), B.BOUND_TRAIN_RUNS, B.BOUND_TEST_RUNS))
+    path = L.scratch(spark, "bundle")
+    M.save_bundle(M.estimators()["random_forest"].fit(staged(M.prepared(split.filter(F.col("part") == "train"), K.FEATURE_COLUMNS))), path)
+    live = _live(spark, d, scorer=M.bundle_scorer(path))
+    alerts_ = spark.read.parquet(live.path("alerts")).groupBy("flow_uid").agg(F.count(F.lit(1)).alias("alerts"), F.first("predicted_label").alias("live"), F.first("confidence").alias("live_confidence"))
+    batch = M.bundle_scorer(path)(A.assemble_defaults(A.feature_matrix(B.logs(spark, d))))
+    verdicts = batch.select("flow_uid", P.verdict(F.col("probs")).alias("v")).select("flow_uid", F.col("v.predicted_label").alias("batch"), F.col("v.confidence").alias("batch_confidence"))
+    same = (F.col("live") == F.col("batch")) & (F.abs(F.col("live_confidence") - F.col("batch_confidence")) < 1e-3)
+    return verdicts.join(alerts_, "flow_uid", "left").select("flow_uid", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce(same, F.lit(False)).alias("as_in_batch"))
+
+
 # --- models ----------------------------------------------------------------------------------------
 
 # The whole contract, from all logs; learners, rounds, settings and repeats are the defaults of the operators.

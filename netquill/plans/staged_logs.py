@@ -20,8 +20,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def further_logs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The four kinds that no feature reads, bound to tables of their own."""
+    c = F.col
+    pages, orders = B.table(spark, d, "pages"), B.table(spark, d, "orders")
+    customers, events = B.table(spark, d, "customer"), B.table(spark, d, "events")
+    uid = lambda prefix, key: F.concat(F.lit(prefix), c(key)).alias("uid")
+    return {
+        "http": pages.select((c("page_id") * 1.5).alias("ts"), uid("H", "page_id"), F.lit("GET").alias("method"), c("url").alias("uri"), F.length("html").alias("response_body_len")),
+        "files": orders.select((c("o_orderkey") * 0.5).alias("ts"), uid("F", "o_orderkey"), F.lit("SHA1").alias("analyzers"), c("o_orderpriority").alias("mime_type")),
+        "x509": customers.select((c("c_custkey") * 2.0).alias("ts"), uid("X", "c_custkey"), c("c_name").alias("certificate.subject")),
+        "ntp": events.filter(c("event_id") % 3 == 0).select((c("event_id") * 0.25).alias("ts"), uid("N", "event_id"), F.lit(4).alias("version")),
+    }
+
+
 def log_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """All bound logs with log field names."""
+    """The bound logs that features read, with log field names."""
     hosts = lambda df: df.withColumnsRenamed({"src_ip": "id.orig_h", "dst_ip": "id.resp_h"})
     return {
         "conn": B.raw_conn(spark, d),
@@ -35,7 +49,10 @@ def log_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def write_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("conn", "dns", "weird", "ssl", "quic"), conn_time: Column | None = None) -> str:
     """Write the chosen logs as ``<folder>/<kind>.log/part-*`` and return the folder; ``conn_time`` replaces the flows' ``ts``."""
     folder = scratch(spark, "logs")
-    for kind, rows in log_tables(spark, d).items():
+    tables = log_tables(spark, d)
+    if not set(kinds) <= set(tables):
+        tables |= further_logs(spark, d)
+    for kind, rows in tables.items():
         if kind in kinds:
             if kind == "conn" and conn_time is not None:
                 rows = rows.withColumn("ts", conn_time)
@@ -44,6 +61,16 @@ def write_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("conn", "d
     return folder
 
 
+def write_repeated_conn(spark: SparkSession, d: str) -> str:
+    """Connection logs in which every tenth uid comes again, five seconds later and in another folder."""
+    folder = scratch(spark, "logs")
+    rows = B.raw_conn(spark, d)
+    Z.write_zeek(rows, f"{folder}/first/conn.log")
+    again = rows.filter(event_number("uid") % 10 == 0).withColumn("ts", (F.col("ts").cast("double") + 5).cast("string"))
+    Z.write_zeek(again, f"{folder}/second/conn.log")
+    return folder
+
+
 def event_number(uid: str) -> Column:
     return F.substring(uid, 2, 20).cast("long")
 

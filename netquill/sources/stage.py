@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +36,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back from there; removed when the driver ends."""
+def staged(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder, in a folder for each value of ``by``, and read back from there; removed when the
+    driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,17 +1,18 @@
 """Live detection: a directory of closed log files -> features -> alerts.
 
 Files must be complete when they appear (rotated or moved in), because the file source sees
-files, not growth. Each micro-batch is parsed once and lands its typed rows in a history table
-partitioned by hour and batch. Time windows read back the hours they can reach; context rows of a
-connection are found by its uid, however old they are. Every flow is scored at its own time, late
-ones too, and a row that cannot be scored becomes an error alert. A replayed batch overwrites its
-own partitions, so restarts neither lose nor double rows.
+files, not growth. Each micro-batch is parsed once and lands its typed rows in a levelled history
+(:mod:`netquill.streaming.history`). Time windows read back the hours they can reach; context rows of a
+connection are found by its uid, however old they are, in the files whose filter may hold it. Every flow
+is scored at its own time, late ones too, and a row that cannot be scored becomes an error alert. A
+replayed batch overwrites its own rows, so restarts neither lose nor double any.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from netquill.operators.correlate import NO_UID
 from netquill.operators.policy import ACTIVE_CLASSES
 from netquill.sources import zeek as Z
 from netquill.sources.tables import encode_alerts
+from netquill.streaming.history import History, delete
 
 log = logging.getLogger(__name__)
 
@@ -58,17 +60,18 @@ class LiveDetector:
     """Turns micro-batches into alerts; state lives in tables under ``work_dir``.
 
     A flow more than ``late_after`` seconds older than the median flow of the batch before it is marked ``late`` in the
-    feature table and scored like any other. The history grows until :meth:`expire` is called.
+    feature table and scored like any other. The history grows until :meth:`expire` is called; ``fan`` runs of a level of it become one.
     """
 
     def __init__(self, spark: SparkSession, work_dir: str, scorer: Scorer, subscribers: Iterable[Subscriber] = (),
-                 late_after: float = 3600.0, slot_seconds: float = 60.0) -> None:
+                 late_after: float = 3600.0, slot_seconds: float = 60.0, fan: int = 8) -> None:
         self.spark = spark
         self.root = work_dir.rstrip("/")
         self.scorer = scorer
         self.subscribers = list(subscribers)
         self.late_after = late_after
         self.slot_seconds = slot_seconds
+        self.history = History(spark, self.path("history"), FEATURE_KINDS, fan)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -81,38 +84,20 @@ class LiveDetector:
         paths = [p for g in globs for p in Z.existing(self.spark, f"{self.path(table)}/{g}")]
         return self.spark.read.option("basePath", self.path(table)).parquet(*paths) if paths else None
 
-    def _own(self, kind: str, batch_id: int, hours: Iterable[int]) -> DataFrame | None:
-        return self._read(f"history/{kind}", *[f"bucket={h}/batch_id={batch_id}" for h in hours])
-
-    def _history(self, kind: str, batch_id: int, hours: Iterable[int]) -> DataFrame | None:
-        rows = self._read(f"history/{kind}", *[f"bucket={h}" for h in hours])
-        return None if rows is None else _ordered(rows.filter(F.col("batch_id") <= batch_id))
-
-    def _with_context(self, kind: str, batch_id: int, hours: Iterable[int], own: DataFrame) -> DataFrame | None:
+    def _with_context(self, kind: str, hours: Iterable[int], own: DataFrame) -> DataFrame | None:
         """The rows of ``kind`` in ``hours`` and those of the batch's connections in any other hour.
 
         Windows are decided by time, so the older rows don't enter them."""
-        near = self._history(kind, batch_id, hours)
-        if not Z.existing(self.spark, self.path(f"history/{kind}/bucket=*")):
-            return near
-        every = self.spark.read.parquet(self.path(f"history/{kind}"))
         uids = own.select("uid").filter(~F.col("uid").isin(*NO_UID)).distinct()
-        far = every.filter((F.col("batch_id") <= batch_id) & ~F.col("bucket").isin(list(hours))).join(uids, "uid", "left_semi")
-        return _ordered(far) if near is None else near.unionByName(_ordered(far))
+        parts = [p for p in (self.history.near(kind, hours), self.history.far(kind, uids, hours)) if p is not None]
+        return reduce(DataFrame.unionByName, map(_ordered, parts)) if parts else None
 
     def expire(self, before: float) -> int:
-        """Delete the history of all hours that end before the time ``before``; returns how many partitions went.
+        """Delete the history of all hours that end before the time ``before``; returns how many folders went.
 
         Later windows and uid lookups don't see those rows, so keep at least ``HORIZON_SECONDS`` and as much as the
-        longest connection whose context matters."""
-        gone = 0
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for kind in FEATURE_KINDS:
-            for path in Z.existing(self.spark, f"{self.path(f'history/{kind}')}/bucket=*"):
-                if (int(path.rsplit("=", 1)[1]) + 1) * BUCKET_SECONDS <= before:
-                    target = jvm.org.apache.hadoop.fs.Path(path)
-                    gone += bool(target.getFileSystem(conf).delete(target, True))
-        return gone
+        longest connection whose context matters. Call it between batches."""
+        return self.history.expire(int(before // BUCKET_SECONDS))
 
     def _land(self, batch: DataFrame, batch_id: int) -> tuple[list[int], float | None]:
         """Parse the batch, store its rows by kind; returns the hours of its flows and the median flow time before it."""
@@ -126,31 +111,49 @@ class LiveDetector:
         self._replace(bad.select("file", F.col("seq.line").alias("line"), F.col("value").alias("text"), "reason", "kind")
                       .withColumn("batch_id", number), "quarantine", "batch_id")
         good = bronze.filter(F.col("reason").isNull()).select("kind", "seq", F.map_from_arrays("fields", "cells").alias("record"))
+        counts = poll_summary(good).first().asDict()
+        self.history.begin(batch_id)
+        hours, median = [], None
         for kind in FEATURE_KINDS:
             records = good.filter(F.col("kind") == kind).drop("kind")
             typed = Z.silver({"conn": records})["conn"] if kind == "conn" else Z.typed_aux(records, kind)
-            stored = typed.withColumn("batch_id", number).withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS))
-            self._replace(stored, f"history/{kind}", "bucket", "batch_id")
-            if kind == "conn":
-                hours, median = typed.agg(F.collect_set(F.floor(F.col("ts") / BUCKET_SECONDS)), F.percentile_approx("ts", 0.5)).first()
+            landed = self.history.land(kind, typed.withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS)), counts[f"{kind}_count"])
+            if kind == "conn" and landed:
+                hours, median = landed, self.history.own(kind).agg(F.percentile_approx("ts", 0.5)).first()[0]
+        self.history.commit()
         last = self._read("summary", f"batch_id={batch_id - 1}")
         before = None if last is None else last.agg(F.max("median_ts")).first()[0]
-        summary = poll_summary(good).withColumn("median_ts", F.lit(before if median is None else median).cast("double"))
+        summary = self.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+        summary = summary.withColumn("median_ts", F.lit(before if median is None else median).cast("double"))
         self._replace(summary.withColumn("batch_id", number), "summary", "batch_id")
         return hours, before
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch, as called by ``foreachBatch``."""
         hours, before = self._land(batch, batch_id)
-        own = self._own("conn", batch_id, hours) if hours else None
-        if own is None:
+        if not hours:
             return
+        own = _ordered(self.history.own("conn"))
         reached = sorted({h - back for h in hours for back in (0, 1)})  # an hour holds more than the horizon
-        logs = {"conn": self._history("conn", batch_id, reached)}
-        logs |= {k: self._with_context(k, batch_id, reached, own) for k in FEATURE_KINDS if k != "conn"}
-        matrix = A.feature_matrix({k: v for k, v in logs.items() if v is not None}, slot_seconds=self.slot_seconds, targets=own)
+        logs = {"conn": _ordered(self.history.near("conn", reached))}
+        logs |= {k: self._with_context(k, reached, own) for k in FEATURE_KINDS if k != "conn"}
+        scratch: list[str] = []
+
+        def stage(df: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+            scratch.append(self.path(f"scratch/{batch_id}-{len(scratch)}"))
+            df.write.mode("overwrite").partitionBy(*by).parquet(scratch[-1])
+            return self.spark.read.schema(df.schema).parquet(scratch[-1])
+
+        present = {k: v for k, v in logs.items() if v is not None}
+        matrix = A.feature_matrix(present, slot_seconds=self.slot_seconds, targets=own, stage=stage)
         late = F.lit(False) if before is None else F.col("timestamp") < F.lit(before - self.late_after)
         self._replace(matrix.withColumn("late", late).withColumn("batch_id", F.lit(batch_id)), "features", "batch_id")
+        for path in scratch:
+            delete(self.spark, path)
+        self._alert(batch_id)
+
+    def _alert(self, batch_id: int) -> None:
+        """Score the stored features of a batch, store its alerts and tell the subscribers."""
         stored = self._read("features", f"batch_id={batch_id}").drop("batch_id", "late")
         alerts = encode_alerts(A.alert_rows(scored_or_rejected(stored, self.scorer)))
         self._replace(alerts.drop("alert_date").withColumn("batch_id", F.lit(batch_id)), "alerts", "batch_id")
@@ -205,9 +208,3 @@ def running_telemetry(spark: SparkSession, alerts_path: str) -> DataFrame:
     """Streaming session counters over the growing alert table (use ``complete`` output mode)."""
     schema = spark.read.parquet(alerts_path).schema
     return session_counters(spark.readStream.schema(schema).parquet(alerts_path))
-
-
-def without_repeats(flows: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Optional: drop repeated uids on a stream within a watermark (repeats are kept by default)."""
-    timed = flows.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["uid"])

@@ -1,6 +1,7 @@
 """Splits, row numbers and the model path on one small staged table."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from netquill import contract as K
@@ -59,10 +60,14 @@ def test_training_scoring_and_importance(spark, table, tmp_path):
 
 
 def test_permutation_is_a_bijection():
-    for n in (1, 2, 10, 97, 1000):
-        for seed in range(5):
-            a = M._stride(n, seed)
-            assert len({(i * a + 3) % n for i in range(n)}) == n
+    for n in (0, 1, 2, 3, 10, 97, 1000, 1_000_002, 1_000_003, 1_000_004):
+        for seed in range(3):
+            sent = M.permuted(np.arange(n), n, seed)
+            assert len(sent) == n and (np.bincount(sent, minlength=n) == 1).all()
+    moved = M.permuted(np.arange(1000), 1000, 1)
+    assert (moved != M.permuted(np.arange(1000), 1000, 2)).sum() > 900 and (moved != np.arange(1000)).sum() > 900
+    far = np.array([0, 2**61 - 2, 2**61 - 1])
+    assert len(set(M.permuted(far, 2**61, 3).tolist())) == 3 and M.permuted(far, 2**61, 3).max() < 2**61
 
 
 def test_zero_variance_and_ablation_lists(spark, table):
