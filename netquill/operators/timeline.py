@@ -17,7 +17,7 @@ All totals are integers or decimals, so adding and removing leaves no residue.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,25 +60,25 @@ def neighbours(
     )
 
 
-def follows_within(horizon: float, ts: str = "ts") -> Column:
-    """True when the previous instant of the key is still inside ``[ts-horizon, ts]``."""
-    return F.coalesce(F.col("prev_ts") >= F.col(ts) - F.lit(float(horizon)), F.lit(False))
+def follows_within(horizon: float, ts: str = "ts") -> str:
+    """True when the previous instant of the key is still inside ``[ts-horizon, ts]``; SQL."""
+    return f"coalesce(prev_ts >= {ts} - {float(horizon)}D, false)"
 
 
-def followed_within(horizon: float, ts: str = "ts") -> Column:
-    """True when this instant is still inside the window of the next one."""
-    return F.coalesce(F.col(ts) >= F.col("next_ts") - F.lit(float(horizon)), F.lit(False))
+def followed_within(horizon: float, ts: str = "ts") -> str:
+    """True when this instant is still inside the window of the next one; SQL."""
+    return f"coalesce({ts} >= next_ts - {float(horizon)}D, false)"
 
 
 def steps(
-    key: dict[str, Column],
+    key: dict[str, str],
     types: dict[str, str],
-    enters: dict[str, Column],
-    leaves: dict[float, dict[str, Column]],
-    tie: Column,
+    enters: dict[str, str],
+    leaves: dict[float, dict[str, str]],
+    tie: str,
     ts: str = "ts",
-) -> list[Column]:
-    """The signed movements of one row as structs ``(key, pos, rank, tie, measures)``.
+) -> list[str]:
+    """The signed movements of one row as structs ``(key, pos, rank, tie, measures)``, in SQL: one expression instead of hundreds of columns.
 
     ``enters`` is what a row adds at ``ts``; ``leaves[h]`` is what goes away once ``ts``
     has dropped out of ``[t-h, t]``; measures of ``types`` that are not named move by 0.
@@ -86,28 +86,26 @@ def steps(
     ``ts+h`` (both window ends are inclusive), unless ``ts+h`` was rounded up past the true edge.
     Arrivals at one instant are further ordered by ``tie``.
     """
-    def step(pos: Column, rank: Column, order: Column, values: dict[str, Column], sign: int) -> Column:
-        cells = []
-        for n, kind in types.items():
-            v = values.get(n)
-            cell = F.lit(0) if v is None else (v if sign > 0 else -v)
-            cells.append(cell.cast(kind).alias(n))
-        keys = [c.alias(n) for n, c in key.items()]
-        return F.struct(*keys, pos.cast("double").alias("pos"), rank.cast("int").alias("rank"), order.cast("long").alias(TIE), *cells)
-
-    t = F.col(ts)
-    out = [step(t, F.lit(_ENTER), tie, enters, 1)]
+    def step(pos: str, rank: str, order: str, values: dict[str, str], sign: str) -> str:
+        cells = [f"'{n}', cast({sign}({values[n]}) as {kind})" if n in values else f"'{n}', cast(0 as {kind})" for n, kind in types.items()]
+        keys = [f"'{n}', {c}" for n, c in key.items()]
+        return f"named_struct({', '.join([*keys, f"'pos', cast({pos} as double)", f"'rank', {rank}", f"'{TIE}', cast({order} as bigint)", *cells])})"
+
+    out = [step(ts, str(_ENTER), tie, enters, "")]
     for h, gone in leaves.items():
-        edge = t + F.lit(float(h))
-        early = (edge - F.lit(float(h))) > t
-        out.append(step(edge, F.when(early, 0).otherwise(2), F.lit(0), gone, -1))
+        edge = f"({ts} + {float(h)}D)"
+        out.append(step(edge, f"CASE WHEN {edge} - {float(h)}D > {ts} THEN 0 ELSE 2 END", "0", gone, "-"))
     return out
 
 
 def running_totals(
-    movements: DataFrame, keys: Sequence[str], slot_seconds: float = DEFAULT_SLOT_SECONDS
+    movements: DataFrame, keys: Sequence[str], slot_seconds: float = DEFAULT_SLOT_SECONDS,
+    stage: Callable[..., DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Totals in force at every arrival instant: ``(keys, ts, tie, measures)``, one row per instant."""
+    """Totals in force at every arrival instant: ``(keys, ts, tie, measures)``, one row per instant.
+
+    The movements added up per instant are read twice, for the sums of the slots and inside them; ``stage`` may write them.
+    """
     keys = list(keys)
     measures = [c for c in movements.columns if c not in (*keys, "pos", "rank", TIE)]
     types = dict(movements.dtypes)
@@ -116,7 +114,7 @@ def running_totals(
         return F.sum(m).cast(types[m]).alias(m)
 
     at = movements.groupBy(*keys, "pos", "rank", TIE).agg(*[total(m) for m in measures])
-    slotted = at.withColumn("_slot", _slot("pos", slot_seconds))
+    slotted = stage(at.withColumn("_slot", _slot("pos", slot_seconds)))
     per_slot = slotted.groupBy(*keys, "_slot").agg(*[total(m) for m in measures])
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slot.select(

@@ -64,8 +64,12 @@ def _instant(rows: DataFrame) -> list[str]:
     return ["ts", TL.TIE] if TL.TIE in rows.columns else ["ts"]
 
 
-def _tie(rows: DataFrame) -> Column:
-    return F.col(TL.TIE) if TL.TIE in rows.columns else F.lit(0)
+def _tie(rows: DataFrame) -> str:
+    return TL.TIE if TL.TIE in rows.columns else "0"
+
+
+def _moved(rows: DataFrame, steps: list[str]) -> DataFrame | None:
+    return rows.selectExpr(f"inline(array({', '.join(steps)}))") if steps else None
 
 
 # A running total has the key (group, a, b): a source, a destination, or a pair.
@@ -86,14 +90,17 @@ class _Slots:
                     self.place[group, m] = f"{prefix}{i}"
         self.types = {c: "decimal(38,0)" if c[0] == "q" else "long" for c in sorted(set(self.place.values()))}
 
-    def steps(self, group: str, a: Column, b: Column, enters: dict[str, Column], leaves: dict[float, dict[str, Column]], tie: Column) -> list[Column]:
+    def steps(self, group: str, a: str, b: str, enters: dict[str, str], leaves: dict[float, dict[str, str]], tie: str) -> list[str]:
         """The movements of a row in one group; measures that nobody asked for fall away."""
-        def kept(values: dict[str, Column]) -> dict[str, Column]:
+        def kept(values: dict[str, str]) -> dict[str, str]:
             return {self.place[group, m]: v for m, v in values.items() if (group, m) in self.place}
 
         gone = {h: v for h, values in leaves.items() if (v := kept(values))}
-        key = {"grp": F.lit(group), "a": a.cast("string"), "b": b.cast("string")}
-        return TL.steps(key, self.types, kept(enters), gone, tie) if kept(enters) else []
+        return TL.steps(_key(group, a, b), self.types, kept(enters), gone, tie) if kept(enters) else []
+
+
+def _key(group: str, a: str, b: str = "''") -> dict[str, str]:
+    return {"grp": f"'{group}'", "a": f"cast({a} as string)", "b": f"cast({b} as string)"}
 
 
 def _flow_instants(flows: DataFrame) -> DataFrame:
@@ -108,18 +115,16 @@ def _flow_instants(flows: DataFrame) -> DataFrame:
 
 
 def _flow_moves(instants: DataFrame, slots: _Slots) -> DataFrame | None:
-    c, none, tie = F.col, F.lit(""), _tie(instants)
-    n, ob = c("rows"), c("ob")
+    tie = _tie(instants)
     source = slots.steps(
-        _SOURCE, c("src_ip"), none, {"n60": n, "n10": n, "failed": c("failed"), "s0": c("s0"), "ob60": ob, "ob300": ob},
-        {10.0: {"n10": n}, 60.0: {"n60": n, "failed": c("failed"), "s0": c("s0"), "ob60": ob}, 300.0: {"ob300": ob}}, tie,
+        _SOURCE, "src_ip", "''", {"n60": "rows", "n10": "rows", "failed": "failed", "s0": "s0", "ob60": "ob", "ob300": "ob"},
+        {10.0: {"n10": "rows"}, 60.0: {"n60": "rows", "failed": "failed", "s0": "s0", "ob60": "ob"}, 300.0: {"ob300": "ob"}}, tie,
     )
     destination = slots.steps(
-        _DESTINATION, c("dst_ip"), none, {"n10": n, "n60": n, "s0": c("s0"), "bytes": c("tb")},
-        {10.0: {"n10": n, "s0": c("s0")}, 60.0: {"n60": n, "bytes": c("tb")}}, tie,
+        _DESTINATION, "dst_ip", "''", {"n10": "rows", "n60": "rows", "s0": "s0", "bytes": "tb"},
+        {10.0: {"n10": "rows", "s0": "s0"}, 60.0: {"n60": "rows", "bytes": "tb"}}, tie,
     )
-    every = source + destination
-    return instants.select(F.inline(F.array(*every))) if every else None
+    return _moved(instants, source + destination)
 
 
 def _sightings(instants: DataFrame, dns: DataFrame | None, slots: _Slots) -> DataFrame | None:
@@ -145,32 +150,28 @@ def _sightings(instants: DataFrame, dns: DataFrame | None, slots: _Slots) -> Dat
 
 def _sighting_moves(sightings: DataFrame, slots: _Slots, slot_seconds: float) -> DataFrame:
     seen = TL.neighbours(sightings, ["kind", "k1", "k2"], slot_seconds=slot_seconds)
-    tie, none, k1, k2 = _tie(sightings), F.lit(""), F.col("k1"), F.col("k2")
-    opens, closes = (~TL.follows_within(60.0)).cast("long"), (~TL.followed_within(60.0)).cast("long")
+    tie = _tie(sightings)
+    opens, closes = (f"cast(NOT {x} as bigint)" for x in (TL.follows_within(60.0), TL.followed_within(60.0)))
 
-    def run(group: str, a: Column, name: str) -> list[Column]:
-        return slots.steps(group, a, none, {name: opens}, {60.0: {name: closes}}, tie)
+    def run(group: str, a: str, name: str) -> list[str]:
+        return slots.steps(group, a, "''", {name: opens}, {60.0: {name: closes}}, tie)
 
-    def gap(later: Column, earlier: Column, counts: Column) -> Column:
-        units = ((later - earlier) * F.lit(_GAP_UNIT)).cast("long")
-        return F.when(counts, units).otherwise(F.lit(0).cast("long"))
+    def gap(later: str, earlier: str, counts: str) -> tuple[str, str]:
+        units = f"CASE WHEN {counts} THEN cast(({later} - {earlier}) * {_GAP_UNIT}D as bigint) ELSE 0L END"
+        return units, f"cast(cast({units} as decimal(19,0)) * cast({units} as decimal(19,0)) as decimal(38,0))"
 
     # A gap lives as long as both its ends do: it leaves together with its earlier end.
-    gap_in = gap(F.col("ts"), F.col("prev_ts"), TL.follows_within(300.0))
-    gap_out = gap(F.col("next_ts"), F.col("ts"), TL.followed_within(300.0))
-    square = lambda c: (c.cast("decimal(19,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)")
-    enters = {"n": F.col("rows"), "ob": F.col("ob"), "ob_sq": F.col("ob_sq"), "gap": gap_in, "gap_sq": square(gap_in)}
-    pair = slots.steps(_PAIR, k1, k2, enters, {300.0: {**enters, "gap": gap_out, "gap_sq": square(gap_out)}}, tie)
+    gap_in, gap_in_sq = gap("ts", "prev_ts", TL.follows_within(300.0))
+    gap_out, gap_out_sq = gap("next_ts", "ts", TL.followed_within(300.0))
+    enters = {"n": "rows", "ob": "ob", "ob_sq": "ob_sq", "gap": gap_in, "gap_sq": gap_in_sq}
+    pair = slots.steps(_PAIR, "k1", "k2", enters, {300.0: {**enters, "gap": gap_out, "gap_sq": gap_out_sq}}, tie)
     by_kind = {
-        _HOSTS: run(_SOURCE, k1, "ips") + run(_DESTINATION, k2, "sources") + pair,
-        _PORTS: run(_SOURCE, k1, "ports"),
-        _NAMES: run(_SOURCE, k1, "domains"),
+        _HOSTS: run(_SOURCE, "k1", "ips") + run(_DESTINATION, "k2", "sources") + pair,
+        _PORTS: run(_SOURCE, "k1", "ports"),
+        _NAMES: run(_SOURCE, "k1", "domains"),
     }
-    moves = None
-    for kind, each in by_kind.items():
-        if each:
-            moves = F.when(F.col("kind") == kind, F.array(*each)) if moves is None else moves.when(F.col("kind") == kind, F.array(*each))
-    return seen.select(F.inline(moves))
+    cases = [f"WHEN '{kind}' THEN array({', '.join(each)})" for kind, each in by_kind.items() if each]
+    return seen.selectExpr(f"inline(CASE kind {' '.join(cases)} END)")
 
 
 def totals(flows: DataFrame, dns: DataFrame | None, weird: DataFrame | None, wanted: dict[str, list[str]], slot_seconds: float,
@@ -187,21 +188,18 @@ def totals(flows: DataFrame, dns: DataFrame | None, weird: DataFrame | None, wan
     parts = [_flow_moves(instants, slots)]
     if sightings is not None:
         parts.append(_sighting_moves(sightings, slots, slot_seconds))
-    one, none = F.lit(1), F.lit("")
     if dns is not None:
-        nx = F.coalesce((F.upper("rcode_name") == "NXDOMAIN").cast("long"), F.lit(0))
-        asked = {"queries": one, "nx": nx}
-        steps = slots.steps(_SOURCE, F.col("src_ip"), none, asked, {60.0: asked}, _tie(dns))
-        parts.append(dns.select(F.inline(F.array(*steps))) if steps else None)
+        asked = {"queries": "1", "nx": "coalesce(cast(upper(rcode_name) = 'NXDOMAIN' as bigint), 0)"}
+        parts.append(_moved(dns, slots.steps(_SOURCE, "src_ip", "''", asked, {60.0: asked}, _tie(dns))))
     if weird is not None:
-        steps = slots.steps(_SOURCE, F.col("src_ip"), none, {"weird": one}, {60.0: {"weird": one}}, _tie(weird))
-        parts.append(weird.filter(known).select(F.inline(F.array(*steps))) if steps else None)
+        asked = {"weird": "1"}
+        parts.append(_moved(weird.filter(known), slots.steps(_SOURCE, "src_ip", "''", asked, {60.0: asked}, _tie(weird))))
     if _SOURCE in wanted and not any((_SOURCE, m) in slots.place for m in ("n60", "n10", "failed", "s0", "ob60", "ob300")):
         # flows must still mark the instants at which totals are read
-        key = {"grp": F.lit(_SOURCE), "a": F.col("src_ip"), "b": none}
-        parts.append(instants.select(F.inline(F.array(*TL.steps(key, slots.types, {}, {}, _tie(instants))))))
+        parts.append(_moved(instants, TL.steps(_key(_SOURCE, "src_ip"), slots.types, {}, {}, _tie(instants))))
     merged = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
-    return TL.running_totals(merged, _KEY, slot_seconds), slots
+    several = {"stage": stage} if len(wanted) > 1 else {}
+    return TL.running_totals(merged, _KEY, slot_seconds, **several), slots
 
 
 def _population_std(n: Column, total: Column, squares: Column) -> Column:
