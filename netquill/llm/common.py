@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark removes the shuffle files of finished jobs now and not whenever the driver runs out of heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(key: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its id and its whole text. Rows equal in both share the key, which no operator minds:
     whatever is found for one of them holds for the other."""

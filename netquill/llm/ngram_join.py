@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquill.llm import setsketch
-from netquill.llm.common import combined, text_chunks, written
+from netquill.llm.common import combined, let_go, text_chunks, written
 from netquill.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -34,6 +34,8 @@ WORDS, PERCENT = 4, 85
 CELLS = 1 << 21
 #: Members of a block, children of a node, and members up to which the pairs of a block are taken without a tree.
 BLOCK, FAN, FEW = 256, 4, 8
+#: Words of the bitmaps in trees, which every shingle of a set carries along; a longer bitmap is folded there and used whole for the leaves that remain.
+TREE_WORDS = 64
 _CHUNK_BYTES = 1 << 20
 
 
@@ -283,7 +285,7 @@ def _not_ruled_out(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(checked, "a long, b long")
 
 
-def _few_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _few_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components and of sizes that can match, from shingles with FEW members at most."""
     held = placed.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("cid", "component", "n"))).alias("held"))
     each = held.select(F.explode(F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", 1, i), lambda y: F.struct(y.alias("x"), x.alias("y")))))).alias("p"))
@@ -296,7 +298,13 @@ def _blocks(placed: DataFrame, classes: DataFrame, percent: int, block: int) ->
 
     A block holds members of one size class of one token; two sizes that match are in the same class or in neighbouring ones."""
     scale = max(float(-np.log(percent / 100)), 1e-6) * 1.000001
-    sized = placed.join(classes.select("cid", "bits"), "cid").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / scale).cast("int"))
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("bits")]
+            yield pa.record_batch([b.column("cid"), pa.array([folded(m, min(len(m), TREE_WORDS)).tobytes() for m in maps], pa.binary())], ["cid", "bits"])
+
+    inside = classes.join(placed.select("cid").distinct(), "cid", "left_semi")
+    sized = placed.join(inside.select("cid", "bits").mapInArrow(short, "cid long, bits binary"), "cid").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / scale).cast("int"))
     cells = sized.groupBy("token", "z").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     higher = cells.select("token", (F.col("z") - 1).alias("z"), F.col("parts").alias("above"))
     lower = cells.select("token", (F.col("z") + 1).alias("z"), F.col("parts").alias("below"))
@@ -333,26 +341,30 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 lists = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("prefix")]
-                times = [len(x) for x in lists]
-                yield pa.record_batch([pa.array(np.concatenate(lists)), *[pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("cid", "n")]], ["token", "cid", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(lists)), pa.array(np.repeat(part.column("cid").to_numpy(), [len(x) for x in lists]))], ["token", "cid"])
 
-    tokens = classes.select("cid", "n", "prefix").mapInArrow(listed, "token long, cid long, n long")
+    tokens = classes.select("cid", "prefix").mapInArrow(listed, "token long, cid long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(tokens.join(shared, "token"), "join-members")
+    let_go(docs.sparkSession)
 
     met = members.groupBy("cid").agg(F.sum("size").alias("met"))
     leaders = members.join(met, "cid").groupBy("token").agg(F.max(F.struct("met", "cid")).alias("lead")).select("token", F.col("lead.cid").alias("leader"))
     led = members.join(leaders, "token").filter(F.col("cid") != F.col("leader")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("common"))
     led = led.groupBy("cid").agg(F.max(F.struct("common", "leader")).alias("best")).select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
     stars = written(_not_ruled_out(led, classes, percent), "join-stars")
+    let_go(docs.sparkSession)
     roots = written(components(_counted(stars, docs, classes, key, text, words, percent)), "join-roots")
 
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("token")
-    placed = written(placed.join(mixed, "token"), "join-placed")
-    few = _not_ruled_out(_few_pairs(placed.filter(F.col("size") <= FEW), classes, percent), classes, percent)
+    placed = written(placed.join(mixed, "token").join(classes.select("cid", "n"), "cid"), "join-placed")
+    let_go(docs.sparkSession)
+    few = _few_pairs(placed.filter(F.col("size") <= FEW), percent)
     many = _candidates(_blocks(placed.filter(F.col("size") > FEW).drop("size"), classes, percent, block), percent)
-    pairs = written(few.union(many).distinct(), "join-pairs")
+    met = written(few.union(many).distinct(), "join-met")
+    let_go(docs.sparkSession)
+    pairs = written(_not_ruled_out(met, classes, percent), "join-pairs")
     more = _counted(pairs, docs, classes, key, text, words, percent)
     known = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = written(components(known.unionByName(more)), "join-components")
