@@ -9,7 +9,8 @@
    likelihood estimate comes near the threshold leave the block. Pairs that are already connected cannot change a component.
 4. Every candidate is confirmed on the full sets. Components are labelled with their smallest id.
 
-Two sets of similarity 0.85 meet in a band with a probability of all but 3e-6, and the margin of the estimate is four standard errors.
+The rows of a band follow from the threshold: two sets just on it meet in no band with a probability of 5e-6 at most (0.85: 40 bands of 8,
+3e-6; 0.80: 53 bands of 6, 1e-7). The margin of the estimate is four standard errors.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from netquill.llm import setsketch
 from netquill.llm.common import text_chunks, written
 from netquill.llm.components import components
 
-BAND_ROWS = 8
 #: Members of a bucket that one block compares at a time; larger buckets are cut into pairs of blocks.
 BLOCK = 256
 _CHUNK_BYTES = 1 << 20
@@ -145,7 +145,7 @@ def _estimated(blocks: DataFrame, least: float, ratio: float, band_rows: int) ->
     return blocks.mapInArrow(estimate, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, band_rows: int | None = None, block: int = BLOCK) -> DataFrame:
     """Near-duplicate components of word shingle sets with 100 * intersection >= percent * union.
 
     One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id), text_key and
@@ -153,6 +153,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ids of a component are null, its id is null and ``kept`` is true for them. A text that is null, empty or without words is linked
     with nothing. Equal sets are linked. Other columns are not read; an empty table gives an empty result.
     """
+    band_rows = band_rows or setsketch.rows_for(percent / 100)
     rows = written(sketched(docs, key, text), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     classes = rows.filter(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))

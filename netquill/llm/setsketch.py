@@ -106,7 +106,7 @@ def band_hashes(registers: np.ndarray, rows: int) -> np.ndarray:
     sets, m = registers.shape
     if m // rows > BANDS_MOST:
         raise ValueError(f"at most {BANDS_MOST} bands")
-    parts = registers.reshape(sets, m // rows, rows).astype(np.uint64)
+    parts = registers[:, : m // rows * rows].reshape(sets, m // rows, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
         mixed = (parts * _PLACE[:rows]).sum(axis=2)
         band = np.arange(m // rows, dtype=np.uint64)
@@ -114,9 +114,18 @@ def band_hashes(registers: np.ndarray, rows: int) -> np.ndarray:
         return (hashes & ~np.uint64(BANDS_MOST - 1) | band[None]).view(np.int64)
 
 
+def rows_for(similarity: float, most_missed: float = 5e-6, m: int = REGISTERS) -> int:
+    """The most registers a band may have so that two sets of ``similarity`` meet in no band with a probability of ``most_missed`` at most:
+    fewer bands, and fewer chance meetings, than any shorter one."""
+    fit = [r for r in range(1, m + 1) if m // r <= BANDS_MOST and (1 - similarity**r) ** (m // r) <= most_missed]
+    if not fit:
+        raise ValueError(f"no band of {m} registers finds a similarity of {similarity}")
+    return max(fit)
+
+
 def first_common_band(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     """Number of the first band in which both sketches of a pair agree; 0 if there is none."""
-    return (a == b).reshape(len(a), -1, rows).all(axis=2).argmax(axis=1)
+    return (a == b)[:, : a.shape[1] // rows * rows].reshape(len(a), -1, rows).all(axis=2).argmax(axis=1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquill.llm import langid, lm_score, near_dedup, packing, piece_sampling, suffix_dedup, topk_search, toxicity
-from netquill.llm.common import importable
+from netquill.llm.common import importable, written
 from netquill.llm.exact_dedup import exact_duplicates, without_copies
 from netquill.llm.license_scan import scan
 from netquill.llm.ngram_trie import EliasFano
@@ -76,8 +76,9 @@ def _sets(rows):
     return out
 
 
-def test_near_dedup(docs, empty):
-    rows = _sets([(r["doc_id"], r["text"]) for r in docs.collect()])
+def _components(rows, percent):
+    """For each row the place of the smallest row it is linked with, by all pairs."""
+    sets = [x for _, x in _sets(rows)]
     root = list(range(len(rows)))
 
     def find(x):
@@ -87,14 +88,21 @@ def test_near_dedup(docs, empty):
 
     for x in range(len(rows)):
         for y in range(x):
-            both = len(rows[x][1] & rows[y][1])
-            if both and 100 * both >= 85 * len(rows[x][1] | rows[y][1]):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 root[find(x)] = find(y)
+    return sets, [find(x) for x in range(len(rows))]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dedup(docs, empty, percent):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets, found = _components(rows, percent)
     want = collections.Counter()
-    for x, (i, s) in enumerate(rows):
-        ids = [rows[y][0] for y in range(len(rows)) if find(y) == find(x) and rows[y][0] is not None]
-        want[(i, len(s), min(ids, default=None))] += 1
-    got = near_dedup.near_duplicates(docs, block=4)
+    for x, (i, _) in enumerate(rows):
+        ids = [rows[y][0] for y in range(len(rows)) if found[y] == found[x] and rows[y][0] is not None]
+        want[(i, len(sets[x]), min(ids, default=None))] += 1
+    got = near_dedup.near_duplicates(docs, percent=percent, block=4)
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.without_near_copies(docs).columns == docs.columns
@@ -324,12 +332,58 @@ def test_registered():
     assert set(ORACLES) == {"op4_exact_dedup", "op7_license_scan", "op10_exact_topk"}
 
 
-def test_pipeline_stages_keep_the_columns(spark, sf):
+def test_pipeline_stages_by_kept_ids_and_texts(spark, sf):
+    """Exact, near and suffix dedup on what the stage before kept, against brute force; packing loses no token."""
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == columns and 0 < docs.count() <= n
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    columns = docs.columns
+
+    def kept(rows):
+        assert rows.columns == columns
+        return [(r["doc_id"], r["text"]) for r in rows.collect()]
+
+    docs = written(stages["toxicity"](spark, docs, sf), "test")
+    rows = kept(docs)
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i, t))
+    docs = written(stages["exact_dedup"](spark, docs, sf), "test")
+    after_exact = kept(docs)
+    assert sorted(after_exact) == sorted((i, t) for _, i, t in map(min, groups.values()))
+
+    _, found = _components(after_exact, corpus_pipeline.NEAR_PERCENT)
+    least = {}
+    for x, (i, _) in enumerate(after_exact):
+        least[found[x]] = min(least.get(found[x], i), i)
+    docs = written(stages["near_dedup"](spark, docs, sf), "test")
+    after_near = kept(docs)
+    assert sorted(i for i, _ in after_near) == sorted(least.values()) and set(after_near) <= set(after_exact)
+
+    raw = {i: (t or "").encode() for i, t in after_near}
+    times = collections.Counter(b[p : p + 200] for b in raw.values() for p in range(len(b) - 199))
+    want = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if times[b[p : p + 200]] > 1:
+                gone[p : p + 200] = b"\1" * 200
+        want[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    docs = written(stages["suffix_dedup"](spark, docs, sf), "test")
+    after_suffix = kept(docs)
+    assert {i: (t or "").encode("utf-8", "surrogateescape") for i, t in after_suffix}.keys() == want.keys()
+    whole = {i for i, b in want.items() if _is_text(b)}
+    assert {i: (t or "").encode() for i, t in after_suffix if i in whole} == {i: b for i, b in want.items() if i in whole}
+
+    pieces = stages["packing"](spark, docs, sf)
+    assert pieces.select("doc_id").distinct().count() == len(after_suffix)
+    assert pieces.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("all")).filter(~F.col("all")).count() == 0
+
+
+def _is_text(b):
+    try:
+        b.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
