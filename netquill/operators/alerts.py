@@ -15,6 +15,7 @@ from netquill.operators.quantiles import exact_percentiles
 
 STORE_CAPACITY = 2000
 MAX_PAGE = 500
+# The columns of an export, in order.
 EXPORT_COLUMNS = [
     "alert_id", "timestamp_iso", "flow_uid", "source_ip", "source_port", "destination_ip", "destination_port",
     "protocol", "predicted_label", "confidence", "decision", "abstained", "processing_time_ms",
@@ -82,11 +83,13 @@ def triage_mode(alerts: DataFrame, mode: str = "ALL", threat_class: str = "ALL",
 
 def alerts_page(
     alerts: DataFrame, offset: int = 0, limit: int = 50,
-    threat_class: str | None = None, decision: str | None = None,
+    threat_class: str | None = None, decision: str | None = None, most: int = MAX_PAGE,
 ) -> DataFrame:
-    """One page, newest first, with the filtered ``total`` on every row."""
-    if not 1 <= limit <= MAX_PAGE or offset < 0:
-        raise ValueError("limit must be 1..500 and offset must not be negative")
+    """One page, newest first, with the filtered ``total`` on every row; ``most`` is the largest page a caller may ask for.
+
+    For pages far back, :class:`netquill.operators.alert_pages.AlertPages` opens only what a page needs."""
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError(f"limit must be 1..{most} and offset must not be negative")
     matching = alert_filter(alerts, threat_class, decision)
     total = matching.agg(F.count(F.lit(1))).scalar()
     return matching.orderBy(*_newest_first()).offset(offset).limit(limit).withColumn("total", total)
@@ -110,10 +113,10 @@ def bounded_store(alerts: DataFrame, capacity: int = STORE_CAPACITY) -> DataFram
     return newest(alerts, capacity)
 
 
-def alert_export(alerts: DataFrame, limit: int = 500, threat_class: str | None = None, decision: str | None = None) -> DataFrame:
-    """The 13 export columns of the newest matching alerts."""
-    if not 1 <= limit <= STORE_CAPACITY:
-        raise ValueError("export limit must be 1..2000")
+def alert_export(alerts: DataFrame, limit: int = 500, threat_class: str | None = None, decision: str | None = None, most: int = STORE_CAPACITY) -> DataFrame:
+    """The 13 export columns of the newest matching alerts; ``most`` is the largest export a caller may ask for."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"export limit must be 1..{most}")
     rows = newest(alert_filter(alerts, threat_class, decision), limit)
     return rows.select(*[
         round_half_even(F.col(c), {"confidence": 4, "processing_time_ms": 2}[c]).alias(c)

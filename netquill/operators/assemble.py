@@ -98,6 +98,19 @@ def check_columns(columns: list[str]) -> None:
         raise ContractViolation(f"unexpected feature(s): {extra[:5]}")
 
 
+def column_differences(table: DataFrame) -> DataFrame:
+    """What :func:`check_columns` finds in a feature table, as rows: column name, ``missing`` or ``unexpected``, and how many rows have a
+    value there. The identity columns are not features."""
+    have = [c for c in table.columns if c not in IDENTITY]
+    extra = [c for c in have if c not in FEATURE_COLUMNS]
+    missing = [c for c in FEATURE_COLUMNS if c not in have]
+    entry = lambda name, problem, n: F.struct(F.lit(name).alias("name"), F.lit(problem).alias("problem"), n.cast("long").alias("n"))
+    found = [entry(c, "missing", F.lit(0)) for c in missing] + [entry(c, "unexpected", F.col(f"_{i}")) for i, c in enumerate(extra)]
+    counts = table.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(extra)])
+    kind = "array<struct<name:string,problem:string,n:bigint>>"
+    return counts.select(F.inline(F.array(*found).cast(kind)))
+
+
 def contract_reason(features: Column) -> Column:
     """Why an array of features breaks the contract; null when it does not."""
     bad_nan = F.exists(features, lambda x: F.isnan(x))

@@ -217,7 +217,7 @@ def threshold_grid(scored: DataFrame, recon: list[float] = SWEEP_THRESHOLDS, dns
     return _macro(scores, by).join(focus, by).select(*by, *[round_half_even(F.col(n)).alias(n) for n in names])
 
 
-# Columns of the error tables.
+# The columns of the error tables.
 INSPECT = [
     "flow_uid", "experiment_id", "timestamp", "source_endpoint", "destination_endpoint", "protocol", "connection_state",
     "label", "prediction", "max_confidence", "flow_duration", "total_bytes", "total_packets", "bytes_per_packet",

@@ -10,7 +10,7 @@ import functools
 import json
 import math
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import RobustScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquill import contract as K
@@ -32,6 +32,8 @@ from netquill.operators.timeline import numbered
 from netquill.sources.stage import staged
 
 SEED = 42
+#: The seeds over which the spread of importances is measured.
+SEEDS = (42, 101, 202, 303, 404)
 _N = len(K.ACTIVE_CLASSES)
 
 
@@ -79,7 +81,7 @@ def boosted(**params) -> OneVsRest:
     return OneVsRest(classifier=_gbt(**params), featuresCol="x", labelCol="y", weightCol="w", parallelism=2)
 
 
-def estimators(trees: int = 100, gbt_iter: int = 20) -> dict[str, Pipeline]:
+def estimators(trees: int = 100, gbt_iter: int = 20, seed: int = SEED) -> dict[str, Pipeline]:
     """The baseline learners by name (the dummy is :func:`majority_probabilities`)."""
     common = {"labelCol": "y", "weightCol": "w"}
     return {
@@ -87,9 +89,9 @@ def estimators(trees: int = 100, gbt_iter: int = 20) -> dict[str, Pipeline]:
             RobustScaler(inputCol="x", outputCol="xs", withCentering=True, withScaling=True),
             LogisticRegression(featuresCol="xs", maxIter=200, **common),
         ]),
-        "decision_tree": Pipeline(stages=[DecisionTreeClassifier(featuresCol="x", seed=SEED, maxDepth=12, **common)]),
-        "random_forest": Pipeline(stages=[RandomForestClassifier(featuresCol="x", numTrees=trees, seed=SEED, **common)]),
-        "gradient_boosting": Pipeline(stages=[boosted(max_iter=gbt_iter)]),
+        "decision_tree": Pipeline(stages=[DecisionTreeClassifier(featuresCol="x", seed=seed, maxDepth=12, **common)]),
+        "random_forest": Pipeline(stages=[RandomForestClassifier(featuresCol="x", numTrees=trees, seed=seed, **common)]),
+        "gradient_boosting": Pipeline(stages=[boosted(max_iter=gbt_iter, seed=seed)]),
     }
 
 
@@ -319,6 +321,16 @@ def permutation_importance(model: Model, rows: DataFrame, columns: list[str], re
     )
 
 
+def importance_over_seeds(learner: Callable[[int], Pipeline], train: DataFrame, rows: DataFrame, columns: list[str],
+                          seeds: Sequence[int] = SEEDS, repeats: int = 5, k: int = 10) -> DataFrame:
+    """The ``k`` features with the highest mean permutation importance over models fitted and permuted under each seed, with spread and rank."""
+    each = [permutation_importance(learner(seed).fit(train), rows, columns, repeats, seed).withColumn("seed", F.lit(seed)) for seed in seeds]
+    spread = E.importance_stability(functools.reduce(DataFrame.unionByName, each))
+    top = E.top_features(spread, k, by="mean_importance_across_seeds")
+    order = Window.orderBy(F.col("mean_importance_across_seeds").desc(), "feature")  # k rows
+    return top.withColumn("rank", F.row_number().over(order))
+
+
 def ablation_columns(zero_variance: list[str]) -> dict[str, list[str]]:
     """All features, those that vary on the training part, and these without one group of the contract at a time."""
     lists = {"full_schema": K.FEATURE_COLUMNS, "drop_zero_variance": [c for c in K.FEATURE_COLUMNS if c not in zero_variance]}

@@ -559,23 +559,30 @@ def _(spark, d):
     return D.feature_flags(D.feature_profile(staged(matrix(spark, d, K.FEATURE_COLUMNS))))
 
 
-# A coarse feature subset, so that equal vectors do occur.
-_COARSE = K.FLOW_FEATURES[12:27] + K.QUIC_FEATURES[:1] + K.WEIRD_FEATURES + ["ssl_resumed_flag", "dns_qtype_is_A"]
-_COARSE_SQL = ", ".join(f'"{f}"' for f in _COARSE)
+# All 78 features; every twentieth flow comes again under another uid, so that equal vectors do occur.
+_VECTOR_SQL = ", ".join(f'"{f}"' for f in K.FEATURE_COLUMNS)
+_PLANTED_SQL = f"""(SELECT * FROM ({O.labelled_select(K.FEATURE_COLUMNS)}) UNION ALL BY NAME
+    SELECT * REPLACE (flow_uid || '-again' AS flow_uid) FROM ({O.labelled_select(K.FEATURE_COLUMNS)}) WHERE CAST(substr(flow_uid, 2) AS BIGINT) % 20 = 0)"""
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    table = staged(labelled(spark, d, K.FEATURE_COLUMNS))
+    again = table.filter(F.substring("flow_uid", 2, 20).cast("long") % 20 == 0)
+    return table.unionByName(again.withColumn("flow_uid", F.concat("flow_uid", F.lit("-again"))))
 
 
 @query("duplicate_vectors", f"""
     SELECT min(flow_uid) AS cluster_id, count(*) AS duplicate_count, count(*) - 1 AS excess_rows, count(DISTINCT experiment_id) AS experiments,
-           count(DISTINCT label) AS classes FROM ({O.labelled_select(_COARSE)}) GROUP BY {_COARSE_SQL} HAVING count(*) > 1""")
+           count(DISTINCT label) AS classes FROM {_PLANTED_SQL} GROUP BY {_VECTOR_SQL} HAVING count(*) > 1""")
 def _(spark, d):
-    return D.duplicate_clusters(labelled(spark, d, _COARSE), _COARSE).drop("_v")
+    return D.duplicate_clusters(_planted(spark, d), K.FEATURE_COLUMNS).drop("_v")
 
 
 @query("duplicate_members", f"""
     SELECT min(flow_uid) OVER w AS cluster_id, flow_uid, experiment_id, label, protocol, destination_endpoint
-    FROM ({O.labelled_select(_COARSE)}) WINDOW w AS (PARTITION BY {_COARSE_SQL}) QUALIFY count(*) OVER w > 1""")
+    FROM {_PLANTED_SQL} WINDOW w AS (PARTITION BY {_VECTOR_SQL}) QUALIFY count(*) OVER w > 1""")
 def _(spark, d):
-    return D.duplicate_members(staged(labelled(spark, d, _COARSE)), _COARSE)
+    return D.duplicate_members(_planted(spark, d), K.FEATURE_COLUMNS)
 
 
 _AUDITED = ["missed_bytes", "has_ssl_context", "has_dns_context", "flow_duration", "orig_bytes", "resp_bytes"]
@@ -860,13 +867,6 @@ def _(spark, d):
     return E.importance_stability(per_seed.agg(F.avg("max_confidence").alias("importance")))
 
 
-@query("zero_variance_columns", f"""
-    SELECT feature FROM (UNPIVOT (SELECT {', '.join(f'"{c}"' for c in K.FLOW_FEATURES)} FROM flowf_v) ON COLUMNS(*) INTO NAME feature VALUE value)
-    GROUP BY feature HAVING count(DISTINCT value) <= 1""")
-def _(spark, d):
-    return D.zero_variance_columns(matrix(spark, d, K.FLOW_FEATURES), K.FLOW_FEATURES)
-
-
 # --- sorts, limits, splits ---------------------------------------------------------------
 
 
@@ -955,6 +955,15 @@ def _(spark, d):
     return _split(spark, d)
 
 
+@query("zero_variance_columns", f"""
+    SELECT feature FROM (UNPIVOT (SELECT {_VECTOR_SQL} FROM ({O.labelled_select(K.FEATURE_COLUMNS)}) JOIN (SELECT flow_uid, part FROM ({_SPLIT_SQL})) USING (flow_uid)
+                                  WHERE part = 'train') ON COLUMNS(*) INTO NAME feature VALUE value)
+    GROUP BY feature HAVING count(DISTINCT value) <= 1""")
+def _(spark, d):
+    split = D.holdout_split(labelled(spark, d, K.FEATURE_COLUMNS), B.BOUND_TRAIN_RUNS, B.BOUND_TEST_RUNS)
+    return D.zero_variance_columns(split.filter(F.col("part") == "train"))
+
+
 @query("split_manifest", f"""SELECT experiment_id, partition, count(*) FILTER (part = 'train') AS train_count, count(*) FILTER (part = 'test') AS test_count,
     count(*) AS total_count FROM ({_SPLIT_SQL}) GROUP BY 1, 2""")
 def _(spark, d):
@@ -1006,7 +1015,7 @@ def _(spark, d):
 @query("concat_experiments", "SELECT uid, experiment_id, label FROM runs_v")
 def _(spark, d):
     runs = B.run_labels(spark, d).select("uid", "experiment_id", "label")
-    return reduce(DataFrame.unionByName, [runs.filter(F.col("experiment_id") == f"exp_{i}") for i in range(12)])
+    return staged(runs, by=["experiment_id"])  # a folder for each experiment, read as one table
 
 
 @query("contract_differences", """SELECT DISTINCT lower(event_type) AS name FROM events EXCEPT SELECT unnest(['click', 'view'])""")
@@ -1016,6 +1025,19 @@ def _(spark, d):
     return got.exceptAll(expected)
 
 
+# A feature table that lacks two columns of the contract and has one of its own.
+@query("contract_columns", """SELECT 'missed_bytes' AS name, 'missing' AS problem, CAST(0 AS BIGINT) AS n, true AS rejected UNION ALL SELECT 'quic_sni_len', 'missing', 0, true
+    UNION ALL SELECT 'orig_bytes_log', 'unexpected', count(*), true FROM conn_v""")
+def _(spark, d):
+    table = matrix(spark, d, K.FEATURE_COLUMNS).drop("missed_bytes", "quic_sni_len").withColumn("orig_bytes_log", F.log1p("orig_bytes"))
+    try:
+        A.check_columns([c for c in table.columns if c not in A.IDENTITY])
+        rejected = False
+    except A.ContractViolation:
+        rejected = True
+    return A.column_differences(table).withColumn("rejected", F.lit(rejected))
+
+
 @query("split_quality", f"""SELECT count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'test') AS test_rows,
     CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS in_neither FROM ({_SPLIT_SQL})""")
 def _(spark, d):

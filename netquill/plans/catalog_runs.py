@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquill import contract as K
+from netquill.operators import alert_pages as PG
 from netquill.operators import alerts as AL
 from netquill.operators import assemble as A
 from netquill.operators import dataset as D
@@ -46,7 +47,8 @@ def _(spark, d):
     return Z.record_counts(Z.zeek_dir_scan(spark, L.write_logs(spark, d, tuple(K.LOG_KINDS))))
 
 
-@query("malformed_rows", "SELECT 'field_count' AS reason, count(*) AS n FROM events WHERE event_id % 10 = 0")
+@query("malformed_rows", """SELECT 'field_count' AS reason, count(*) AS n FROM events WHERE event_id % 10 = 0
+    UNION ALL SELECT 'no_header', count(*) FROM events WHERE event_id % 25 = 0""")
 def _(spark, d):
     folder = L.write_spoiled_conn(spark, d)
     placed = Z.with_place(Z.located(spark.read.text(f"{folder}/conn.log")))
@@ -100,6 +102,32 @@ def _(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_over"))
 
 
+def _pages(spark: SparkSession, d: str) -> PG.AlertPages:
+    """The alert table in two appends, with its directory."""
+    every = alerts(spark, d).select(*K.ALERT_COLUMNS)
+    pages = PG.AlertPages(spark, L.scratch(spark, "pages"))
+    odd = F.substring("flow_uid", 2, 20).cast("long") % 2
+    for turn in (0, 1):
+        pages.append(every.filter(odd == turn))
+    return pages
+
+
+_NEWEST = 'ORDER BY "timestamp" DESC, alert_id DESC'
+
+
+@query("alerts_page_stored", f"""SELECT {_ALERT_SQL}, (SELECT count(*) FROM alert_v WHERE predicted_label = 'DDOS') AS total
+    FROM alert_v WHERE predicted_label = 'DDOS' {_NEWEST} LIMIT 50 OFFSET 300""")
+def _(spark, d):
+    return plain(_pages(spark, d).page(300, 50, "DDOS"))
+
+
+@query("alerts_after", f"SELECT {_ALERT_SQL} FROM alert_v WHERE decision = 'ANALYST_REVIEW' {_NEWEST} LIMIT 40 OFFSET 100")
+def _(spark, d):
+    pages = _pages(spark, d)
+    last = pages.page(60, 40, decision="ANALYST_REVIEW").orderBy("timestamp", "alert_id").first()
+    return plain(pages.after(last["timestamp"], last["alert_id"], 40, decision="ANALYST_REVIEW"))
+
+
 # --- live detection ----------------------------------------------------------------------------
 
 
@@ -178,6 +206,14 @@ def _(spark, d):
     return spark.read.parquet(live.path("alerts")).select("flow_uid", failed, "predicted_label", "confidence", "abstained")
 
 
+# What went in and out, as observed while it was written; nothing is read a second time.
+@query("stream_progress", """SELECT (SELECT count(*) FROM conn_v) + (SELECT count(*) FROM dns_v) + (SELECT count(*) FROM weird_v)
+           + (SELECT count(*) FROM ssl_v) + (SELECT count(*) FROM quic_v) AS records, (SELECT count(*) FROM conn_v) AS flows, (SELECT count(*) FROM conn_v) AS alerts""")
+def _(spark, d):
+    live = _live(spark, d, batches=2)
+    return spark.read.parquet(live.path("progress")).agg(*[F.sum(c).alias(c) for c in ("records", "flows", "alerts")])
+
+
 @query("running_telemetry", f"""SELECT count(*) AS flows, count(*) FILTER (conf >= 0.4::DOUBLE AND pick <> 1) AS threats,
     count(*) FILTER (conf < 0.4::DOUBLE) AS reviews FROM {_RULE_VERDICT}""")
 def _(spark, d):
@@ -327,6 +363,13 @@ def _(spark, d):
     return M.permutation_importance(model, test, _MODEL_COLUMNS)
 
 
+# A model and its permutation importances for each of five seeds, their spread, and the ten features that lead on average.
+@query("importance_over_seeds")
+def _(spark, d):
+    _, train, test = _parts(spark, d)
+    return M.importance_over_seeds(lambda seed: M.estimators(seed=seed)["decision_tree"], train, test, _MODEL_COLUMNS)
+
+
 @query("impurity_importance")
 def _(spark, d):
     _, train, _ = _parts(spark, d)

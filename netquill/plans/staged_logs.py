@@ -57,7 +57,7 @@ def write_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("conn", "d
             if kind == "conn" and conn_time is not None:
                 rows = rows.withColumn("ts", conn_time)
             # The last row of a uid wins, so its rows are written in order.
-            Z.write_zeek(rows, f"{folder}/{kind}.log", order=() if kind == "conn" else ("seq",))
+            Z.write_zeek(rows, f"{folder}/{kind}.log", order=("seq",) if kind != "conn" and "seq" in rows.columns else ())
     return folder
 
 
@@ -76,11 +76,13 @@ def event_number(uid: str) -> Column:
 
 
 def write_spoiled_conn(spark: SparkSession, d: str) -> str:
-    """Connection log in which every tenth row has one cell too many."""
+    """Connection log in which every tenth row has one cell too many, and further files without a header that hold every 25th row again."""
     folder = scratch(spark, "logs")
     rows = B.raw_conn(spark, d)
     spoiled = rows.withColumn("local_orig", F.when(event_number("uid") % 10 == 0, "T\textra").otherwise(F.col("local_orig")))
     Z.write_zeek(spoiled, f"{folder}/conn.log")
+    bare = rows.filter(event_number("uid") % 25 == 0).select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("-")) for c in rows.columns]))
+    bare.write.mode("append").text(f"{folder}/conn.log")
     return folder
 
 

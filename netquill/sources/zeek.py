@@ -54,6 +54,18 @@ def headers(placed: DataFrame) -> DataFrame:
     )
 
 
+#: Files whose headers are broadcast; with more of them the headers are joined like any table, and Spark splits a large file's rows.
+HEADER_FILES = 10_000
+
+
+def _with_headers(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the declarations of their file. As long as there are few files, no row is shuffled for it."""
+    few = found.limit(HEADER_FILES + 1).collect()
+    if len(few) > HEADER_FILES:
+        return rows.join(found, "file", "left")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, found.schema)), "file", "left")
+
+
 def _in_force(entries: Column, place: Column) -> Column:
     """Text of the last declaration standing before ``place``."""
     return F.try_element_at(F.filter(entries, lambda e: e["at"] < place), F.lit(-1))["text"]
@@ -69,7 +81,7 @@ def parsed(placed: DataFrame) -> DataFrame:
     text = F.regexp_replace("value", "[\\r\\n]+$", "")
     place = F.struct(F.col("seq.block").alias("block"), F.col("seq.line").alias("line"))
     rows = placed.withColumn("value", text).filter((F.col("value") != "") & ~F.col("value").startswith(_META))
-    rows = rows.withColumn("file", F.col("seq.file")).join(headers(placed), "file", "left")
+    rows = _with_headers(rows.withColumn("file", F.col("seq.file")), headers(placed))
     no_lines = F.array().cast("array<struct<at:struct<block:bigint,line:bigint>,text:string>>")
     declared = _in_force(F.coalesce("field_lines", no_lines), place)
     rows = rows.withColumn(

@@ -11,12 +11,14 @@ replayed batch overwrites its own rows, so restarts neither lose nor double any.
 from __future__ import annotations
 
 import logging
+import time
+from collections import deque
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from netquill.contract import LOG_KINDS
 from netquill.operators import assemble as A
@@ -50,10 +52,28 @@ def kind_of(file: str = "file") -> Column:
     return F.regexp_extract(file, r"/([A-Za-z0-9_]+)[^/]*\.log(?:/[^/]*)?$", 1)
 
 
-def poll_summary(records: DataFrame) -> DataFrame:
-    """Rows per log kind, flows and total of one trigger, from ``(kind, ...)`` rows."""
-    per_kind = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in LOG_KINDS]
-    return records.agg(F.count_if(F.col("kind") == "conn").alias("flows_count"), F.count(F.lit(1)).alias("total_records"), *per_kind)
+def poll_summary() -> list[Column]:
+    """Readable rows per log kind, flows and total of one trigger, as metrics to observe on parsed rows while they are written."""
+    good = F.col("reason").isNull()
+    per_kind = [F.count_if(good & (F.col("kind") == k)).alias(f"{k}_count") for k in LOG_KINDS]
+    return [F.count_if(good & (F.col("kind") == "conn")).alias("flows_count"), F.count_if(good).alias("total_records"), *per_kind]
+
+
+class Throughput(StreamingQueryListener):
+    """Rows and rows per second of the last triggers of all queries of the session; ``add`` it with ``spark.streams.addListener``."""
+
+    def __init__(self, keep: int = 1000):
+        self.recent: deque[tuple[str, int, int, float]] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.recent.append((str(p.runId), p.batchId, p.numInputRows, p.processedRowsPerSecond or 0.0))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 class LiveDetector:
@@ -103,7 +123,8 @@ class LiveDetector:
         """Parse the batch, store its rows by kind; returns the hours of its flows and the median flow time before it."""
         number = F.lit(batch_id)
         rows = Z.parsed(Z.with_place(batch)).withColumn("kind", kind_of()).filter(F.col("kind").isin(LOG_KINDS))
-        self._replace(rows.withColumn("batch_id", number), "bronze", "batch_id", "kind")
+        seen, began = Observation(), time.monotonic()
+        self._replace(rows.observe(seen, *poll_summary()).withColumn("batch_id", number), "bronze", "batch_id", "kind")
         bronze = self._read("bronze", f"batch_id={batch_id}")
         if bronze is None:
             bronze = rows.limit(0)
@@ -111,7 +132,7 @@ class LiveDetector:
         self._replace(bad.select("file", F.col("seq.line").alias("line"), F.col("value").alias("text"), "reason", "kind")
                       .withColumn("batch_id", number), "quarantine", "batch_id")
         good = bronze.filter(F.col("reason").isNull()).select("kind", "seq", F.map_from_arrays("fields", "cells").alias("record"))
-        counts = poll_summary(good).first().asDict()
+        counts = seen.get
         self.history.begin(batch_id)
         hours, median = [], None
         for kind in FEATURE_KINDS:
@@ -126,8 +147,15 @@ class LiveDetector:
         summary = self.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
         summary = summary.withColumn("median_ts", F.lit(before if median is None else median).cast("double"))
         self._replace(summary.withColumn("batch_id", number), "summary", "batch_id")
+        self._report(batch_id, counts["total_records"], counts["flows_count"], 0, began)
         return hours, before
 
+    def _report(self, batch_id: int, records: int, flows: int, alerts: int, began: float) -> None:
+        """Rows in and out of a batch and the seconds they took: a row for landing, a row for scoring."""
+        row = (batch_id, "score" if alerts else "land", records, flows, alerts, time.monotonic() - began)
+        columns = "batch_id long, step string, records long, flows long, alerts long, seconds double"
+        self._replace(self.spark.createDataFrame([row], columns), "progress", "batch_id", "step")
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch, as called by ``foreachBatch``."""
         hours, before = self._land(batch, batch_id)
@@ -156,7 +184,10 @@ class LiveDetector:
         """Score the stored features of a batch, store its alerts and tell the subscribers."""
         stored = self._read("features", f"batch_id={batch_id}").drop("batch_id", "late")
         alerts = encode_alerts(A.alert_rows(scored_or_rejected(stored, self.scorer)))
+        seen, began = Observation(), time.monotonic()
+        alerts = alerts.observe(seen, F.count(F.lit(1)).alias("alerts"))
         self._replace(alerts.drop("alert_date").withColumn("batch_id", F.lit(batch_id)), "alerts", "batch_id")
+        self._report(batch_id, 0, 0, seen.get["alerts"], began)
         written = self._read("alerts", f"batch_id={batch_id}")
         for subscriber in self.subscribers:
             try:
