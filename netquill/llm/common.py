@@ -94,14 +94,19 @@ def combined(states: DataFrame, combine: Callable[[list[bytes]], bytes], name: s
         merged = combine([x.as_py() for x in rows.column("state")])
         return pa.table({"part": rows.column("next")[:1], "state": pa.array([merged], pa.binary())})
 
-    states = written(states, name)
-    left = states.count()
-    while left > 1:
+    spark, last = states.sparkSession, None
+    while True:
+        path = scratch_path(spark, name)
+        states.write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        states, last = spark.read.schema(states.schema).parquet(path), path
+        if states.count() <= 1:
+            break
         states = states.withColumn("next", F.floor(F.col("part") / group)).groupBy("next").applyInArrow(merge, "part long, state binary")
-        states = written(states, name)
-        left = states.count()
-    last = states.select("state").first()
-    return None if last is None else bytes(last[0])
+    found = states.select("state").first()
+    remove(spark, last)
+    return None if found is None else bytes(found[0])
 
 
 # --- bytes of an Arrow string column -------------------------------------------------------------------------------

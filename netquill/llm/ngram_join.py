@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquill.llm import setsketch
-from netquill.llm.common import combined, let_go, text_chunks, written
+from netquill.llm.common import combined, let_go, remove, scratch_path, text_chunks, written
 from netquill.llm.components import components
 
 WORDS, PERCENT = 4, 85
-#: Cells in which shingles are counted: two megabytes of levels, whatever the input.
-CELLS = 1 << 21
+#: Cells in which shingles are counted: one for about CELL_BYTES bytes of text, MOST_CELLS (eight megabytes of levels) at most.
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 128, 1 << 12, 1 << 23
 #: Members of a block, children of a node, and members up to which the pairs of a block are taken without a tree.
 BLOCK, FAN, FEW = 256, 4, 8
 #: Words of the bitmaps in trees, which every shingle of a set carries along; a longer bitmap is folded there and used whole for the leaves that remain.
@@ -46,20 +46,22 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _levels(source: DataFrame, words: int) -> np.ndarray:
     """For each cell, how many doublings its count lies above twice the mean: the first key of the order."""
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    width = min(max(LEAST_CELLS, 1 << int(size // CELL_BYTES).bit_length()), MOST_CELLS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.zeros(CELLS, np.int64), False
+        cells, seen = np.zeros(width, np.int64), False
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text"), _CHUNK_BYTES):
                 elements, _ = setsketch.shingles(data, offsets, words)
-                at, n = np.unique((elements & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
+                at, n = np.unique((elements & np.uint64(width - 1)).astype(np.int64), return_counts=True)
                 cells[at] += n
                 seen = seen or len(at) > 0
         if seen:
             yield pa.record_batch([pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["state"])
 
     def added(states: list[bytes]) -> bytes:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(width, np.int64)
         for s in states:
             total += np.frombuffer(zlib.decompress(s), np.int64)
         return zlib.compress(total.tobytes(), 1)
@@ -67,7 +69,7 @@ def _levels(source: DataFrame, words: int) -> np.ndarray:
     states = source.select("text").mapInArrow(counted, "state binary").select(F.spark_partition_id().cast("long").alias("part"), "state")
     total = combined(states, added, "join-cells")
     if total is None:
-        return np.zeros(CELLS, np.uint8)
+        return np.zeros(width, np.uint8)
     cells = np.frombuffer(zlib.decompress(total), np.int64)
     return np.log2(np.maximum(cells / (2 * cells.mean()), 1)).astype(np.uint8)
 
@@ -95,7 +97,7 @@ def signed(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: in
             for first, data, offsets in text_chunks(b.column("text"), _CHUNK_BYTES):
                 elements, at = setsketch.shingles(data, offsets, words)
                 n = np.diff(at)
-                level = levels.value[(elements & np.uint64(CELLS - 1)).astype(np.int64)]
+                level = levels.value[(elements & np.uint64(len(levels.value) - 1)).astype(np.int64)]
                 ordered = elements[np.lexsort((elements, level, np.repeat(np.arange(len(n)), n)))]
                 some = n - (percent * n + 99) // 100 + 1
                 names = [setsketch.digest(elements[at[i] : at[i + 1]]) for i in range(len(n))]
@@ -259,9 +261,14 @@ def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
                 keep[i] = 100 * shared >= percent * (len(both) - shared)
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    sets = written(met.mapInArrow(shingled, "cid long, elements binary").dropDuplicates(["cid"]), "join-sets")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "join-sets")
+    met.mapInArrow(shingled, "cid long, elements binary").dropDuplicates(["cid"]).write.parquet(path)
+    sets = spark.read.schema("cid long, elements binary").parquet(path)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb")), "b")
-    return both.select("a", "b", "ea", "eb").mapInArrow(compared, "a long, b long")
+    links = written(both.select("a", "b", "ea", "eb").mapInArrow(compared, "a long, b long"), "join-links")
+    remove(spark, path)
+    let_go(spark)
+    return links
 
 
 def _not_ruled_out(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -331,10 +338,16 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows with equal sets are linked, repeated rows too. A null id is the largest; a component of null ids only has a null id. Texts of
     any length are read whole. Other columns are not read; an empty table gives an empty result.
     """
-    rows = written(signed(docs, key, text, words, percent), "join-rows")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "join-signed")
+    made = signed(docs, key, text, words, percent)
+    made.write.parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     classes = rows.filter(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("prefix").alias("prefix"))
     classes = written(classes.sortWithinPartitions("d1", "d2").withColumn("cid", F.monotonically_increasing_id()), "join-classes")
+    rows = written(rows.select("doc_id", "n", "d1", "d2"), "join-rows")
+    remove(spark, path)
+    let_go(spark)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,24 +359,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tokens = classes.select("cid", "prefix").mapInArrow(listed, "token long, cid long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(tokens.join(shared, "token"), "join-members")
-    let_go(docs.sparkSession)
+    let_go(spark)
 
     met = members.groupBy("cid").agg(F.sum("size").alias("met"))
     leaders = members.join(met, "cid").groupBy("token").agg(F.max(F.struct("met", "cid")).alias("lead")).select("token", F.col("lead.cid").alias("leader"))
     led = members.join(leaders, "token").filter(F.col("cid") != F.col("leader")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("common"))
     led = led.groupBy("cid").agg(F.max(F.struct("common", "leader")).alias("best")).select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
     stars = written(_not_ruled_out(led, classes, percent), "join-stars")
-    let_go(docs.sparkSession)
+    let_go(spark)
     roots = written(components(_counted(stars, docs, classes, key, text, words, percent)), "join-roots")
 
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("token")
     placed = written(placed.join(mixed, "token").join(classes.select("cid", "n"), "cid"), "join-placed")
-    let_go(docs.sparkSession)
+    let_go(spark)
     few = _few_pairs(placed.filter(F.col("size") <= FEW), percent)
     many = _candidates(_blocks(placed.filter(F.col("size") > FEW).drop("size"), classes, percent, block), percent)
     met = written(few.union(many).distinct(), "join-met")
-    let_go(docs.sparkSession)
+    let_go(spark)
     pairs = written(_not_ruled_out(met, classes, percent), "join-pairs")
     more = _counted(pairs, docs, classes, key, text, words, percent)
     known = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -372,5 +385,5 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = roots.join(classes.select(F.col("cid").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("best"))
     named = roots.join(least, "root").select(F.col("node").alias("cid"), "best")
     resolved = classes.join(named, "cid", "left").select("d1", "d2", F.coalesce("best", "first").alias("best"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(written(resolved, "join-resolved"), ["d1", "d2"], "left")
+    out = rows.join(written(resolved, "join-resolved"), ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"))
