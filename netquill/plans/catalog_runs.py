@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def _(spark, d):
 
 def _pages(spark: SparkSession, d: str) -> PG.AlertPages:
     """The alert table in two appends, with its directory."""
-    every = alerts(spark, d).select(*K.ALERT_COLUMNS)
+    every = alerts(spark, d)
     pages = PG.AlertPages(spark, L.scratch(spark, "pages"))
     odd = F.substring("flow_uid", 2, 20).cast("long") % 2
     for turn in (0, 1):
@@ -240,25 +241,22 @@ def _(spark, d):
     return seen[0].unionByName(seen[1])
 
 
-# The first run ends between the features and the alerts of every batch; the second one goes on from its checkpoint.
+# The first run ends between the features and the alerts of its first batch; the second one goes on from its checkpoint.
 @query("stream_resume", f"""SELECT uid AS flow_uid, CAST(1 AS BIGINT) AS alerts, {_RULE_LABEL} AS predicted_label FROM {_RULE_VERDICT}""")
 def _(spark, d):
     folder, root = L.write_logs(spark, d), L.scratch(spark, "live")
     files = -(-len(Z.existing(spark, f"{folder}/*/part-*")) // 3)
 
-    class Crash(Exception):
-        pass
-
     def crash(features: DataFrame) -> DataFrame:
-        raise Crash("between features and alerts")
+        raise RuntimeError("between features and alerts")
 
-    run = lambda scorer, names: LiveDetector(spark, root, scorer).start(folder, max_files_per_trigger=files, names=names)
     for scorer in (crash, L.rule_scorer):
-        stream = run(scorer, "part-*.txt")
-        while stream.isActive:
-            stream.awaitTermination(1) if scorer is crash and stream.exception() is None else stream.awaitTermination()
-        if scorer is crash and "between features and alerts" not in str(stream.exception()):
-            raise RuntimeError("the first run was to fail")
+        stream = LiveDetector(spark, root, scorer).start(folder, max_files_per_trigger=files, names="part-*.txt")
+        try:
+            stream.awaitTermination()
+        except StreamingQueryException as e:
+            if scorer is not crash or "between features and alerts" not in str(e):
+                raise
     stored = spark.read.parquet(f"{root}/alerts")
     return stored.groupBy("flow_uid").agg(F.count(F.lit(1)).alias("alerts"), F.first("predicted_label").alias("predicted_label"))
 
