@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquill.llm import setsketch
-from netquill.llm.common import text_chunks, written
+from netquill.llm.common import drop, text_chunks, written
 from netquill.llm.components import components
 
 #: Members of a bucket that one block compares at a time; larger buckets are cut into pairs of blocks.
@@ -154,10 +154,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     with nothing. Equal sets are linked. Other columns are not read; an empty table gives an empty result.
     """
     band_rows = band_rows or setsketch.rows_for(percent / 100)
+    held: dict[str, str] = {}
     rows = written(sketched(docs, key, text), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     classes = rows.filter(F.col("n") > 0).groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = written(classes.sortWithinPartitions("d1", "d2").withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    classes = written(classes.sortWithinPartitions("d1", "d2").withColumn("cid", F.monotonically_increasing_id()), "near-classes", held)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,20 +170,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     bands = classes.select("cid", "sketch").mapInArrow(banded, "bucket long, cid long")
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    members = written(bands.join(buckets, "bucket"), "near-members")
+    members = written(bands.join(buckets, "bucket"), "near-members", held)
     # a bucket is led by the class that meets most others: in a star of copies, the text they are copies of
     met = members.groupBy("cid").agg(F.sum("size").alias("met"))
     leaders = members.join(met, "cid").groupBy("bucket").agg(F.max(F.struct("met", "cid")).alias("lead")).select("bucket", F.col("lead.cid").alias("leader"))
     inside = members.select("cid").distinct().join(classes.select("cid", "first.doc_id", "first.text_key"), "cid")
-    sets = written(_sets(docs, inside, key, text), "near-sets")
+    sets = written(_sets(docs, inside, key, text), "near-sets", held)
 
     led = members.join(leaders, "bucket").filter(F.col("cid") != F.col("leader")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("bands"))
     led = led.groupBy("cid").agg(F.max(F.struct("bands", "leader")).alias("best")).select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
-    links = written(_confirmed(led, sets, percent), "near-links")
-    roots = written(components(links), "near-roots")
+    links = written(_confirmed(led, sets, percent), "near-links", held)
+    roots = written(components(links), "near-roots", held)
 
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid"))
-    placed = written(placed.select("bucket", "cid", "size", "component"), "near-placed")
+    placed = written(placed.select("bucket", "cid", "size", "component"), "near-placed", held)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("bucket")
     open_rows = placed.join(mixed, "bucket").join(classes.select("cid", "n", "sketch"), "cid")
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
@@ -194,8 +195,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     blocks = open_rows.repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj", "cid")
     least = percent / 100 - 4 * float(np.sqrt(percent / 100 * (1 - percent / 100) / setsketch.REGISTERS))
-    candidates = written(_estimated(blocks, least, percent / 100, band_rows).distinct(), "near-candidates")
-    more = written(_confirmed(candidates, sets, percent), "near-more")
+    candidates = written(_estimated(blocks, least, percent / 100, band_rows).distinct(), "near-candidates", held)
+    more = written(_confirmed(candidates, sets, percent), "near-more", held)
     stars = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = written(components(stars.unionByName(more)), "near-components")
 
@@ -203,6 +204,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     named = roots.join(grouped, "root").select(F.col("node").alias("cid"), "best")
     resolved = classes.join(named, "cid", "left").select("d1", "d2", F.coalesce("best", "first").alias("best"))
     resolved = written(resolved, "near-resolved")
+    drop(docs.sparkSession, held, *held)
     out = rows.drop("sketch").join(resolved, ["d1", "d2"], "left")
     alone = F.col("best").isNull()
     own_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import FIRST, SECOND, prefix_hashes, remove, scratch_path, span_hashes, text_chunks, written
+from netquill.llm.common import FIRST, SECOND, drop, let_go, prefix_hashes, remove, scratch_path, span_hashes, text_chunks, written
 
 LENGTH = 200
 GRAM = 64
@@ -78,6 +78,7 @@ class SuffixFamily:
 
     def __init__(self) -> None:
         self.levels: dict[int, tuple[DataFrame, str]] = {}
+        self.found: list[str] = []  # paths of what ``add`` returned
 
     @staticmethod
     def _sorted(names: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -91,7 +92,9 @@ class SuffixFamily:
         repeated = array.filter(F.col("n") > 1).select("name")
         for level, _ in self.levels.values():
             repeated = repeated.unionByName(array.select("name").join(level.select("name"), "name"))
-        repeated = written(repeated.distinct(), "suffix-repeated")
+        held: dict[str, str] = {}
+        repeated = written(repeated.distinct(), "suffix-repeated", held)
+        self.found += held.values()
         size = 1
         while size in self.levels:
             other, old = self.levels.pop(size)
@@ -127,34 +130,43 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     shift = base - at[t] if len(t) else 0
                     yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(low + shift), pa.array(high + shift), pa.array(place + shift), pa.array(name), pa.array(cover)], [*row, "low", "high", "place", "name", "cover"])
 
-    path = scratch_path(spark, "suffix-anchors")
+    held: dict[str, str] = {}  # scratch tables, deleted as soon as nothing reads them any more
+    let_go(spark)
     entries = source.mapInArrow(found, f"doc_id {kind}, text_key long, low long, high long, place long, name long, cover long")
     entries = entries.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)))
-    entries.write.parquet(path)
-    entries = spark.read.schema(entries.schema).parquet(path)
-
-    family = SuffixFamily()
-    repeated = [family.add(entries.filter(F.col("batch") == b).select("name")) for b in range(batches)]
-    names = repeated[0]
-    for more in repeated[1:]:
-        names = names.unionByName(more)
-    open_ones = written(entries.drop("batch").join(written(names.distinct(), "suffix-names"), "name", "left_semi"), "suffix-open")
-    remove(spark, path)
-    for _, old in family.levels.values():
+    entries = written(entries, "suffix-anchors", held)
+
+    family, names = SuffixFamily(), None
+    for b in range(batches):
+        more = family.add(entries.filter(F.col("batch") == b).select("name"))
+        names = more if names is None else names.unionByName(more)
+        let_go(spark)
+    names = written(names.distinct(), "suffix-names", held)
+    for old in (*(path for _, path in family.levels.values()), *family.found):
         remove(spark, old)
+    open_ones = None
+    for b in range(batches):  # one after the other, so that only a share of the anchors is shuffled at a time
+        more = entries.filter(F.col("batch") == b).drop("batch").join(names, "name", "left_semi")
+        more = written(more, f"suffix-open-{b}", held)
+        open_ones = more if open_ones is None else open_ones.unionByName(more)
+        let_go(spark)
+    drop(spark, held, "suffix-anchors", "suffix-names")
 
     covers = open_ones.groupBy("name", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), *row, "low", "high", "place")).alias("one"))
-    covers = written(covers, "suffix-covers")
+    covers = written(covers, "suffix-covers", held)
     whole = open_ones.join(covers.filter(F.col("n") > 1).select("name", "cover"), ["name", "cover"], "left_semi")
-    whole = whole.select(*row, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    whole = written(whole.select(*row, F.col("low").alias("start"), (F.col("high") + length).alias("end")), "suffix-covered", held)
+    drop(spark, held, *(f"suffix-open-{b}" for b in range(batches)))
 
     alone = F.col("n") == 1
     edges = covers.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max(alone).alias("any")).filter((F.col("kinds") > 1) & F.col("any"))
-    edges = covers.join(written(edges.select("name"), "suffix-edge-names"), "name", "left_semi").select("one.*", alone.alias("alone"))
+    edges = covers.join(written(edges.select("name"), "suffix-edge-names", held), "name", "left_semi").select("one.*", alone.alias("alone"))
     edges = edges.groupBy(*row).agg(F.collect_list(F.struct("low", "high", "place", "alone")).alias("parts"))
-    edges = edges.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    edges = written(edges.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), "suffix-edges", held)
+    drop(spark, held, "suffix-covers", "suffix-edge-names")
     texts = source.join(edges, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    texts = written(texts.select(*row, "text", "parts"), "suffix-edge-texts")
+    texts = written(texts.select(*row, "text", "parts"), "suffix-edge-texts", held)
+    drop(spark, held, "suffix-edges")
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -174,12 +186,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(a), pa.array(z), pa.array(own[which].astype(bool)), pa.array(core), pa.array(w1), pa.array(w2)], [*row, "a", "z", "alone", "core", "w1", "w2"])
 
     # blocks of neighbouring windows: all of one are repeated if their whole string is, none if not even the part common to all is
-    grouped = written(texts.mapInArrow(blocks, f"doc_id {kind}, text_key long, a long, z long, alone boolean, core long, w1 long, w2 long"), "suffix-blocks")
+    grouped = written(texts.mapInArrow(blocks, f"doc_id {kind}, text_key long, a long, z long, alone boolean, core long, w1 long, w2 long"), "suffix-blocks", held)
     twice = grouped.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("w1", "w2", F.lit(True).alias("whole"))
-    grouped = written(grouped.join(written(twice, "suffix-whole"), ["w1", "w2"], "left").withColumn("open", F.col("alone") & F.col("whole").isNull()).drop("w1", "w2"), "suffix-judged")
+    grouped = written(grouped.join(written(twice, "suffix-whole", held), ["w1", "w2"], "left").withColumn("open", F.col("alone") & F.col("whole").isNull()).drop("w1", "w2"), "suffix-judged", held)
+    drop(spark, held, "suffix-blocks", "suffix-whole")
     whole = whole.unionByName(grouped.filter(F.col("alone") & F.col("whole")).select(*row, F.col("a").alias("start"), (F.col("z") + length).alias("end")))
     cores = grouped.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("core")
-    single = grouped.join(written(cores, "suffix-cores"), "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("a", "z", "open")).alias("ranges"))
+    single = grouped.join(written(cores, "suffix-cores", held), "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("a", "z", "open")).alias("ranges"))
     single = single.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     single = texts.drop("parts").join(single, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
@@ -196,10 +209,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(at), pa.array(np.repeat(own[here], n).astype(bool)), pa.array(w1), pa.array(w2)], [*row, "at", "open", "w1", "w2"])
 
     seen = single.select(*row, "text", F.col("ranges").alias("parts")).mapInArrow(windows, f"doc_id {kind}, text_key long, at long, open boolean, w1 long, w2 long")
-    seen = written(seen, "suffix-windows")
+    seen = written(seen, "suffix-windows", held)
+    drop(spark, held, "suffix-edge-texts", "suffix-cores")
     twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter((F.col("n") > 1) & F.col("any")).select("w1", "w2")
-    hits = seen.filter("open").join(written(twice, "suffix-twice"), ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(hits).groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    hits = seen.filter("open").join(written(twice, "suffix-twice", held), ["w1", "w2"], "left_semi").select(*row, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    spans = written(whole.unionByName(hits).groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    drop(spark, held, *held)
+    return spans
 
 
 def _texts_with(b: pa.RecordBatch, *fields: str):
@@ -220,7 +236,7 @@ def _mask(n: int, spans) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     """``docs`` with its spans in a struct column that no column of ``docs`` can clash with (see :func:`without_repeats`)."""
-    spans = written(repeated_spans(docs, key, text, **options), "suffix-spans").withColumnsRenamed({"doc_id": "__d", "text_key": "__t", "spans": "__spans"})
+    spans = repeated_spans(docs, key, text, **options).withColumnsRenamed({"doc_id": "__d", "text_key": "__t", "spans": "__spans"})
     whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     boxed = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), whole.alias("__text_key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     return boxed.join(spans, (F.col("__text_key") == F.col("__t")) & F.col("__key").eqNullSafe(F.col("__d")), "left")
@@ -269,6 +285,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
         return pd.Series(out, dtype=object)
 
     rows = _with_spans(docs, key, text, **options)
-    changed = F.when(F.col("__spans").isNotNull() & F.col("__row")[text].isNotNull(), cut(F.col("__text"), F.col("__spans"))).otherwise(F.col("__row")[text])
+    changed = F.when(F.col("__spans").isNotNull() & F.col("__row")[text].isNotNull(), cut(F.col("__row")[text], F.col("__spans"))).otherwise(F.col("__row")[text])
     rows = rows.select("__row", changed.alias("__cut"))
     return rows.select(*(F.col("__cut").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
