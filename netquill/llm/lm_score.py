@@ -1,13 +1,15 @@
 """Language-model scoring over an Elias-Fano n-gram trie in shards, learned from the training share of the documents.
 
 1. The texts are cut into chunks of a bounded number of bytes. A chunk is one row: its distinct words (as 64-bit hashes), how often each
-   occurs in training texts, and its texts as numbers of these words.
-2. Word counts are summed over all chunks; every word of the training texts has its own.
-3. All bigrams and trigrams of the training texts are counted, none is cut off. A gram is a context (one word, or two) and the word after it. Each chunk
-   sends its distinct grams, packed, to the shards of their contexts, and each shard becomes one trie, a row of a table in the shared folder. The
-   number of shards follows the number of tokens. Contexts of frequent words only are spread over several shards by the word that follows.
-4. Each chunk asks the shards for its distinct grams, gets the counts of its words by a join, and scores its texts. Nothing that grows with
-   the input is gathered or broadcast.
+   occurs in training texts, and its texts as numbers of these words, the commonest first.
+2. Word counts are summed over all chunks; every word of the training texts has its own. Each chunk gets the counts of its words by a join.
+3. All bigrams and trigrams of the training texts are counted, none is cut off. A gram is a context (one word, or two) and the word after it.
+   The tokens are dealt with in turns, by the word before them, so that a turn has all grams of its contexts and only a share of the
+   shuffled bytes is on disk at a time. In its turn, each chunk sends its distinct grams, packed, to the shards of their contexts, and each shard becomes
+   one trie, a row of a table in the shared folder. The number of shards follows the number of tokens. Contexts of frequent words only are
+   spread over several shards by the word that follows.
+4. In the same turn, each chunk asks the shards for its distinct grams and adds up the scores of the turn's tokens text by text; the sums of
+   all turns make the scores. Nothing that grows with the input is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -20,20 +22,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import LOWER_ASCII, crc_mod, mix64, prefix_hashes, span_hashes, text_chunks, word_spans, written
+from netquill.llm.common import LOWER_ASCII, crc_mod, drop, mix64, prefix_hashes, span_hashes, text_chunks, word_spans, written
 from netquill.llm.ngram_trie import Trie
 
 #: Contexts whose words all have this share of the tokens are spread over ``_PARTS`` shards; that changes no count.
 WORD_SHARE = 2.0**-11
 #: Tokens for each shard, and the least number of shards.
 SHARD_TOKENS, MIN_SHARDS = 1 << 18, 64
+#: Turns that the tokens are dealt with in.
+TURNS = 4
 DISCOUNT = 0.75
 CHUNK_BYTES = 8 << 20
 _RUN_BYTES = 1 << 20
 _PARTS = 16
 #: The end of a text, as a word hash.
 END_HASH = np.uint64(0x5555AAAA12345678)
-_ODD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD, _PAIR, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _words(column, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +68,15 @@ def chunked(docs: DataFrame, held: Column, key: str, text: str, chunk_bytes: int
                 n = len(offsets) - 1
                 hashes, size = _words(b.column("text"), first, n)
                 out = b.column("held").slice(first, n).to_numpy(zero_copy_only=False)
-                words, place = np.unique(hashes, return_inverse=True)
+                words, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")  # small numbers for common words take less room
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order))
+                words, place = words[order], rank[place]
                 counts = np.bincount(place, weights=np.repeat(~out, size), minlength=len(words)).astype(np.int64)
                 one = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
                 ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("doc_id").slice(first, n))
-                yield pa.record_batch([pa.array([number]), ids, one(out.astype(np.uint8)), one(size.astype(np.int64)), one(place.astype(np.int32)), one(words), one(counts)],
+                yield pa.record_batch([pa.array([number]), ids, one(out.astype(np.uint8)), one(size.astype(np.int64)), pa.array([_squeezed(place)], pa.binary()), one(words), one(counts)],
                                       ["chunk", "doc_ids", "held", "size", "place", "words", "counts"])
                 number += 1
 
@@ -80,6 +88,35 @@ def _array(b: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
     return np.frombuffer(buffer, kind) if buffer.size else np.zeros(0, kind)
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte: the lowest of all, then the next. The head has their number and whether they take 64 bits each."""
+    wide = int(a.max(initial=0)) >> 32 > 0
+    width = 8 if wide else 4
+    planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return (2 * len(a) + wide).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _numbers(raw) -> np.ndarray:
+    """The numbers of a :func:`_squeezed` value, as 64 bits."""
+    n, wide = divmod(int.from_bytes(bytes(raw[:8]), "little"), 2)
+    width = 8 if wide else 4
+    planes = pa.decompress(raw[8:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _parted(raw) -> list:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(bytes(raw[at : at + 8]), "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _contexts(numbers: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two numbers before each token; before a text there are ends."""
     first = np.cumsum(size) - size
@@ -91,51 +128,83 @@ def _contexts(numbers: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarr
     return w1, w2
 
 
+def _names(one: np.ndarray, two: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """64-bit names of contexts of word numbers: ``one`` is 0 where there is one word only; parts that are spread (from 1) have names of their own."""
+    return mix64(mix64(mix64(one.astype(np.uint64)) * _PAIR + two.astype(np.uint64)) + part.astype(np.uint64) * _ODD)
+
+
 class Grams:
-    """The distinct bigrams and trigrams of some tokens of a chunk, and where they are dealt with.
+    """The distinct bigrams and trigrams of a turn's tokens in a chunk, by shard, and where they are dealt with.
 
-    ``place2`` and ``place3`` have each token's entry in ``context`` (63-bit names), ``word`` and ``shard``; ``spread`` has for each entry the
-    first of the ``_PARTS`` entries behind the grams that ask about its context in every shard that it is spread over, or -1.
+    Entries (``one``, ``two``, ``three``) are word numbers, 0 for the first of a bigram, and, when asking, questions about a part of a context that
+    is spread over shards, with the part as the last. ``shard`` is sorted; within a shard bigrams come first, questions about parts last, as many as
+    ``kinds`` says. Bigrams and trigrams are numbered in that order: ``second`` is each trigram's bigram, ``token`` each token's trigram, ``last`` the place
+    of the word that a bigram ends with, ``spread`` the number of the spread context of each bigram, then trigram, plus 1, and ``parts``
+    what the last questions are about: number of the context times ``_PARTS`` plus part. ``texts`` is the number of the turn's tokens in each text.
     """
 
-    def __init__(self, words: np.ndarray, place: np.ndarray, size: np.ndarray, taken: np.ndarray | None, frequent: np.ndarray, shards: int, ask: bool):
-        m, w3 = len(words), place.astype(np.int64)
-        w1, w2 = _contexts(w3, size, int(np.searchsorted(words, END_HASH)))
+    def __init__(self, ids: np.ndarray, place: np.ndarray, size: np.ndarray, taken: np.ndarray | None, turn: int, turns: int, end: int, frequent: np.ndarray, shards: int, ask: bool):
+        m, w3 = len(ids), place
+        w1, w2 = _contexts(w3, size, int(np.argmax(ids == end)))
+        mine = (mix64(ids.astype(np.uint64) ^ _TURN) % np.uint64(turns) == turn)[w2]
         if taken is not None:
-            w1, w2, w3 = w1[taken], w2[taken], w3[taken]
-        grams2, self.place2, n2 = np.unique(w2 * m + w3, return_inverse=True, return_counts=True)
-        pairs, pair = np.unique(w1 * m + w2, return_inverse=True)
-        grams3, place3, n3 = np.unique(pair * m + w3, return_inverse=True, return_counts=True)
-        self.place3 = place3 + len(grams2)
-        often = (words == END_HASH) | np.isin(words, frequent)
-        one, two = mix64(words ^ _PAIR), mix64(mix64(words[pairs // m]) * _PAIR + words[pairs % m])
-        both = often[pairs // m] & often[pairs % m]
-        context = np.concatenate([one[grams2 // m], two[grams3 // m]])
-        word = np.concatenate([words[grams2 % m], words[grams3 % m]])
-        wide = np.concatenate([often[grams2 // m], both[grams3 // m]])
-        self.n = np.concatenate([n2, n3])
-        self.spread = np.full(len(word), -1, np.int64)
-        if ask:  # the words 0 to 15 stand for the parts
-            names, at = np.unique(context[wide], return_inverse=True)
-            self.spread[wide] = len(word) + at * _PARTS
-            context = np.concatenate([context, np.repeat(names, _PARTS)])
-            word = np.concatenate([word, np.tile(np.arange(_PARTS, dtype=np.uint64), len(names))])
-            wide = np.append(wide, np.ones(len(names) * _PARTS, bool))
-        part = np.where(wide, (word & np.uint64(_PARTS - 1)) + np.uint64(1), np.uint64(0))
-        name = mix64(context + part * _ODD)  # parts have names of their own, as several may meet in a shard
-        self.context, self.word = name >> np.uint64(1), word
-        self.shard = (name % np.uint64(shards)).astype(np.int64)
-
-    def dealt(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each shard that has entries and their places, in a fixed order."""
-        order = np.argsort(self.shard, kind="stable")
-        ends = np.cumsum(np.bincount(self.shard, minlength=shards))
-        for k, (a, z) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            mine &= taken
+        self.texts = np.bincount(np.repeat(np.arange(len(size)), size)[mine], minlength=len(size))
+        w1, w2, w3 = w1[mine], w2[mine], w3[mine]
+        if m < 1 << 21:
+            grams3, token, n3 = np.unique((w2 * m + w1) * m + w3, return_inverse=True, return_counts=True)
+            one, two, three = grams3 // m % m, grams3 // (m * m), grams3 % m
+        else:
+            pairs, pair = np.unique(w2 * m + w1, return_inverse=True)
+            grams3, token, n3 = np.unique(pair * m + w3, return_inverse=True, return_counts=True)
+            one, two, three = pairs[grams3 // m] % m, pairs[grams3 // m] // m, grams3 % m
+        grams2, second = np.unique(two * m + three, return_inverse=True)
+        n2 = np.bincount(second, weights=n3, minlength=len(grams2)).astype(np.int64)
+        often = (ids == end) | np.isin(ids, frequent)
+        wide = np.concatenate([often[grams2 // m], often[one] & often[two]])
+        a = np.concatenate([np.zeros(len(grams2), np.int64), ids[one]])
+        b, c = np.concatenate([ids[grams2 // m], ids[two]]), np.concatenate([ids[grams2 % m], ids[three]])
+        self.n, spread = np.concatenate([n2, n3]), np.zeros(len(c), np.int64)
+        part = np.where(wide, c % _PARTS + 1, 0)
+        if ask:
+            names, first, at = np.unique(_names(a[wide], b[wide], np.zeros(1)), return_index=True, return_inverse=True)
+            spread[wide] = at + 1
+            each = np.tile(np.arange(_PARTS), len(names))
+            a, b = (np.append(x, np.repeat(x[wide][first], _PARTS)) for x in (a, b))
+            c, part = np.append(c, each), np.append(part, each + 1)
+        shard = (_names(a, b, part) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        self.one, self.two, self.three, self.part, self.shard = a[order], b[order], c[order], part[order], shard[order]
+        kind = (order >= len(grams2)).astype(np.int8) + (order >= len(grams2) + len(grams3))
+        self.kinds = np.bincount(self.shard * 3 + kind, minlength=3 * shards)
+        if not ask:
+            self.n = self.n[order]
+            return
+        bi, tri, self.parts = order[kind == 0], order[kind == 1] - len(grams2), order[kind == 2] - len(grams2) - len(grams3)
+        rank2, rank3 = np.empty(len(bi), np.int64), np.empty(len(tri), np.int64)
+        rank2[bi], rank3[tri] = np.arange(len(bi)), np.arange(len(tri))
+        self.second, self.token, self.last = rank2[second[tri]], rank3[token], (grams2 % m)[bi]
+        self.spread = np.concatenate([spread[bi], spread[len(bi) + tri]])
+
+    def dealt(self) -> Iterator[tuple[int, bytes]]:
+        """Each shard that has entries, and these: how many are bigrams and trigrams, the parts they lie in, their words, and counts if they are taught."""
+        edge = [0, *(np.flatnonzero(self.shard[1:] != self.shard[:-1]) + 1).tolist(), len(self.shard)]
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
             if z > a:
-                yield k, order[a:z]
+                fields = (self.one, self.two, self.three, self.part) if hasattr(self, "token") else (self.one, self.two, self.three, self.part, self.n)
+                yield int(self.shard[a]), _squeezed(np.concatenate([x[a:z] for x in fields]))
+
+
+def _numbered(counts: DataFrame, held_paths: dict[str, str]) -> DataFrame:
+    """``counts`` with a number from 2 for each word (id), small for common ones: its rank in its partition, then the partition."""
+    ranked = counts.sortWithinPartitions(F.desc("c")).withColumn("at", F.monotonically_increasing_id())  # partition << 33 | rank
+    ranked = written(ranked, "lm-words", held_paths)
+    part, rank = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = (ranked.agg(F.max(part)).first()[0] or 0) + 1
+    return ranked.select("word", "c", (rank * parts + part + 2).alias("id"))
 
 
-def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, shard_tokens: int = SHARD_TOKENS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, shard_tokens: int = SHARD_TOKENS, chunk_bytes: int = CHUNK_BYTES, turns: int = TURNS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows where ``held`` is true teach nothing.
 
     A null or empty text is the end alone. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, ``score`` the
@@ -145,7 +214,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    chunks = written(chunked(docs, F.coalesce(held, F.lit(False)), key, text, chunk_bytes), "lm-chunks")
+    held_paths: dict[str, str] = {}
+    chunks = written(chunked(docs, F.coalesce(held, F.lit(False)), key, text, chunk_bytes), "lm-chunks", held_paths)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,90 +226,126 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
                     yield pa.record_batch([pa.array(np.full(len(w), b.column("chunk")[i].as_py())), pa.array(np.arange(at, at + len(w), dtype=np.int32)), pa.array(w), pa.array(counts[at : at + 100_000])], ["chunk", "place", "word", "n"])
 
     entries = chunks.select("chunk", "words", "counts").mapInArrow(listed, "chunk long, place int, word long, n long")
-    counts = written(entries.filter(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    counts = written(entries.filter(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts", held_paths)
     tokens, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    counts = _numbered(counts, held_paths)
     frequent = counts.filter((F.col("c") >= max(tokens * word_share, 1)) & (F.col("word") != int(END_HASH.view(np.int64)))).toPandas()  # at most 1 / word_share rows
-    often = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    shards, base_mass = max(MIN_SHARDS, -(-tokens // shard_tokens)), tokens + 0.5 * (distinct + 1)
+    often = frequent["id"].to_numpy(np.int64)
+    ends = counts.filter(F.col("word") == int(END_HASH.view(np.int64))).select("id").first()
+    end = ends[0] if ends else -1
+    shards, base_mass = -(-max(MIN_SHARDS, -(-tokens // shard_tokens)) // turns), tokens + 0.5 * (distinct + 1)
+    drop(spark, held_paths)
 
-    def sent(b: pa.RecordBatch, i: int, ask: bool) -> Grams:
-        size, taken = _array(b, "size", i, np.int64), None
-        if not ask:
-            taken = np.repeat(_array(b, "held", i, np.uint8) == 0, size)
-        return Grams(_array(b, "words", i, np.uint64), _array(b, "place", i, np.int32), size, taken, often, shards, ask)
+    wanted = entries.select("chunk", "place", "word").join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "id")).alias("known"))
 
-    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def informed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                g = sent(b, i, False)
-                for k, at in g.dealt(shards):
-                    body = b"".join((g.context[at].tobytes(), g.word[at].tobytes(), g.n[at].astype(np.uint32).tobytes()))
-                    yield pa.record_batch([pa.array([k]), pa.array([body], pa.binary())], ["shard", "body"])
+                size = _array(b, "size", i, np.int64)
+                place, words = _numbers(b.column("place")[i].as_buffer()), _array(b, "words", i, np.uint64)
+                c, ids = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)  # 1: in no training text
+                known = b.column("known")[i]
+                if known.is_valid:
+                    at = known.values.field("place").to_numpy()
+                    c[at], ids[at] = known.values.field("c").to_numpy(), known.values.field("id").to_numpy()
+                text = np.repeat(np.arange(len(size)), size)
+                add = lambda x: np.bincount(text, weights=x, minlength=len(size))  # noqa: E731, B023
+                sums = (_squeezed(ids), _squeezed(c), add(c[place] > 0).astype(np.int64).tobytes(), add(np.log10((c + 0.5) / base_mass)[place]).tobytes())
+                yield pa.record_batch([*(b.column(x).slice(i, 1) for x in kept), *(pa.array([x], pa.binary()) for x in sums)], [*kept, "ids", "c", "n_known", "base"])
+
+    kept = ("chunk", "doc_ids", "held", "size", "place")
+    schema = f"chunk long, doc_ids array<{kind}>, held binary, size binary, place binary, ids binary, c binary, n_known binary, base binary"
+    chunks = written(chunks.drop("counts").join(wanted, "chunk", "left").mapInArrow(informed, schema), "lm-known", held_paths)
+    drop(spark, held_paths, "lm-chunks", "lm-counts", "lm-words")
+
+    def sent(b: pa.RecordBatch, i: int, turn: int, ask: bool) -> Grams:
+        size, taken = _array(b, "size", i, np.int64), None
+        if not ask:
+            taken = np.repeat(_array(b, "held", i, np.uint8) == 0, size)
+        return Grams(_numbers(b.column("ids")[i].as_buffer()), _numbers(b.column("place")[i].as_buffer()), size, taken, turn, turns, end, often, shards, ask)
 
     def built(table: pa.Table) -> pa.Table:
-        bodies = [x.as_buffer() for x in table.column("body")]
-        part = lambda kind, at: np.concatenate([np.frombuffer(x, kind, x.size // 20, x.size // 20 * at) for x in bodies])
-        trie = Trie.of(part(np.uint64, 0), part(np.uint64, 8), part(np.uint32, 16).astype(np.int64))
+        one, two, three, part, n = np.concatenate([_numbers(x.as_buffer()).reshape(5, -1) for x in table.column("body")], axis=1)
+        trie = Trie.of(_names(one, two, part) >> np.uint64(1), three.astype(np.uint64), n)
         return pa.table({"shard": table.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.binary())})
 
-    columns = ("held", "size", "place", "words")
-    tries = written(chunks.select(*columns).mapInArrow(taught, "shard long, body binary").groupBy("shard").applyInArrow(built, "shard long, trie binary"), "lm-tries")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                g = sent(b, i, True)
-                for k, at in g.dealt(shards):
-                    body = g.context[at].tobytes() + g.word[at].tobytes()
-                    yield pa.record_batch([b.column("chunk").slice(i, 1), pa.array([k]), pa.array([body], pa.binary())], ["chunk", "shard", "body"])
-
     def answered(questions: pa.Table, shard: pa.Table) -> pa.Table:
         trie = Trie.from_buffer(shard.column("trie")[0].as_buffer()) if shard.num_rows else None
         bodies = []
-        for x in questions.column("body"):
-            q = np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1)
-            found = np.stack(trie.find(*q)) if trie is not None else np.zeros((3, q.shape[1]), np.int64)
-            wide = found.max(initial=0) >= 1 << 32
-            bodies.append((b"\1" if wide else b"\0") + found.astype(np.int64 if wide else np.uint32).tobytes())
+        for k, x in zip(questions.column("shard").to_pylist(), questions.column("body"), strict=True):
+            if k < 0:  # what a chunk keeps for itself
+                bodies.append(x.as_py())
+                continue
+            one, two, three, part = _numbers(x.as_buffer()).reshape(4, -1)
+            found = np.concatenate(trie.find(_names(one, two, part) >> np.uint64(1), three.astype(np.uint64))) if trie is not None else np.zeros(3 * len(one), np.int64)
+            bodies.append(_squeezed(found))
         return pa.table({"chunk": questions.column("chunk"), "shard": questions.column("shard"), "answer": pa.array(bodies, pa.binary())})
 
-    questions = chunks.select("chunk", *columns).mapInArrow(asked, "chunk long, shard long, body binary")
-    answers = questions.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answered, "chunk long, shard long, answer binary")
-
-    wanted = entries.select("chunk", "place", "word").join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    ready = chunks.drop("counts").join(wanted, "chunk", "left")
-
-    def scored(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        b = rows.combine_chunks().to_batches()[0]
-        words, place, size = _array(b, "words", 0, np.uint64), _array(b, "place", 0, np.int32), _array(b, "size", 0, np.int64)
-        c = np.zeros(len(words), np.int64)
-        known = b.column("known")[0]
-        if known.is_valid:
-            c[known.values.field("place").to_numpy()] = known.values.field("c").to_numpy()
-        g = sent(b, 0, True)
-        seen = np.zeros((3, len(g.word)), np.int64)
-        body = dict(zip(replies.column("shard").to_pylist(), replies.column("answer"), strict=True))
-        for k, at in g.dealt(shards):
-            raw = body[k].as_buffer()
-            seen[:, at] = np.frombuffer(raw, np.int64 if raw[:1].to_pybytes() == b"\1" else np.uint32, offset=1).reshape(3, -1)
-        n, total, kinds = seen
-        wide = np.flatnonzero(g.spread >= 0)
-        parts = g.spread[wide, None] + np.arange(_PARTS)
-        total[wide], kinds[wide] = total[parts].sum(1), kinds[parts].sum(1)
-        own, left = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        p1 = (c + 0.5) / base_mass
-        p2 = own[g.place2] + left[g.place2] * p1[place]
-        p3 = own[g.place3] + left[g.place3] * p2
-        text = np.repeat(np.arange(len(size)), size)
-        add = lambda x: np.bincount(text, weights=x, minlength=len(size))
-        return pa.table(
-            [b.column("doc_ids")[0].values, pa.array(_array(b, "held", 0, np.uint8).astype(bool)), pa.array(size), pa.array(add(c[place] > 0).astype(np.int64)),
-             pa.array(np.full(len(size), tokens)), pa.array(add(np.log10(p1)[place])), pa.array(add(np.log10(p3)))],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    return ready.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def scored(replies: pa.Table) -> pa.Table:
+        body = dict(zip(replies.column("shard").to_pylist(), replies.column("answer").to_pylist(), strict=True))
+        texts, token, second, c, spread, parts, kinds = (_numbers(x) for x in _parted(body.pop(min(body))))
+        kind = np.repeat(np.tile(np.arange(3), len(kinds) // 3), kinds)
+        found = np.concatenate([_numbers(body[k]).reshape(3, -1) for k in sorted(body)], axis=1)
+        n, total, follow = np.concatenate([found[:, kind == 0], found[:, kind == 1]], axis=1)
+        wide, split = spread > 0, np.zeros((2, len(parts)), np.int64)
+        split[:, parts] = found[1:, kind == 2]
+        total[wide], follow[wide] = split.reshape(2, -1, _PARTS).sum(2)[:, spread[wide] - 1]
+        own, left = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, DISCOUNT * follow / np.maximum(total, 1), 1.0)
+        p2 = own[: len(c)] + left[: len(c)] * ((c + 0.5) / base_mass)
+        p3 = own[len(c) :] + left[len(c) :] * p2[second]
+        sums = np.bincount(np.repeat(np.arange(len(texts)), texts), weights=np.log10(p3)[token], minlength=len(texts))
+        return pa.table({"chunk": replies.column("chunk").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    def turned(turn: int) -> DataFrame:
+        """chunk and sums: of each text, the log10 probability of the turn's tokens."""
+
+        def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    g = sent(b, i, turn, False)
+                    for k, body in g.dealt():
+                        yield pa.record_batch([pa.array([k]), pa.array([body], pa.binary())], ["shard", "body"])
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    g = sent(b, i, turn, True)
+                    if not len(g.token):
+                        continue
+                    chunk, c = b.column("chunk").slice(i, 1), _numbers(b.column("c")[i].as_buffer())[g.last]
+                    own = _joined(*map(_squeezed, (g.texts, g.token, g.second, c, g.spread, g.parts, g.kinds)))  # goes through the answers, as a group of its own
+                    yield pa.record_batch([chunk, pa.array([-1 - chunk[0].as_py()]), pa.array([own], pa.binary())], ["chunk", "shard", "body"])
+                    for k, body in g.dealt():
+                        yield pa.record_batch([chunk, pa.array([k]), pa.array([body], pa.binary())], ["chunk", "shard", "body"])
+
+        columns = ("held", "size", "place", "ids")
+        tries = chunks.select(*columns).mapInArrow(taught, "shard long, body binary").groupBy("shard").applyInArrow(built, "shard long, trie binary")
+        tries = written(tries, "lm-tries", held_paths)
+        drop(spark, held_paths)
+        questions = chunks.select("chunk", "c", *columns).mapInArrow(asked, "chunk long, shard long, body binary")
+        answers = questions.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answered, "chunk long, shard long, answer binary")
+        sums = written(answers.groupBy("chunk").applyInArrow(scored, "chunk long, sums binary"), f"lm-turn-{turn}", held_paths)
+        drop(spark, held_paths, "lm-tries")
+        return sums
+
+    sums = turned(0)
+    for turn in range(1, turns):
+        sums = sums.unionByName(turned(turn))
+    added = sums.groupBy("chunk").agg(F.collect_list("sums").alias("sums"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                size = _array(b, "size", i, np.int64)
+                score = np.sort([np.frombuffer(x.as_buffer()) for x in b.column("sums")[i].values], axis=0).sum(0)  # in a fixed order
+                columns = [pa.array(x) for x in (_array(b, "held", i, np.uint8).astype(bool), size, _array(b, "n_known", i, np.int64), np.full(len(size), tokens), _array(b, "base", i, np.float64), score)]
+                yield pa.record_batch([b.column("doc_ids")[i].values, *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    results = chunks.select("chunk", "doc_ids", "held", "size", "n_known", "base").join(added, "chunk")
+    results = results.mapInArrow(told, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    results = written(results, "lm-scores")
+    drop(spark, held_paths, *held_paths)
+    return results
 
 
 def held_fold(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
