@@ -5,11 +5,11 @@
 2. Word counts are summed over all chunks; every word of the training texts has its own. Each chunk gets the counts of its words by a join.
 3. All bigrams and trigrams of the training texts are counted, none is cut off. A gram is a context (one word, or two) and the word after it.
    The tokens are dealt with in turns, by the word before them, so that a turn has all grams of its contexts and only a share of the
-   shuffled bytes is on disk at a time. In its turn, each chunk sends its distinct grams, packed, to the shards of their contexts, and each shard becomes
-   one trie, a row of a table in the shared folder. The number of shards follows the number of tokens. Contexts of frequent words only are
-   spread over several shards by the word that follows.
-4. In the same turn, each chunk asks the shards for its distinct grams and adds up the scores of the turn's tokens text by text; the sums of
-   all turns make the scores. Nothing that grows with the input is gathered or broadcast.
+   shuffled bytes is on disk at a time. In its turn, each chunk sends its distinct grams, packed, with their training counts to the shards of their contexts, and each
+   shard makes one trie of them. The number of shards follows the number of tokens. Contexts of frequent words only are spread over several
+   shards by the word that follows.
+4. The same grams are the chunk's questions: the shard looks all of them up in its trie, and the chunk adds up the scores of the turn's tokens
+   text by text; the sums of all turns make the scores. Nothing that grows with the input is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -136,50 +136,45 @@ def _names(one: np.ndarray, two: np.ndarray, part: np.ndarray) -> np.ndarray:
 class Grams:
     """The distinct bigrams and trigrams of a turn's tokens in a chunk, by shard, and where they are dealt with.
 
-    Entries (``one``, ``two``, ``three``) are word numbers, 0 for the first of a bigram, and, when asking, questions about a part of a context that
+    Entries (``one``, ``two``, ``three``) are word numbers, 0 for the first of a bigram, and questions about a part of a context that
     is spread over shards, with the part as the last. ``shard`` is sorted; within a shard bigrams come first, questions about parts last, as many as
     ``kinds`` says. Bigrams and trigrams are numbered in that order: ``second`` is each trigram's bigram, ``token`` each token's trigram, ``last`` the place
     of the word that a bigram ends with, ``spread`` the number of the spread context of each bigram, then trigram, plus 1, and ``parts``
     what the last questions are about: number of the context times ``_PARTS`` plus part. ``texts`` is the number of the turn's tokens in each text.
     """
 
-    def __init__(self, ids: np.ndarray, place: np.ndarray, size: np.ndarray, taken: np.ndarray | None, turn: int, turns: int, end: int, frequent: np.ndarray, shards: int, ask: bool):
+    def __init__(self, ids: np.ndarray, place: np.ndarray, size: np.ndarray, held: np.ndarray, turn: int, turns: int, end: int, frequent: np.ndarray, shards: int):
         m, w3 = len(ids), place
         w1, w2 = _contexts(w3, size, int(np.argmax(ids == end)))
         mine = (mix64(ids.astype(np.uint64) ^ _TURN) % np.uint64(turns) == turn)[w2]
-        if taken is not None:
-            mine &= taken
-        self.texts = np.bincount(np.repeat(np.arange(len(size)), size)[mine], minlength=len(size))
+        text = np.repeat(np.arange(len(size)), size)[mine]
+        self.texts, learned = np.bincount(text, minlength=len(size)), ~held[text]
         w1, w2, w3 = w1[mine], w2[mine], w3[mine]
         if m < 1 << 21:
-            grams3, token, n3 = np.unique((w2 * m + w1) * m + w3, return_inverse=True, return_counts=True)
+            grams3, token = np.unique((w2 * m + w1) * m + w3, return_inverse=True)
             one, two, three = grams3 // m % m, grams3 // (m * m), grams3 % m
         else:
             pairs, pair = np.unique(w2 * m + w1, return_inverse=True)
-            grams3, token, n3 = np.unique(pair * m + w3, return_inverse=True, return_counts=True)
+            grams3, token = np.unique(pair * m + w3, return_inverse=True)
             one, two, three = pairs[grams3 // m] % m, pairs[grams3 // m] // m, grams3 % m
         grams2, second = np.unique(two * m + three, return_inverse=True)
+        n3 = np.bincount(token[learned], minlength=len(grams3))
         n2 = np.bincount(second, weights=n3, minlength=len(grams2)).astype(np.int64)
         often = (ids == end) | np.isin(ids, frequent)
         wide = np.concatenate([often[grams2 // m], often[one] & often[two]])
         a = np.concatenate([np.zeros(len(grams2), np.int64), ids[one]])
         b, c = np.concatenate([ids[grams2 // m], ids[two]]), np.concatenate([ids[grams2 % m], ids[three]])
-        self.n, spread = np.concatenate([n2, n3]), np.zeros(len(c), np.int64)
-        part = np.where(wide, c % _PARTS + 1, 0)
-        if ask:
-            names, first, at = np.unique(_names(a[wide], b[wide], np.zeros(1)), return_index=True, return_inverse=True)
-            spread[wide] = at + 1
-            each = np.tile(np.arange(_PARTS), len(names))
-            a, b = (np.append(x, np.repeat(x[wide][first], _PARTS)) for x in (a, b))
-            c, part = np.append(c, each), np.append(part, each + 1)
+        spread, part = np.zeros(len(c), np.int64), np.where(wide, c % _PARTS + 1, 0)
+        names, first, at = np.unique(_names(a[wide], b[wide], np.zeros(1)), return_index=True, return_inverse=True)
+        spread[wide] = at + 1
+        each = np.tile(np.arange(_PARTS), len(names))
+        a, b = (np.append(x, np.repeat(x[wide][first], _PARTS)) for x in (a, b))
+        c, part, n = np.append(c, each), np.append(part, each + 1), np.concatenate([n2, n3, np.zeros(len(each), np.int64)])
         shard = (_names(a, b, part) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        self.one, self.two, self.three, self.part, self.shard = a[order], b[order], c[order], part[order], shard[order]
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+        self.fields, self.shard = [x[order] for x in (a, b, c, part, n)], shard[order]
         kind = (order >= len(grams2)).astype(np.int8) + (order >= len(grams2) + len(grams3))
         self.kinds = np.bincount(self.shard * 3 + kind, minlength=3 * shards)
-        if not ask:
-            self.n = self.n[order]
-            return
         bi, tri, self.parts = order[kind == 0], order[kind == 1] - len(grams2), order[kind == 2] - len(grams2) - len(grams3)
         rank2, rank3 = np.empty(len(bi), np.int64), np.empty(len(tri), np.int64)
         rank2[bi], rank3[tri] = np.arange(len(bi)), np.arange(len(tri))
@@ -187,12 +182,11 @@ class Grams:
         self.spread = np.concatenate([spread[bi], spread[len(bi) + tri]])
 
     def dealt(self) -> Iterator[tuple[int, bytes]]:
-        """Each shard that has entries, and these: how many are bigrams and trigrams, the parts they lie in, their words, and counts if they are taught."""
+        """Each shard that has entries, and these: their words, the parts they lie in and how often they occur in training texts."""
         edge = [0, *(np.flatnonzero(self.shard[1:] != self.shard[:-1]) + 1).tolist(), len(self.shard)]
         for a, z in zip(edge[:-1], edge[1:], strict=True):
             if z > a:
-                fields = (self.one, self.two, self.three, self.part) if hasattr(self, "token") else (self.one, self.two, self.three, self.part, self.n)
-                yield int(self.shard[a]), _squeezed(np.concatenate([x[a:z] for x in fields]))
+                yield int(self.shard[a]), _squeezed(np.concatenate([x[a:z] for x in self.fields]))
 
 
 def _numbered(counts: DataFrame, held_paths: dict[str, str]) -> DataFrame:
@@ -258,27 +252,19 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     chunks = written(chunks.drop("counts").join(wanted, "chunk", "left").mapInArrow(informed, schema), "lm-known", held_paths)
     drop(spark, held_paths, "lm-chunks", "lm-counts", "lm-words")
 
-    def sent(b: pa.RecordBatch, i: int, turn: int, ask: bool) -> Grams:
-        size, taken = _array(b, "size", i, np.int64), None
-        if not ask:
-            taken = np.repeat(_array(b, "held", i, np.uint8) == 0, size)
-        return Grams(_numbers(b.column("ids")[i].as_buffer()), _numbers(b.column("place")[i].as_buffer()), size, taken, turn, turns, end, often, shards, ask)
-
-    def built(table: pa.Table) -> pa.Table:
-        one, two, three, part, n = np.concatenate([_numbers(x.as_buffer()).reshape(5, -1) for x in table.column("body")], axis=1)
-        trie = Trie.of(_names(one, two, part) >> np.uint64(1), three.astype(np.uint64), n)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.binary())})
-
-    def answered(questions: pa.Table, shard: pa.Table) -> pa.Table:
-        trie = Trie.from_buffer(shard.column("trie")[0].as_buffer()) if shard.num_rows else None
-        bodies = []
-        for k, x in zip(questions.column("shard").to_pylist(), questions.column("body"), strict=True):
-            if k < 0:  # what a chunk keeps for itself
-                bodies.append(x.as_py())
-                continue
-            one, two, three, part = _numbers(x.as_buffer()).reshape(4, -1)
-            found = np.concatenate(trie.find(_names(one, two, part) >> np.uint64(1), three.astype(np.uint64))) if trie is not None else np.zeros(3 * len(one), np.int64)
-            bodies.append(_squeezed(found))
+    def answered(questions: pa.Table) -> pa.Table:
+        shard = questions.column("shard")[0].as_py()
+        if shard < 0:  # what a chunk keeps for itself
+            bodies = questions.column("body").to_pylist()
+        else:
+            grams = [_numbers(x.as_buffer()).reshape(5, -1) for x in questions.column("body")]
+            one, two, three, part, n = np.concatenate(grams, axis=1)
+            context, word, learned = _names(one, two, part) >> np.uint64(1), three.astype(np.uint64), n > 0
+            found = np.zeros((3, len(n)), np.int64)
+            if learned.any():
+                found[:] = Trie.of(context[learned], word[learned], n[learned]).find(context, word)
+            edge = np.cumsum([0, *(g.shape[1] for g in grams)])
+            bodies = [_squeezed(found[:, a:z].ravel()) for a, z in zip(edge[:-1], edge[1:], strict=True)]
         return pa.table({"chunk": questions.column("chunk"), "shard": questions.column("shard"), "answer": pa.array(bodies, pa.binary())})
 
     def scored(replies: pa.Table) -> pa.Table:
@@ -299,17 +285,11 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     def turned(turn: int) -> DataFrame:
         """chunk and sums: of each text, the log10 probability of the turn's tokens."""
 
-        def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    g = sent(b, i, turn, False)
-                    for k, body in g.dealt():
-                        yield pa.record_batch([pa.array([k]), pa.array([body], pa.binary())], ["shard", "body"])
-
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    g = sent(b, i, turn, True)
+                    ids, place = (_numbers(b.column(x)[i].as_buffer()) for x in ("ids", "place"))
+                    g = Grams(ids, place, _array(b, "size", i, np.int64), _array(b, "held", i, np.uint8) > 0, turn, turns, end, often, shards)
                     if not len(g.token):
                         continue
                     chunk, c = b.column("chunk").slice(i, 1), _numbers(b.column("c")[i].as_buffer())[g.last]
@@ -318,14 +298,10 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
                     for k, body in g.dealt():
                         yield pa.record_batch([chunk, pa.array([k]), pa.array([body], pa.binary())], ["chunk", "shard", "body"])
 
-        columns = ("held", "size", "place", "ids")
-        tries = chunks.select(*columns).mapInArrow(taught, "shard long, body binary").groupBy("shard").applyInArrow(built, "shard long, trie binary")
-        tries = written(tries, "lm-tries", held_paths)
-        drop(spark, held_paths)
-        questions = chunks.select("chunk", "c", *columns).mapInArrow(asked, "chunk long, shard long, body binary")
-        answers = questions.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answered, "chunk long, shard long, answer binary")
+        questions = chunks.select("chunk", "c", "held", "size", "place", "ids").mapInArrow(asked, "chunk long, shard long, body binary")
+        answers = questions.groupBy("shard").applyInArrow(answered, "chunk long, shard long, answer binary")
         sums = written(answers.groupBy("chunk").applyInArrow(scored, "chunk long, sums binary"), f"lm-turn-{turn}", held_paths)
-        drop(spark, held_paths, "lm-tries")
+        drop(spark, held_paths)
         return sums
 
     sums = turned(0)

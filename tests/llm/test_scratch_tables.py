@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from netquill.llm import near_dedup, suffix_dedup
+from netquill.llm import lm_score, near_dedup, suffix_dedup
 from netquill.llm.common import importable, shared_root
 
 
@@ -41,3 +41,12 @@ def test_near_duplicates_leaves_no_sets_or_members(spark, docs):
     gone = {"near-classes", "near-members", "near-sets", "near-links", "near-roots", "near-placed", "near-candidates", "near-more"}
     assert not gone & set(_names(_left(spark, before)))
     assert rows.count() == docs.count()
+
+
+def test_lm_scores_leave_their_rows_only_and_do_not_depend_on_turns(spark, docs):
+    before = _left(spark)
+    rows = [lm_score.score(docs, lm_score.held_fold(), chunk_bytes=2000, turns=n) for n in (1, 3)]
+    assert _names(_left(spark, before)) == ["lm-scores", "lm-scores"]
+    one, three = (sorted(r.collect(), key=lambda r: (r["doc_id"], r["n_tokens"], r["score"])) for r in rows)
+    assert [r[:6] for r in one] == [r[:6] for r in three] and len(one) == docs.count()
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in three], rel=1e-12)
