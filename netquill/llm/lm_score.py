@@ -1,8 +1,9 @@
 """Language-model scoring over an Elias-Fano n-gram trie in shards, learned from the training share of the documents.
 
-1. The texts are cut into chunks of a bounded number of bytes. A chunk is one row: its distinct words (as 64-bit hashes), how often each
-   occurs in training texts, and its texts as numbers of these words, the commonest first.
-2. Word counts are summed over all chunks; every word of the training texts has its own. Each chunk gets the counts of its words by a join.
+1. The texts are cut into chunks of a bounded number of bytes. A chunk is one row: its distinct words (as 64-bit hashes, packed as gaps), how often
+   each occurs, in training texts and in all, and its texts as numbers of these words, the commonest first.
+2. Each chunk sends its words, packed, with their training counts to shards by ranges of the hash. A shard adds up the counts, numbers its words and
+   answers each chunk with both. Every word of the training texts has its own count and number; no row is made for a word.
 3. All bigrams and trigrams of the training texts are counted, none is cut off. A gram is a context (one word, or two) and the word after it.
    The tokens are dealt with in turns, by the word before them, so that a turn has all grams of its contexts and only a share of the
    shuffled bytes is on disk at a time. In its turn, each chunk sends its distinct grams, packed, with their training counts to the shards of their contexts, and each
@@ -29,6 +30,8 @@ from netquill.llm.ngram_trie import Trie
 WORD_SHARE = 2.0**-11
 #: Tokens for each shard, and the least number of shards.
 SHARD_TOKENS, MIN_SHARDS = 1 << 18, 64
+#: A chunk's distinct words count as one entry each; entries for each shard of words.
+SHARD_WORDS = 1 << 19
 #: Turns that the tokens are dealt with in.
 TURNS = 4
 DISCOUNT = 0.75
@@ -72,15 +75,15 @@ def chunked(docs: DataFrame, held: Column, key: str, text: str, chunk_bytes: int
                 order = np.argsort(-times, kind="stable")  # small numbers for common words take less room
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order))
-                words, place = words[order], rank[place]
                 counts = np.bincount(place, weights=np.repeat(~out, size), minlength=len(words)).astype(np.int64)
-                one = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
+                one = lambda a: pa.array([a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes()], pa.binary())
                 ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("doc_id").slice(first, n))
-                yield pa.record_batch([pa.array([number]), ids, one(out.astype(np.uint8)), one(size.astype(np.int64)), pa.array([_squeezed(place)], pa.binary()), one(words), one(counts)],
-                                      ["chunk", "doc_ids", "held", "size", "place", "words", "counts"])
+                yield pa.record_batch([pa.array([number]), ids, one(out.astype(np.uint8)), one(size.astype(np.int64)), one(_squeezed(rank[place])), one(_gaps(words)), one(_squeezed(counts)), one(_squeezed(times)),
+                                       pa.array([len(words)]), pa.array([int(counts.sum())])],
+                                      ["chunk", "doc_ids", "held", "size", "place", "words", "counts", "times", "n_words", "learned"])
                 number += 1
 
-    return rows.mapInArrow(chunks, f"chunk long, doc_ids array<{kind}>, held binary, size binary, place binary, words binary, counts binary")
+    return rows.mapInArrow(chunks, f"chunk long, doc_ids array<{kind}>, held binary, size binary, place binary, words binary, counts binary, times binary, n_words long, learned long")
 
 
 def _array(b: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
@@ -104,6 +107,15 @@ def _numbers(raw) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
+def _gaps(words: np.ndarray) -> bytes:
+    """Rising 64-bit hashes as a :func:`_squeezed` value."""
+    return _squeezed(np.diff(words, prepend=np.uint64(0)))
+
+
+def _rising(raw) -> np.ndarray:
+    return np.cumsum(_numbers(raw).view(np.uint64), dtype=np.uint64)
+
+
 def _joined(*parts: bytes) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
@@ -189,13 +201,38 @@ class Grams:
                 yield int(self.shard[a]), _squeezed(np.concatenate([x[a:z] for x in self.fields]))
 
 
-def _numbered(counts: DataFrame, held_paths: dict[str, str]) -> DataFrame:
-    """``counts`` with a number from 2 for each word (id), small for common ones: its rank in its partition, then the partition."""
-    ranked = counts.sortWithinPartitions(F.desc("c")).withColumn("at", F.monotonically_increasing_id())  # partition << 33 | rank
-    ranked = written(ranked, "lm-words", held_paths)
-    part, rank = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = (ranked.agg(F.max(part)).first()[0] or 0) + 1
-    return ranked.select("word", "c", (rank * parts + part + 2).alias("id"))
+def _worded(chunks: DataFrame, shards: int, least: float, held_paths: dict[str, str]) -> DataFrame:
+    """chunk, shard, answer: training count and number (id) of each word of a chunk, by its hash, for every shard that has any. An id is small for a
+    common word: from 2, its rank in its shard, then the shard; 1 is in no training text. A row of each shard also has ``distinct`` (how many words
+    it numbered), ``often`` (ids of words that occur ``least`` times, without the end) and ``end`` (the end's id, if it is there)."""
+    bounds = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words, counts = _rising(b.column("words")[i].as_buffer()), _numbers(b.column("counts")[i].as_buffer())
+                edge = np.concatenate([[0], np.searchsorted(words, bounds), [len(words)]])
+                to = np.flatnonzero(np.diff(edge))
+                bodies = [_joined(_gaps(words[edge[k] : edge[k + 1]]), _squeezed(counts[edge[k] : edge[k + 1]])) for k in to]
+                yield pa.record_batch([pa.array(np.full(len(to), b.column("chunk")[i].as_py())), pa.array(to.astype(np.int64)), pa.array(bodies, pa.binary())], ["chunk", "shard", "body"])
+
+    def numbered(messages: pa.Table) -> pa.Table:
+        shard, rows = messages.column("shard")[0].as_py(), messages.num_rows
+        parts = [_parted(x.as_buffer()) for x in messages.column("body")]
+        words = [_rising(x) for x, _ in parts]
+        edge = np.cumsum([0, *map(len, words)])
+        words, place = np.unique(np.concatenate(words), return_inverse=True)
+        c = np.bincount(place, weights=np.concatenate([_numbers(x) for _, x in parts])).astype(np.int64)
+        rank = np.empty(len(c), np.int64)
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
+        ids, is_end = np.where(c > 0, rank * shards + shard + 2, 1), words == END_HASH
+        answers = [_joined(_squeezed(ids[at]), _squeezed(c[at])) for at in (place[a:z] for a, z in zip(edge[:-1], edge[1:], strict=True))]
+        once = lambda x, kind: pa.array([x] + [None] * (rows - 1), kind)
+        return pa.table({"chunk": messages.column("chunk"), "shard": messages.column("shard"), "answer": pa.array(answers, pa.binary()), "distinct": once(int((c > 0).sum()), pa.int64()),
+                         "often": once(ids[(c >= least) & ~is_end].tolist(), pa.list_(pa.int64())), "end": once(next(iter(ids[is_end & (c > 0)].tolist()), None), pa.int64())})
+
+    messages = chunks.select("chunk", "words", "counts").mapInArrow(dealt, "chunk long, shard long, body binary")
+    return written(messages.groupBy("shard").applyInArrow(numbered, "chunk long, shard long, answer binary, distinct long, often array<long>, end long"), "lm-words", held_paths)
 
 
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, shard_tokens: int = SHARD_TOKENS, chunk_bytes: int = CHUNK_BYTES, turns: int = TURNS) -> DataFrame:
@@ -211,37 +248,24 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     held_paths: dict[str, str] = {}
     chunks = written(chunked(docs, F.coalesce(held, F.lit(False)), key, text, chunk_bytes), "lm-chunks", held_paths)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                words, counts = _array(b, "words", i, np.int64), _array(b, "counts", i, np.int64)
-                for at in range(0, len(words), 100_000):
-                    w = words[at : at + 100_000]
-                    yield pa.record_batch([pa.array(np.full(len(w), b.column("chunk")[i].as_py())), pa.array(np.arange(at, at + len(w), dtype=np.int32)), pa.array(w), pa.array(counts[at : at + 100_000])], ["chunk", "place", "word", "n"])
-
-    entries = chunks.select("chunk", "words", "counts").mapInArrow(listed, "chunk long, place int, word long, n long")
-    counts = written(entries.filter(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts", held_paths)
-    tokens, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    counts = _numbered(counts, held_paths)
-    frequent = counts.filter((F.col("c") >= max(tokens * word_share, 1)) & (F.col("word") != int(END_HASH.view(np.int64)))).toPandas()  # at most 1 / word_share rows
-    often = frequent["id"].to_numpy(np.int64)
-    ends = counts.filter(F.col("word") == int(END_HASH.view(np.int64))).select("id").first()
-    end = ends[0] if ends else -1
+    tokens, entries = (int(x or 0) for x in chunks.agg(F.sum("learned"), F.sum("n_words")).first())
+    words = _worded(chunks, max(MIN_SHARDS, -(-entries // SHARD_WORDS)), max(tokens * word_share, 1), held_paths)
+    distinct, end, often = words.agg(F.sum("distinct"), F.max("end"), F.flatten(F.collect_list("often"))).first()  # at most 1 / word_share ids
+    distinct, end, often = distinct or 0, -1 if end is None else end, np.array(often, np.int64)
     shards, base_mass = -(-max(MIN_SHARDS, -(-tokens // shard_tokens)) // turns), tokens + 0.5 * (distinct + 1)
     drop(spark, held_paths)
 
-    wanted = entries.select("chunk", "place", "word").join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "id")).alias("known"))
+    known = words.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias("known"))
 
     def informed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 size = _array(b, "size", i, np.int64)
-                place, words = _numbers(b.column("place")[i].as_buffer()), _array(b, "words", i, np.uint64)
-                c, ids = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)  # 1: in no training text
-                known = b.column("known")[i]
-                if known.is_valid:
-                    at = known.values.field("place").to_numpy()
-                    c[at], ids[at] = known.values.field("c").to_numpy(), known.values.field("id").to_numpy()
+                place, times = (_numbers(b.column(x)[i].as_buffer()) for x in ("place", "times"))
+                known = b.column("known")[i].values
+                answers = [_parted(known.field("answer")[int(k)].as_buffer()) for k in np.argsort(known.field("shard").to_numpy())]
+                order = np.argsort(-times, kind="stable")  # as the chunk numbered its words
+                ids, c = (np.concatenate([_numbers(x[j]) for x in answers])[order] for j in (0, 1))
                 text = np.repeat(np.arange(len(size)), size)
                 add = lambda x: np.bincount(text, weights=x, minlength=len(size))  # noqa: E731, B023
                 sums = (_squeezed(ids), _squeezed(c), add(c[place] > 0).astype(np.int64).tobytes(), add(np.log10((c + 0.5) / base_mass)[place]).tobytes())
@@ -249,8 +273,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 
     kept = ("chunk", "doc_ids", "held", "size", "place")
     schema = f"chunk long, doc_ids array<{kind}>, held binary, size binary, place binary, ids binary, c binary, n_known binary, base binary"
-    chunks = written(chunks.drop("counts").join(wanted, "chunk", "left").mapInArrow(informed, schema), "lm-known", held_paths)
-    drop(spark, held_paths, "lm-chunks", "lm-counts", "lm-words")
+    chunks = written(chunks.select(*kept, "times").join(known, "chunk").mapInArrow(informed, schema), "lm-known", held_paths)
+    drop(spark, held_paths, "lm-chunks", "lm-words")
 
     def answered(questions: pa.Table) -> pa.Table:
         shard = questions.column("shard")[0].as_py()

@@ -1,12 +1,14 @@
 """Scratch tables are gone as soon as nothing reads them: what an operator leaves on disk is its result."""
 
+import contextlib
 import os
 import random
+import time
 
 import pytest
 
 from netquill.llm import lm_score, near_dedup, suffix_dedup
-from netquill.llm.common import importable, shared_root
+from netquill.llm.common import drop, importable, let_go, shared_root
 
 
 def _left(spark, before=()):
@@ -50,3 +52,39 @@ def test_lm_scores_leave_their_rows_only_and_do_not_depend_on_turns(spark, docs)
     one, three = (sorted(r.collect(), key=lambda r: (r["doc_id"], r["n_tokens"], r["score"])) for r in rows)
     assert [r[:6] for r in one] == [r[:6] for r in three] and len(one) == docs.count()
     assert [r["score"] for r in one] == pytest.approx([r["score"] for r in three], rel=1e-12)
+
+
+def _on_disk(spark):
+    """Bytes of each shuffle file and scratch table's file."""
+    tops = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), shared_root(spark).removeprefix("file://")]
+    found = {}
+    for top in tops:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.startswith("shuffle_") or "/corpus-" in d:
+                    with contextlib.suppress(OSError):  # a file may go meanwhile
+                        found[f"{d}/{n}"] = os.path.getsize(f"{d}/{n}")
+    return found
+
+
+def test_lm_scores_need_little_disk_and_let_shuffles_go(spark, monkeypatch):
+    """Just before a drop, all that its phase made is there: with a row for each word of a chunk that was three times the texts."""
+    importable(spark)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 9))) for _ in range(40_000)]
+    texts = [" ".join(words[min(int(rng.expovariate(1 / 8000)), 39_999)] for _ in range(500)) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    let_go(spark)
+    before, used, left = _on_disk(spark), [], []
+    new = lambda: {f: n for f, n in _on_disk(spark).items() if f not in before}
+
+    def measured(*args):
+        used.append(sum(new().values()))
+        drop(*args)
+        time.sleep(1)  # files go in the background
+        left.append([f for f in new() if "/corpus-" not in f])
+
+    monkeypatch.setattr(lm_score, "drop", measured)
+    assert lm_score.score(docs, lm_score.held_fold(), chunk_bytes=1 << 18).count() == len(texts)
+    assert len(used) > 4 and max(used) < 2 * sum(map(len, texts))
+    assert left == [[]] * len(left)
