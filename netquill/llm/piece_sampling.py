@@ -31,7 +31,8 @@ _UNITS = 2.0**32
 
 
 class Pieces:
-    """The pieces of a model file as bytes, their weights 1 / (rank + 10) ** alpha, and a hash table of them."""
+    """The pieces of a model file as bytes, their weights 1 / (rank + 10) ** alpha, and a trie of them: ``below`` has a row of 256 for each of
+    the first ``inner`` nodes (0: no such node), ``piece`` the piece that ends at a node or -1, ``one`` the pieces of one character."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -53,24 +54,23 @@ class Pieces:
         rank[np.argsort(-score, kind="stable")] = np.arange(n)
         self.log_weight = -alpha * np.log(rank + 10)
         self.log_weight[self.byte_id] = np.log(_BYTE_WEIGHT) * alpha
-        ids = np.flatnonzero(usable)
-        lengths = np.array([len(self.raw[i]) for i in ids])
-        joined = np.frombuffer(b"".join(self.raw[i] for i in ids), np.uint8)
-        ends = np.cumsum(lengths)
-        hashes = span_hashes(prefix_hashes(joined), ends - lengths, ends)
-        order = np.argsort(hashes)
-        self.hashes, self.ids, self.longest = hashes[order], ids[order], int(lengths.max(initial=1))
-        self.likely = np.zeros(1 << 20, bool)
-        self.likely[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each hash, -1 for none."""
-        out = np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.likely[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes[maybe]
-        out[maybe[hit]] = self.ids[at[hit]]
-        return out
+        self.one = np.array([sum(c & 0xC0 != 0x80 for c in raw) == 1 for raw in self.raw])
+        arcs: dict[int, int] = {}
+        named: dict[int, int] = {}
+        for i in np.flatnonzero(usable).tolist():
+            node = 0
+            for c in self.raw[i]:
+                node = arcs.setdefault(node << 8 | c, len(arcs) + 1)
+            named.setdefault(node, i)
+        above, byte = np.divmod(np.fromiter(arcs, np.int64, len(arcs)), 256)
+        inner = np.zeros(len(arcs) + 1, bool)
+        inner[0] = inner[above] = True
+        self.inner = int(inner.sum())
+        number = np.where(inner, np.cumsum(inner) - 1, self.inner + np.cumsum(~inner) - 1)
+        self.below = np.zeros(self.inner << 8, np.int32)
+        self.below[number[above] << 8 | byte] = number[1:]
+        self.piece = np.full(len(arcs) + 1, -1, np.int64)
+        self.piece[number[list(named)]] = list(named.values())
 
 
 @lru_cache(maxsize=2)
@@ -91,41 +91,55 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class Lattice:
     """The lattices of distinct segments, longest first. Node (t, s): place t of segment s, numbered by place, then segment."""
 
-    def __init__(self, p: Pieces, data: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray):
+    def __init__(self, p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray):
         length = end - start
         most = int(length.max())
-        reach = np.searchsorted(-length, -np.arange(most + 1), side="right")  # segments of at least t bytes
-        self.base = np.concatenate([[0], np.cumsum(reach)])
-        own = np.repeat(np.arange(len(start)), length)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-        at, rest = start[own] + place, length[own] - place
-        froms, tos, ids = [], [], []
+        reach = np.searchsorted(-length, -np.arange(most + 2), side="right")  # segments of at least t bytes
+        self.base = np.concatenate([[0], np.cumsum(reach[:-1])])
+        place = np.repeat(np.arange(most), reach[1:-1])  # the bytes in the order of the nodes they follow
+        shift = np.concatenate([[0], np.cumsum(reach[1:-1])])
+        own = np.arange(len(place)) - shift[place]
+        at = start[own] + place
+        byte, heads = data[at], np.append((data & 0xC0) != 0x80, True)
+        begins, last = heads[at], heads[at + 1] | (own >= reach[place + 2])
+        begins[: reach[0]] = True
         single = np.zeros(len(at), bool)
-        begins = (data[at] & 0xC0) != 0x80
-        begins |= place == 0
-        heads = np.flatnonzero(begins)
-        width = np.zeros(len(at), np.int64)
-        width[heads] = np.diff(np.append(heads, len(at)))
-        width = np.minimum(width, rest)
-        head_of = heads[np.cumsum(begins) - 1]
-        for n in range(1, min(p.longest, most) + 1):
-            some = np.flatnonzero((rest >= n) & begins)
-            found = p.find(span_hashes(prefix, at[some], at[some] + n))
-            some, found = some[found >= 0], found[found >= 0]
-            single[some] |= width[some] == n
-            froms.append(self.base[place[some]] + own[some])
-            tos.append(self.base[place[some] + n] + own[some])
-            ids.append(found)
-        alone = np.flatnonzero(~single[head_of])
-        froms.append(self.base[place[alone]] + own[alone])
-        tos.append(self.base[place[alone] + 1] + own[alone])
-        ids.append(p.byte_id[data[at[alone]]])
-        tail, head, ids = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
-        order = np.lexsort((tail, head))
-        self.tail, self.ids = tail[order], ids[order]
-        head, weight = head[order], p.log_weight[ids[order]]
-        first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
-        nodes = head[first]
+        froms, tos, ids = [], [], []
+        tail = np.flatnonzero(begins)
+        row, goal, node = own[tail], place[tail], np.zeros(len(tail), np.int64)
+        while len(tail):  # all pieces of n bytes, then of n + 1; a place is dropped where no piece goes on
+            here = shift[goal] + row
+            node = p.below[node << 8 | byte[here]]
+            found = p.piece[node]
+            hit = np.flatnonzero(found >= 0)
+            goal += 1
+            froms.append(tail[hit])
+            tos.append(self.base[goal[hit]] + row[hit])
+            ids.append(found[hit])
+            single[tail[hit]] |= p.one[ids[-1]] & last[here[hit]]
+            on = np.flatnonzero((node > 0) & (node < p.inner) & (row < reach[goal + 1]))
+            tail, row, goal, node = tail[on], row[on], goal[on], node[on].astype(np.int64)
+        some = np.flatnonzero(begins & ~single)
+        alone = [some]
+        while len(some := some[~last[some]]):  # the other bytes of characters that no piece spells alone
+            some = shift[place[some] + 1] + own[some]
+            alone.append(some)
+        left = np.concatenate(alone)
+        froms.insert(0, left)
+        tos.insert(0, self.base[place[left] + 1] + own[left])
+        ids.insert(0, p.byte_id[byte[left]])
+        count = np.zeros(self.base[-1], np.int64)
+        for head in tos:
+            count[head] += 1
+        ends = np.cumsum(count)
+        self.first = ends - count
+        self.tail, self.ids = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+        free, follows = ends.copy(), self.base[place] + own
+        for tail, head, found in zip(froms, tos, ids, strict=True):  # the arcs into a node lie together, the longest first
+            free[head] -= 1
+            self.tail[free[head]], self.ids[free[head]] = follows[tail], found
+        nodes = np.flatnonzero(count)
+        first, head, weight = self.first[nodes], np.repeat(nodes, count[nodes]), p.log_weight[self.ids]
         self.alpha = np.full(self.base[-1], -np.inf)
         self.alpha[: len(start)] = 0
         by_place = np.searchsorted(nodes, self.base[1:])
@@ -144,24 +158,30 @@ class Lattice:
         self.sum[nodes] = self.total[ends[1:] - 1] - self.before[nodes]
 
     def sample(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward sampling from the end node of each occurrence: (occurrence, arc) pairs in text order."""
+        """Backward sampling from the end node of each occurrence: the arcs of all, each one's in text order, and how many each has."""
         active, stop, steps = np.arange(len(node)), self.base[1], 0
-        who, arcs = [], []
+        who, arcs, count = [], [], np.zeros(len(node), np.int64)
         while len(active):
             with np.errstate(over="ignore"):
                 draw = mix64(seed[active] + np.uint64(steps) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)
-            here = node[active]
-            target = self.before[here] + ((draw >> np.uint64(2)).astype(np.int64) * self.sum[here] >> 30)
-            arc = np.searchsorted(self.total, target, side="right")
+            target = self.before[node] + ((draw >> np.uint64(2)).astype(np.int64) * self.sum[node] >> 30)
+            arc = self.first[node]
+            beyond = np.flatnonzero(self.total[arc] <= target)
+            while len(beyond):
+                arc[beyond] += 1
+                beyond = beyond[self.total[arc[beyond]] <= target[beyond]]
             who.append(active)
             arcs.append(arc)
-            node[active] = self.tail[arc]
-            active = active[node[active] >= stop]
+            count[active] += 1
+            node = self.tail[arc]
+            on = np.flatnonzero(node >= stop)
+            active, node = active[on], node[on]
             steps += 1
-        who_all, arc_all = np.concatenate(who), np.concatenate(arcs)
-        step = np.repeat(np.arange(len(who)), [len(w) for w in who])
-        order = np.lexsort((-step, who_all))
-        return who_all[order], arc_all[order]
+        ends = np.cumsum(count)
+        out = np.empty(ends[-1], np.int64)
+        for step, (some, arc) in enumerate(zip(who, arcs, strict=True)):
+            out[ends[some] - 1 - step] = arc
+        return out, count
 
 
 def encode_chunk(p: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +196,14 @@ def encode_chunk(p: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.nda
     rank = np.empty(len(first), np.int64)
     rank[longest_first] = np.arange(len(first))
     first = first[longest_first]
-    lattice = Lattice(p, data, prefix, start[first], end[first])
+    lattice = Lattice(p, data, start[first], end[first])
     text = np.searchsorted(offsets, start, side="right") - 1
     number = np.arange(len(start)) - np.searchsorted(text, np.arange(texts))[text]
     with np.errstate(over="ignore"):
         seed = mix64(seeds[text] ^ mix64(number.astype(np.uint64) + np.uint64(1)))
-    who, arc = lattice.sample(lattice.base[end - start] + rank[kind], seed)
-    per_text = np.bincount(text[who], minlength=texts)
-    return lattice.ids[arc], per_text, np.bincount(text[who], weights=lattice.weight[arc], minlength=texts)
+    arc, pieces = lattice.sample(lattice.base[end - start] + rank[kind], seed)
+    own = np.repeat(text, pieces)
+    return lattice.ids[arc], np.bincount(own, minlength=texts), np.bincount(own, weights=lattice.weight[arc], minlength=texts)
 
 
 def decode_ids(p: Pieces, ids: np.ndarray) -> bytes:

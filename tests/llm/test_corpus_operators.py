@@ -1,7 +1,9 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquill.llm import langid, lm_score, near_dedup, packing, piece_sampling, suffix_dedup, topk_search, toxicity
-from netquill.llm.common import importable, written
+from netquill.llm.common import importable, mix64, written
 from netquill.llm.exact_dedup import exact_duplicates, without_copies
 from netquill.llm.license_scan import scan
 from netquill.llm.ngram_trie import EliasFano
@@ -171,6 +173,86 @@ def test_pieces_round_trip_and_repeat(docs, empty):
     assert piece_sampling.encode(empty, path).count() == 0
 
 
+def plain_pieces(p, text, seed):
+    """Sampled pieces of one text, place by place in plain Python."""
+    named = {p.raw[i]: int(i) for i in p.piece[p.piece >= 0]}
+    cuts = [i for i in range(len(text)) if i == 0 or text[i] == 32 != text[i - 1] or 10 in text[i - 1 : i + 1]]
+    out, weight = [], 0.0
+    for number, (a, b) in enumerate(itertools.pairwise([*cuts, len(text)])):
+        part = text[a:b]
+        starts = [i for i in range(len(part)) if i == 0 or part[i] & 0xC0 != 0x80]
+        alone = {i for c, d in itertools.pairwise([*starts, len(part)]) if part[c:d] not in named for i in range(c, d)}
+        alpha, into = [0.0], [None]
+        for head in range(1, len(part) + 1):
+            arcs = [(t, named[part[t:head]]) for t in starts if t < head and part[t:head] in named]
+            arcs += [(head - 1, int(p.byte_id[part[head - 1]]))] if head - 1 in alone else []
+            sums = [alpha[t] + p.log_weight[i] for t, i in arcs]
+            alpha.append(functools.reduce(np.logaddexp, sums) if arcs else -np.inf)
+            into.append([(t, i, round(float(np.exp(x - alpha[head])) * 2**32)) for (t, i), x in zip(arcs, sums, strict=True)])
+        with np.errstate(over="ignore"):
+            own = mix64(np.uint64(seed) ^ mix64(np.uint64(number + 1)))
+            draws = [int(mix64(own + np.uint64(k) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(34)) for k in range(len(part))]
+        at, path = len(part), []
+        while at:
+            target = draws[len(path)] * sum(u for _, _, u in into[at]) >> 30
+            sums = itertools.accumulate(u for _, _, u in into[at])
+            at, i, _ = into[at][next(k for k, x in enumerate(sums) if x > target)]
+            path.append(i)
+        out += path[::-1]
+        for i in path[::-1]:
+            weight += p.log_weight[i]
+    return out, weight
+
+
+PIECE_TEXTS = [
+    b"the internationalisation of  governments and their documentation", b"", b" ", b"\n\n  \nx", "Stra\u00dfe \u4e2d\u6587 \U0001f600\u0301 \ue000\ue001a".encode(),
+    b"a" * 90, b"\x80\x80ab\x80 \xc3 \xe4\xb8", b"the the the the international the", bytes(range(256)),
+]
+
+
+def test_pieces_against_plain_python():
+    p = piece_sampling.load(vocabulary("piece_bpe_32k.model"))
+    seeds = mix64(np.arange(1, len(PIECE_TEXTS) + 1, dtype=np.uint64))
+    offsets = np.append(0, np.cumsum([len(t) for t in PIECE_TEXTS]))
+    ids, per_text, weight = piece_sampling.encode_chunk(p, np.frombuffer(b"".join(PIECE_TEXTS), np.uint8), offsets, seeds)
+    got = np.split(ids, np.cumsum(per_text)[:-1])
+    for text, seed, some, w in zip(PIECE_TEXTS, seeds, got, weight, strict=True):
+        plain, plain_weight = plain_pieces(p, text, seed)
+        assert some.tolist() == plain and w == plain_weight
+
+
+def test_pieces_work_follows_the_pieces_present(monkeypatch):
+    """Spans are hashed once a segment, not at every place for every length; the trie is entered only as deep as pieces go."""
+    p = piece_sampling.load(vocabulary("piece_bpe_32k.model"))
+    data = np.frombuffer(b"".join(PIECE_TEXTS), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in PIECE_TEXTS]))
+    hashed, looked = [], []
+    spans = piece_sampling.span_hashes
+
+    def counted(prefix, start, end):
+        hashed.append(len(start))
+        return spans(prefix, start, end)
+
+    class Counted:
+        def __init__(self, table):
+            self.table = table
+
+        def __getitem__(self, at):
+            looked.append(len(at))
+            return self.table[at]
+
+    monkeypatch.setattr(piece_sampling, "span_hashes", counted)
+    segments = sum(len(piece_sampling._segments(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t in PIECE_TEXTS if t)
+    plain = piece_sampling.encode_chunk(p, data, offsets, np.zeros(len(PIECE_TEXTS), np.uint64))
+    assert sum(hashed) == segments
+    monkeypatch.setattr(p, "below", Counted(p.below))
+    again = piece_sampling.encode_chunk(p, data, offsets, np.zeros(len(PIECE_TEXTS), np.uint64))
+    assert all((a == b).all() for a, b in zip(plain, again, strict=True))
+    begun = {p.raw[i][:n] for i in p.piece[p.piece >= 0] for n in range(len(p.raw[i]) + 1)}
+    most = sum(next((n for n in range(len(t) - a + 1) if t[a : a + n] not in begun), len(t) - a) for t in PIECE_TEXTS for a in range(len(t)))
+    assert 0 < sum(looked) <= most
+
+
 def test_lm_scores(docs, empty):
     named = docs.filter("doc_id is not null and doc_id > 0")
     got = {r["doc_id"]: r for r in lm_score.score(named, lm_score.held_fold(), chunk_bytes=5000).collect()}
