@@ -74,8 +74,12 @@ def batch_decisions(alert_ids: DataFrame, decision: str, decided_at: Column, not
 
 
 def parse_payloads(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """JSON alert payloads -> (valid alert rows, rejected payloads with ``reason``)."""
-    parsed = payloads.withColumn("a", F.from_json(F.col(column), ALERT_ROW))
+    """JSON alert payloads -> (valid alert rows, rejected payloads with ``reason``).
+
+    The parsed row comes out of an ``explode``, through which Spark moves no filter: as a plain column it would be
+    parsed again for every field that is judged.
+    """
+    parsed = payloads.select("*", F.explode(F.array(F.from_json(F.col(column), ALERT_ROW))).alias("a"))
     a = F.col("a")
     required = [f.name for f in ALERT_ROW.fields if f.name not in ("timestamp_iso", "probabilities", "metadata")]
     missing = F.lit(False)

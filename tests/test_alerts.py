@@ -95,3 +95,13 @@ def test_contract(spark):
     valid, rejected = A.contract_split(spark.createDataFrame(rows, "id string, features array<double>"))
     assert [r["id"] for r in valid.collect()] == ["ok"]
     assert {r["id"]: r["reason"] for r in rejected.collect()} == {"short": "wrong_dimension", "nan": "nan", "inf": "infinite"}
+
+
+def test_a_payload_is_parsed_once(spark):
+    """Judging every field used to parse the payload anew for each of them."""
+    text = '{"alert_id":"a","confidence":0.5}'
+    valid, rejected = TR.parse_payloads(spark.createDataFrame([(text,), (None,), ("{",)], "payload string"))
+    for part in (valid.select("alert_id"), rejected.select("reason")):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert valid.count() == 0
+    assert {tuple(r) for r in rejected.collect()} == {(p, "missing_or_malformed_field") for p in (text, None, "{")}
