@@ -2,7 +2,9 @@
 
 import inspect
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from netquill import contract as K
 from netquill.operators import models as M
@@ -62,3 +64,41 @@ def test_all_features_reach_the_learners(spark, sf, monkeypatch):
     monkeypatch.setattr(R.M, "ablation", lambda train, test, learner: asked.append((train.columns, learner())) or spark.range(1))
     models = {r["model"] for r in QUERIES["feature_ablation"](spark, sf).collect()}
     assert models == {"random_forest", "gradient_boosting", "logistic_regression"} and len(asked) == 3
+
+
+def _vectors(spark, n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 6, (n, 4)).astype(float)
+    y = (x[:, 0] + 2 * (x[:, 1] > 2)) % 3
+    rows = [(f"F{i}", float(i), K.ACTIVE_CLASSES[int(y[i])], float(y[i]), 1.0, Vectors.dense(x[i])) for i in range(n)]
+    return spark.createDataFrame(rows, ["flow_uid", "timestamp", "label", "y", "w", "x"])
+
+
+def test_a_tree_answers_all_swaps_without_copies_of_the_rows(spark, monkeypatch):
+    """Every row used to fan out into a copy for each feature, scored one by one; the importances are the same."""
+    rows = _vectors(spark)
+    model = M.estimators()["decision_tree"].fit(rows)
+    tree = M.tree_of(model)
+    x = np.array([r["x"].toArray() for r in rows.collect()])
+    assert M.predicted(tree, x).tolist() == [int(r["prediction"]) for r in model.transform(rows).collect()]
+    names = ["a", "b", "c", "d"]
+    fast = sorted(map(tuple, M.permutation_importance(model, rows, names, repeats=2).collect()))
+    monkeypatch.setattr(M, "tree_of", lambda m: None)
+    assert sorted(map(tuple, M.permutation_importance(model, rows, names, repeats=2).collect())) == fast
+    assert M.tree_of(M.estimators(trees=2)["random_forest"].fit(rows)) is None
+
+
+def test_both_calibrations_share_their_boosters(spark, monkeypatch):
+    """Three folds were fitted again for the second method: seven fits for the comparison instead of four."""
+    rows, fits, fit = _vectors(spark, 240), [], M.OneVsRest._fit
+    monkeypatch.setattr(M.OneVsRest, "_fit", lambda self, d: fits.append(self.getParallelism()) or fit(self, d))
+    got = M.calibration_comparison(rows, rows, folds=3, max_iter=1, max_depth=2).collect()
+    assert [r["model"] for r in got] == ["uncalibrated", "sigmoid", "isotonic"]
+    assert fits == [6] * 4  # few rows: all classes at once
+
+
+def test_isotonic_curve(spark):
+    xs, ys = np.array([0.1, 0.2, 0.2, 0.7]), np.array([0.0, 0.25, 0.5, 1.0])
+    points = [0.0, 0.1, 0.15, 0.2, 0.45, 0.7, 0.9]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in points], "p double").coalesce(1).select(M._curve(xs, ys)("p")).collect()]
+    assert got == [0.0, 0.0, (0.15 - 0.1) * 0.25 / 0.1, 0.5, 0.5 + 0.5 * (0.45 - 0.2) / (0.7 - 0.2), 1.0, 1.0]
