@@ -15,8 +15,12 @@ MASTER_METADATA = [
 ]
 
 
+#: Text of 78 numbers a row is several times the input; Spark and others read it in this form by the name of the file.
+TEXT_CODEC = "gzip"
+
+
 def write_features_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.select(*LABELLED_ROW.fieldNames()).write.mode(mode).json(path)
+    rows.select(*LABELLED_ROW.fieldNames()).write.mode(mode).option("compression", TEXT_CODEC).json(path)
 
 
 def read_features_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,15 +37,15 @@ def master_table(rows: DataFrame, source_dir: str = "") -> DataFrame:
 
 
 def write_master(rows: DataFrame, path: str, formats: tuple[str, ...] = ("parquet", "csv", "json"), source_dir: str = "") -> None:
-    """Master table as Parquet (primary), 90-column CSV and nested JSON lines."""
+    """Master table as Parquet (primary), 90-column CSV and nested JSON lines, the texts packed."""
     table = master_table(rows, source_dir)
     if "parquet" in formats:
         table.write.mode("overwrite").parquet(f"{path}/parquet")
     if "csv" in formats:
-        table.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+        table.write.mode("overwrite").option("header", True).option("compression", TEXT_CODEC).csv(f"{path}/csv")
     if "json" in formats:
         nested = table.select(*MASTER_METADATA, F.array(*FEATURE_COLUMNS).alias("features"))
-        nested.write.mode("overwrite").json(f"{path}/json")
+        nested.write.mode("overwrite").option("compression", TEXT_CODEC).json(f"{path}/json")
 
 
 def encode_alerts(alerts: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """The stored feature tables hold all 78 features, from all logs, in every format."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from netquill import contract as K
@@ -31,3 +33,11 @@ def test_features_jsonl_and_master_table_are_whole(spark, sf, monkeypatch):
     nested = spark.read.json(f"{paths[-1]}/json")
     assert stored.columns == csv.columns and len(csv.columns) == 90
     assert _sums(stored) == _sums(csv) == _sums(R.D.wide(nested)) == want and nested.count() == n
+
+
+def test_texts_are_packed(spark, sf, monkeypatch):
+    """Plain text of 78 numbers took some 500 bytes a row, in two formats."""
+    paths = _kept_path(monkeypatch)
+    n = QUERIES["master_table"](spark, sf).count()
+    sizes = {kind: sum(f.stat().st_size for f in Path(paths[-1].removeprefix("file:"), kind).glob("part-*")) for kind in ("csv", "json")}
+    assert all(0 < size < 200 * n for size in sizes.values())
