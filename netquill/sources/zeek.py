@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from netquill.contract import LOG_KINDS
 from netquill.operators.flows import flatten, normalize_conn, typed_aux
+from netquill.sources.stage import shuffles_let_go
 
 RAW_ROW = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -173,4 +174,5 @@ def write_zeek(rows: DataFrame, path: str, key: str = "uid", order: tuple[str, .
         F.lit("\t".join(["#fields", *columns])).alias("value"), F.col("id").alias("_p"), F.lit(0).alias("_r"), *nulls
     )
     placed = body.unionByName(header).repartition(files, "_p").sortWithinPartitions("_p", "_r", "_k", *order)
-    placed.select("value").write.mode("overwrite").text(path)
+    with shuffles_let_go(rows.sparkSession):
+        placed.select("value").write.mode("overwrite").text(path)

@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquill.sources.stage import shuffles_let_go
 from netquill.sources.zeek import existing
 
 #: Log2 of the smallest filter; a filter has a word for each ROWS_A_WORD rows of the file.
@@ -93,7 +94,8 @@ class History:
         run = f"L{level}-{self.batch_id}"
         folder = f"{self._path(kind)}/run={run}"
         dealt = rows.hint("rebalance", F.col("bucket"))
-        dealt.write.mode("overwrite").option("maxRecordsPerFile", self.file_rows).partitionBy("bucket").parquet(folder)
+        with shuffles_let_go(dealt.sparkSession):
+            dealt.write.mode("overwrite").option("maxRecordsPerFile", self.file_rows).partitionBy("bucket").parquet(folder)
         files = existing(self.spark, f"{folder}/bucket=*/part-*")
         if not files:
             delete(self.spark, folder)
@@ -103,7 +105,8 @@ class History:
         name = F.concat(F.lit(f"{run}/"), F.col("bucket").cast("string"), F.lit("/"), F.col("_metadata.file_name"))
         named = self.spark.read.schema(rows.schema).parquet(folder).select(name.alias("file"), "uid")
         filters = named.select("file", word.alias("word"), bits.alias("bits")).groupBy("file", "word").agg(F.bit_or("bits").alias("bits"))
-        filters.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/filters/{kind}/{run}")
+        with shuffles_let_go(filters.sparkSession):
+            filters.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/filters/{kind}/{run}")
         return [Entry(kind, level, run, int(f.split("/bucket=")[-1].split("/")[0]), f, count, words) for f in files]
 
     def land(self, kind: str, rows: DataFrame, count: int) -> list[int]:

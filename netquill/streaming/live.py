@@ -99,7 +99,8 @@ class LiveDetector:
         return f"{self.root}/{table}"
 
     def _replace(self, df: DataFrame, table: str, *partitions: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table))
+        with shuffles_let_go(df.sparkSession):
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table))
 
     def _read(self, table: str, *globs: str) -> DataFrame | None:
         """The partitions of a table that match one of the globs; others are not even listed."""
@@ -171,7 +172,7 @@ class LiveDetector:
 
         def stage(df: DataFrame, by: Iterable[str] = ()) -> DataFrame:
             scratch.append(self.path(f"scratch/{batch_id}-{len(scratch)}"))
-            with shuffles_let_go(self.spark):
+            with shuffles_let_go(df.sparkSession):
                 df.write.mode("overwrite").partitionBy(*by).parquet(scratch[-1])
             return self.spark.read.schema(df.schema).parquet(scratch[-1])
 
